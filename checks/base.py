@@ -93,7 +93,7 @@ captures AS (
     CASE page_id % 10 WHEN 0 THEN [-1010568750] WHEN 1 THEN [42, -1015932800] WHEN 2 THEN [0] ELSE []::INTEGER[] END AS favicon_hashes,
     CASE WHEN page_id % 4 = 0 THEN '18.' || (page_id % 3) || '.0' END AS react,
     page_id % 8 = 0 AS next_dom, (page_id % 20)::INTEGER AS tab_id,
-    TIMESTAMP '2024-01-01' + to_seconds(137 * page_id) AS at
+    TIMESTAMP '2024-01-01' + to_seconds(137 * page_id) AS seen_at
   FROM pages),
 texts AS (
   SELECT *, 'server: ' || server || chr(10) || coalesce('set-cookie: ' || cookie || chr(10), '') || coalesce('x-powered-by: ' || powered || chr(10), '') AS header_text,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ UNICODE_SPACE = (
 RE2_SPACE = "\\t\\n\\f\\r "
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def extract(text: Column, pattern: Column, group: Column | int) -> Column:
     """``regexp_extract`` with a pattern column."""
     return F.call_function("regexp_extract", text, pattern, group if isinstance(group, Column) else F.lit(group))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sigweave.functions.text import let, trim_space
+
 GENERIC = "(?s)\\A(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\\?[^#]*)?(#.*)?\\z"
 
 # Paths with these endings are files, not pages.
@@ -59,9 +61,8 @@ def query(url: Column) -> Column:
 
 def _clean_path(raw: Column) -> Column:
     """Remove ``.`` and ``..`` steps; only paths that have them pay for it."""
-    steps = F.split(raw, "/", -1)
     folded = F.aggregate(
-        F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))),
+        F.slice(F.split(raw, "/", -1), 2, 100_000),
         F.array().cast("array<string>"),
         lambda kept, step: F.when(step == ".", kept)
         .when(step == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
@@ -86,33 +87,38 @@ def encode_path(raw: Column) -> Column:
     return F.when(raw.rlike(PATH_AS_WRITTEN), raw).otherwise(encoded)
 
 
+def _split(url: Column) -> Column:
+    """The five parts of a URL as one struct."""
+    return F.struct(
+        F.lower(_part(url, 1)).alias("scheme"), _part(url, 2).alias("authority"), _part(url, 3).alias("path"),
+        _part(url, 4).alias("query"), _part(url, 5).alias("fragment"), url.alias("text"),
+    )
+
+
 def resolve(base: Column, link: Column) -> Column:
     """Absolute form of ``link`` on the page ``base``; NULL when not a URL."""
-    own_scheme, own_host, own_path, own_query = scheme(link), authority(link), path(link), query(link)
-    fragment = _part(link, 5)
-    base_root = F.concat(scheme(base), F.lit("://"), authority(base))
-    base_path = F.when(path(base) == "", "/").otherwise(path(base))
-    folder = F.regexp_replace(base_path, "[^/]*\\z", "")
+    return let(F.struct(_split(base).alias("b"), _split(link).alias("l")), lambda x: _resolve(x["b"], x["l"]))
+
+
+def _resolve(b: Column, own: Column) -> Column:
+    base_path = F.when(b["path"] == "", "/").otherwise(b["path"])
     joined = (
-        F.when(own_path == "", base_path)
-        .when(own_path.startswith("/"), own_path)
-        .otherwise(F.concat(folder, own_path))
+        F.when(own["path"] == "", base_path)
+        .when(own["path"].startswith("/"), own["path"])
+        .otherwise(F.concat(F.regexp_replace(base_path, "[^/]*\\z", ""), own["path"]))
     )
-    kept_query = F.when((own_path == "") & (own_query == ""), query(base)).otherwise(own_query)
-    has_host = link.rlike("\\A(?:[A-Za-z][A-Za-z0-9+.-]*:)?//")
-    absolute = (
-        F.when((own_scheme != "") & ~has_host, F.concat(own_scheme, F.lit(":"), own_path, own_query, fragment))
-        .when(
-            has_host,
-            F.concat(
-                F.when(own_scheme != "", own_scheme).otherwise(scheme(base)), F.lit("://"), own_host,
-                encode_path(_clean_path(own_path)), own_query, fragment,
-            ),
-        )
-        .otherwise(F.concat(base_root, encode_path(_clean_path(joined)), kept_query, fragment))
+    query_kept = F.when((own["path"] == "") & (own["query"] == ""), b["query"]).otherwise(own["query"])
+    has_host = own["text"].rlike("\\A(?:[A-Za-z][A-Za-z0-9+.-]*:)?//")
+    parts = F.struct(
+        F.when(own["scheme"] != "", own["scheme"]).otherwise(b["scheme"]).alias("scheme"),
+        F.when(has_host, own["authority"]).otherwise(b["authority"]).alias("authority"),
+        _clean_path(F.when(has_host, own["path"]).otherwise(joined)).alias("path"),
+        F.when(has_host, own["query"]).otherwise(query_kept).alias("query"),
     )
-    broken = link.rlike("[\\x00-\\x1f\\x7f]") | path(link).rlike(BAD_ESCAPE) | link.rlike("\\A:")
-    return F.when(~broken, absolute)
+    web = let(parts, lambda p: F.concat(p["scheme"], F.lit("://"), p["authority"], encode_path(p["path"]), p["query"], own["fragment"]))
+    opaque = (own["scheme"] != "") & ~has_host
+    broken = own["text"].rlike("[\\x00-\\x1f\\x7f]") | own["path"].rlike(BAD_ESCAPE) | own["text"].startswith(":")
+    return F.when(broken, F.lit(None)).when(opaque, F.concat(own["scheme"], F.lit(":"), own["path"], own["query"], own["fragment"])).otherwise(web)
 
 
 def normalize(url: Column) -> Column:
@@ -182,23 +188,28 @@ def is_blocked_ipv6(hostname: Column) -> Column:
 
 def is_public(url: Column) -> Column:
     """http(s), no credentials, and a host outside local and reserved ranges."""
-    name = F.regexp_replace(F.lower(host(url)), "\\.+\\z", "")
+    facts = F.struct(
+        scheme(url).alias("scheme"), has_credentials(url).alias("credentials"),
+        F.regexp_replace(F.lower(host(url)), "\\.+\\z", "").alias("host"))
+    return let(facts, lambda u: (
+        u["scheme"].isin("http", "https") & ~u["credentials"] & (u["host"] != "") & ~_is_local(u["host"])
+        & ~is_blocked_ipv4(u["host"]) & ~is_blocked_ipv6(u["host"])))
+
+
+def _is_local(name: Column) -> Column:
     local = name.isin(*LOCAL_HOSTS)
     for suffix in LOCAL_SUFFIXES:
         local = local | name.endswith(suffix)
-    return (
-        is_web(url) & ~has_credentials(url) & (name != "") & ~local
-        & ~is_blocked_ipv4(name) & ~is_blocked_ipv6(name)
-    )
+    return local
 
 
 def target(url: Column) -> Column:
     """A batch target as it is queued: trimmed, no fragment, host in lower case,
     an empty path as ``/``; NULL when it is not an admissible address."""
-    text = F.regexp_replace(F.trim(url), "#.*\\z", "")
-    href = F.concat(
-        scheme(text), F.lit("://"), F.lower(authority(text)),
-        F.when(path(text) == "", "/").otherwise(encode_path(_clean_path(path(text)))), query(text),
-    )
-    fine = is_web(text) & (host(text) != "") & ~has_credentials(text) & ~host(text).rlike("[\\s<>^|%]")
-    return F.when(fine & (F.length(href) <= MAX_TARGET_CHARS), href)
+    text = F.regexp_replace(trim_space(url), "#.*\\z", "")
+    return let(_split(text), lambda u: let(
+        F.concat(u["scheme"], F.lit("://"), F.lower(u["authority"]),
+                 F.when(u["path"] == "", "/").otherwise(encode_path(_clean_path(u["path"]))), u["query"]),
+        lambda href: F.when(
+            u["scheme"].isin("http", "https") & ~u["text"].rlike("\\A[^:]*:/*[^/?#]*[\\s<>^|%]")
+            & (host(u["text"]) != "") & ~has_credentials(u["text"]) & (F.length(href) <= MAX_TARGET_CHARS), href)))

@@ -88,7 +88,9 @@ def text_hits(captures: DataFrame, pack: RulePack, types: tuple[str, ...] = ("wo
         rows = rows.withColumn("pids", F.concat(ids, _inline_ids(tried)) if tried else ids)
         verify = True
     table = F.broadcast(pack.pattern_table(captures.sparkSession, patterns).drop("part"))
-    found = rows.select("capture_id", "text", "lower_text", F.explode("pids").alias("pid")).join(table, "pid")
+    # The outer form, because for the inner one the optimizer adds a filter on the
+    # array's size and would then evaluate every condition twice.
+    found = rows.select("capture_id", "text", "lower_text", F.explode_outer("pids").alias("pid")).join(table, "pid")
     if verify:
         found = found.where(
             F.when(F.col("type") == "word", F.contains(F.col("lower_text"), F.col("lowered")))
