@@ -2,6 +2,6 @@
 
 
 def all_queries():
-    from checks import base, extract, match, report, rules  # noqa: F401
+    from checks import base, crawl, extract, feeds, inspect, match, report, rules, stream  # noqa: F401
 
     return dict(base.QUERIES), dict(base.SQL)

@@ -11,7 +11,7 @@ from sigweave.operators import rulesets
 SETS_SQL = """
 rule_sets AS (
   SELECT 'set-' || (p_partkey % 5) AS set_id, 'Set ' || (p_partkey % 5) AS set_name, (p_partkey % 5)::INTEGER AS set_ord, p_partkey AS rule_ord,
-    'r' || (p_partkey * 7 % (SELECT count(*) // 3 FROM part)) AS rule_id, '{"name":"' || p_name || '","brand":"' || p_brand || '"}' AS rule, p_name AS name FROM part),
+    'r' || (p_partkey // 3) AS rule_id, '{"name":"' || p_name || '","brand":"' || p_brand || '"}' AS rule, p_name AS name FROM part),
 enabled AS (SELECT unnest(['set-0', 'set-1', 'set-3', 'set-4', 'gone']) AS set_id),
 overrides AS (SELECT rule_id, CASE WHEN min(rule_ord) % 4 = 0 THEN 'set-1' ELSE 'set-9' END AS set_id FROM rule_sets GROUP BY rule_id HAVING min(rule_ord) % 2 = 0),
 live AS (SELECT r.*, coalesce(o.set_id = r.set_id, false) AS chosen FROM rule_sets r LEFT JOIN overrides o USING (rule_id) WHERE r.set_id IN (SELECT set_id FROM enabled))"""
@@ -21,10 +21,9 @@ SETS = "WITH " + SETS_SQL
 def rule_sets(spark, sf):
     part = table(spark, sf, "part")
     k = F.col("p_partkey")
-    third = part.agg(F.floor(F.count(F.lit(1)) / 3).alias("third"))
-    return part.join(F.broadcast(third)).select(
+    return part.select(
         F.concat(F.lit("set-"), (k % 5).cast("string")).alias("set_id"), F.concat(F.lit("Set "), (k % 5).cast("string")).alias("set_name"),
-        (k % 5).cast("int").alias("set_ord"), k.alias("rule_ord"), F.concat(F.lit("r"), (k * 7 % F.col("third")).cast("string")).alias("rule_id"),
+        (k % 5).cast("int").alias("set_ord"), k.alias("rule_ord"), F.concat(F.lit("r"), F.floor(k / 3).cast("string")).alias("rule_id"),
         F.concat(F.lit('{"name":"'), F.col("p_name"), F.lit('","brand":"'), F.col("p_brand"), F.lit('"}')).alias("rule"), F.col("p_name").alias("name"))
 
 

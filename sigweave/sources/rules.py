@@ -76,7 +76,7 @@ def with_defaults(rule: Column) -> Column:
     return rule.withField(
         "name", F.coalesce(F.nullif(rule["name"], F.lit("")), rule["id"])
     ).withField(
-        "matchers-condition", F.when(rule["matchers-condition"] == "and", "and").otherwise("or")
+        "`matchers-condition`", F.when(rule["matchers-condition"] == "and", "and").otherwise("or")
     )
 
 
