@@ -11,6 +11,7 @@ from checks.base import captures, core_pack, query, table, with_captures
 from checks.match import CLOSED
 from sigweave.operators import reports
 from sigweave.plans import detect
+from sigweave.session import cut_lineage
 from sigweave.streaming import captures as streams
 from sigweave.streaming.runtime import append_all, each_batch, read_stream, work_dir
 
@@ -18,11 +19,14 @@ FILES = 8
 
 
 def _as_stream(df, order: str):
-    """Write rows as files in order of a column and read them as a stream."""
+    """Write rows as files in order of a column, one after the other, and read
+    them as a stream; a file source takes files by age."""
     spark = df.sparkSession
     path = work_dir(spark, "stream-in")
-    df.repartitionByRange(FILES, order).sortWithinPartitions(order).write.parquet(path)
-    return read_stream(spark, path, spark.read.parquet(path).schema), path
+    sliced = cut_lineage(df.repartitionByRange(FILES, order).withColumn("_slice", F.spark_partition_id()))
+    for n in range(FILES):
+        sliced.where(F.col("_slice") == n).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+    return read_stream(spark, path, df.schema), path
 
 
 @query("st_match", with_captures(CLOSED) + " SELECT capture_id, rule_id, name, version FROM kept")
@@ -105,7 +109,7 @@ def st_route_debounce(spark, sf):
 @query("st_rule_change_rescan")
 def st_rule_change_rescan(spark, sf):
     """Every stored capture is matched again after changes came to rest."""
-    changes = table(spark, sf, "events").where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    changes = table(spark, sf, "events").where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("scope"))
     stream, _ = _as_stream(changes, "ts")
     out = work_dir(spark, "st-rescan")
     streams.rescan_stream(stream, captures(spark, sf), core_pack().only("status", "js"), out, work_dir(spark, "state"), gap="5 minutes")

@@ -66,9 +66,9 @@ def fresh_hashes(sessions: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def change_sessions(changes: DataFrame, late: str = "10 seconds", gap: str = RULE_GAP) -> DataFrame:
-    """Rule or dictionary changes merged until a quiet gap."""
-    held = changes.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_changes"))
-    return held.select(F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), "n_changes")
+    """Changes of one scope (rules, dictionary) merged until a quiet gap."""
+    held = changes.withWatermark("ts", late).groupBy("scope", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_changes"))
+    return held.select("scope", F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), "n_changes")
 
 
 def rescan_stream(changes: DataFrame, captures: DataFrame, pack: RulePack, out: str, state: str, late: str = "10 seconds", gap: str = RULE_GAP) -> None:
