@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import sigweave
 from sigweave.functions import html
+from sigweave.session import spread
 from sigweave.sources.captures import bounded_body
 from sigweave.sources.pack import RulePack, probe_key
 
@@ -34,7 +35,8 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows) if name in ("pages", "documents", "part") else rows
 
 
 @lru_cache(maxsize=None)

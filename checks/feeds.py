@@ -78,7 +78,7 @@ def _place(ix):
 
 
 def _flat(rows):
-    attrs = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    attrs = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\\;")
     return rows.select("tech", "section", "part", "type", _place("ix").alias("ix"), "pattern", "path", F.nullif(attrs, F.lit("")).alias("attrs"),
                        "confidence", "version", _place("group_ix").alias("group_ix"))
 

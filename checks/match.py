@@ -302,44 +302,42 @@ def set_union_hits(spark, sf):
     return detected(spark, sf).groupBy(origin.alias("origin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# A large generated pack: words and patterns made from the part table, so the
-# pack is far past the inline limit and candidates have to be pruned.
-def part_pack(spark, sf) -> RulePack:
-    rows = table(spark, sf, "part").select("p_partkey", "p_name", "p_size").orderBy("p_partkey").limit(8000).collect()
-    common = ["the", "tion", "nav", "article", "class", "track", "href", "lang", "meta", "script"]
+# A large generated pack, far past the inline limit, so candidates are pruned.
+GENERATED = 2000
+COMMON = ["the", "tion", "nav", "article", "class", "track", "href", "lang", "meta", "script"]
+TAILS = ["and", "her", "ing", "con"]
+STARTS = ["res", "nter", "ther"]
+
+
+def generated_pack(n: int = GENERATED) -> RulePack:
     out = []
-    for r in rows:
-        k = r["p_partkey"]
-        words = [f"{common[k % 10]}{'and her ing con'.split()[k % 4]}", r["p_name"], f"track({k})"][: 1 + k % 3]
-        matcher = {"type": "word", "part": "body", "words": words} if k % 2 else {
-            "type": "regex", "part": "body", "version": "\\1",
-            "regex": [f"track\\(({k})\\)", f"/({common[k % 10]}|{'res nter ther'.split()[k % 3]})[a-z]*{k % 10}?\">"][: 1 + k % 2 + (k % 4 == 0)]}
-        out.append({"id": f"part-{k}", "name": f"Part {k}", "matchers": [matcher]})
+    for k in range(n):
+        if k % 2:
+            matcher = {"type": "word", "part": "body", "words": [COMMON[k % 10] + TAILS[k % 4], f"tech{k}", f"track({k})"][: 1 + k % 3]}
+        else:
+            start = f"/({COMMON[k % 10]}|{STARTS[k % 3]})[a-z]*{k % 10}?\">"
+            matcher = {"type": "regex", "part": "body", "regex": [f"track\\(({k})\\)", start][: 1 + (k % 4 == 0)]}
+        out.append({"id": f"gen-{k}", "name": f"Generated {k}", "matchers": [matcher]})
     return RulePack(out)
 
 
-@query("match_candidates", """
-WITH numbers AS (SELECT p_partkey AS k, p_name FROM part WHERE p_partkey < 8000),
-common AS (SELECT ['the','tion','nav','article','class','track','href','lang','meta','script'] AS c, ['and','her','ing','con'] AS s, ['res','nter','ther'] AS t),
+@query("match_candidates", f"""
+WITH numbers AS (SELECT k::INTEGER AS k FROM range({GENERATED}) r(k)),
+common AS (SELECT {COMMON!r} AS c, {TAILS!r} AS s, {STARTS!r} AS t),
 pats AS (
-  SELECT k, ix, 'word' AS type, w AS pattern FROM (
-    SELECT k, unnest([c[k % 10 + 1] || s[k % 4 + 1], p_name, 'track(' || k || ')'][:1 + k % 3]) AS w, generate_subscripts([1,2,3][:1 + k % 3], 1) AS ix
-    FROM numbers, common WHERE k % 2 = 1)
+  SELECT k, 'word' AS type, unnest([c[k % 10 + 1] || s[k % 4 + 1], 'tech' || k, 'track(' || k || ')'][:1 + k % 3]) AS pattern FROM numbers, common WHERE k % 2 = 1
   UNION ALL
-  SELECT k, ix, 'regex', w FROM (
-    SELECT k, unnest(['track\\((' || k || ')\\)', '/(' || c[k % 10 + 1] || '|' || t[k % 3 + 1] || ')[a-z]*' || (k % 10) || '?">'][:1 + (k % 4 = 0)::INT]) AS w,
-      generate_subscripts([1,2][:1 + (k % 4 = 0)::INT], 1) AS ix
-    FROM numbers, common WHERE k % 2 = 0)),
+  SELECT k, 'regex', unnest(['track\\((' || k || ')\\)', '/(' || c[k % 10 + 1] || '|' || t[k % 3 + 1] || ')[a-z]*' || (k % 10) || '?">'][:1 + (k % 4 = 0)::INT]) FROM numbers, common WHERE k % 2 = 0),
 hits AS (
   SELECT page_id, k, pattern FROM pages JOIN (SELECT k, pattern FROM pats WHERE type = 'word') ON contains(lower(html[:200000]), lower(pattern))
   UNION ALL
   SELECT page_id, k, pattern FROM pages JOIN (SELECT DISTINCT pattern FROM pats WHERE type = 'regex') ON regexp_matches(html[:200000], '(?i)' || pattern)
     JOIN pats USING (pattern))
-SELECT page_id AS capture_id, 'part-' || k AS rule_id, pattern FROM hits""")
+SELECT page_id AS capture_id, 'gen-' || k AS rule_id, pattern FROM hits""")
 def match_candidates(spark, sf):
-    pack = part_pack(spark, sf)
-    rules = {r.rule_ord: r.rule_id for r in pack.rules}
-    names = spark.createDataFrame([(p.pid, rules[p.rule_ord], p.pattern) for p in pack.patterns], "pid int, rule_id string, pattern string")
+    pack = generated_pack()
+    rules = F.broadcast(pack.rule_table(spark).select("rule_ord", "rule_id"))
+    mids = F.broadcast(pack.matcher_table(spark).select("mid", "rule_ord"))
+    pids = F.broadcast(pack.pattern_table(spark).select("pid", "mid", "pattern"))
     hits = matching.text_hits(captures(spark, sf), pack)
-    return hits.join(F.broadcast(names), "pid").select("capture_id", "rule_id", "pattern")
-
+    return hits.join(pids, "pid").join(mids, "mid").join(rules, "rule_ord").select("capture_id", "rule_id", "pattern")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,3 +61,14 @@ def slug(name: Column) -> Column:
     """Identifier from a name: a-z, 0-9 and Han stay, other runs become one dash."""
     dashed = F.regexp_replace(F.lower(trim_space(name)), "[^a-z0-9\\p{IsHan}]+", "-")
     return F.regexp_replace(dashed, "\\A-+|-+\\z", "")
+
+
+def may_match(literals: tuple[str, ...], lowered: Column) -> Column:
+    """Cheap test before a pattern is run: whether the lower-case text holds one
+    of the literals every match contains. The long s may stand for an s."""
+    if not literals or len(literals) > 4:
+        return F.lit(True)
+    held = [F.contains(lowered, F.lit(text)) for text in literals]
+    if any("s" in text for text in literals):
+        held.append(F.contains(lowered, F.lit("ſ")))
+    return reduce(Column.__or__, held)

@@ -1,15 +1,18 @@
-"""Cheap proof that a pattern cannot match, for packs too large to try in full.
-
-Each pattern that must contain one of a few literals gives up one four-byte gram
-per literal. A page keeps only the patterns of which it holds a gram, and only
-those are verified. The test may let a pattern through for nothing but never
-drops one that matches: patterns without a usable literal are always candidates.
+"""Which texts of a large pack occur on a page, without trying them one by one.
+
+Every word, and every literal a regular expression cannot match without, gives up
+one four-byte gram. The grams of a page are looked up in that list, the literals
+behind the grams found are checked, and so a page yields the words it contains
+and the expressions worth running. A pattern is never dropped that could match:
+literals too short for a gram are checked directly, and expressions without a
+literal are always run.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from dataclasses import dataclass
+from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -17,22 +20,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from sigweave.sources.pack import PatternRow
-
 GRAM = 4
 _BITS = 22
 # How ordinary a byte is in page text; grams of rare bytes prune better.
 _COMMON = {b: 26 - i for i, b in enumerate(b" etaoinshrdlcum<>/=\"-.wfgypbvk")}
 
 
-def fold_bytes(text: str) -> bytes:
-    """Bytes to take grams from: the long s folds to s, as it does in matching."""
-    return text.replace("ſ", "s").encode("utf-8")
+@dataclass(frozen=True)
+class Unit:
+    """One distinct pattern of one part; any number of rules may share it."""
 
+    ix: int
+    part: str
+    type: str
+    pattern: str
+    java: str | None
+    groups: int
+    lowered: str
+    literals: tuple[str, ...]
 
-def _grams(literal: str) -> list[bytes]:
-    raw = fold_bytes(literal)
-    return [raw[i:i + GRAM] for i in range(len(raw) - GRAM + 1)]
+
+def fold(text: str) -> str:
+    """The long s counts as s where case is ignored."""
+    return text.replace("ſ", "s")
 
 
 def _slot(codes: np.ndarray) -> np.ndarray:
@@ -40,82 +50,94 @@ def _slot(codes: np.ndarray) -> np.ndarray:
         return (codes * np.uint32(2654435761)) >> np.uint32(32 - _BITS)
 
 
-@dataclass
-class PartIndex:
-    """Grams of one part: sorted codes and, per code, the patterns it stands for."""
+def rarest_gram(literal: str) -> int | None:
+    raw = fold(literal).encode("utf-8")
+    grams = [raw[i:i + GRAM] for i in range(len(raw) - GRAM + 1)]
+    best = min(grams, key=lambda g: (sum(_COMMON.get(b, 0) for b in g), g), default=None)
+    return None if best is None else int.from_bytes(best, "little")
 
-    codes: np.ndarray
-    starts: np.ndarray
-    pids: np.ndarray
-    seen: np.ndarray
-    always: np.ndarray
 
-    def find(self, text: str | None) -> np.ndarray:
-        raw = fold_bytes(text or "")
+@dataclass
+class PartIndex:
+    """Literals of one part behind their grams."""
+
+    words: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
+    needles: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
+    always: list[int] = field(default_factory=list)
+    by_gram: dict[int, list[tuple[bool, str]]] = field(default_factory=lambda: defaultdict(list))
+    short: list[tuple[bool, str]] = field(default_factory=list)
+    codes: np.ndarray | None = None
+    seen: np.ndarray | None = None
+
+    def add(self, unit: Unit) -> None:
+        if unit.type == "word":
+            self.words[unit.lowered].append(unit.ix)
+        elif unit.literals:
+            for text in unit.literals:
+                self.needles[text].append(unit.ix)
+        else:
+            self.always.append(unit.ix)
+
+    def close(self) -> PartIndex:
+        for is_word, texts in ((True, self.words), (False, self.needles)):
+            for text in texts:
+                gram = rarest_gram(text)
+                (self.short if gram is None else self.by_gram[gram]).append((is_word, text))
+        self.codes = np.array(sorted(self.by_gram), dtype=np.uint32)
+        self.seen = np.zeros(1 << _BITS, dtype=bool)
+        self.seen[_slot(self.codes)] = True
+        return self
+
+    def _likely(self, raw: bytes) -> list[int]:
         held = [np.frombuffer(raw, "<u4", (len(raw) - k) // GRAM, k) for k in range(GRAM) if len(raw) - k >= GRAM]
         if not held or not len(self.codes):
-            return self.always
-        likely = np.concatenate([c[self.seen[_slot(c)]] for c in held])
-        at = np.searchsorted(self.codes, likely)
-        at = np.unique(at[(at < len(self.codes))][self.codes[at[at < len(self.codes)]] == likely[at < len(self.codes)]])
-        if not len(at):
-            return self.always
-        found = np.concatenate([self.pids[self.starts[i]:self.starts[i + 1]] for i in at])
-        return np.unique(np.concatenate([found, self.always]))
-
-
-def _build(chosen: dict[bytes, set[int]], always: list[int]) -> PartIndex:
-    items = sorted((int.from_bytes(g, "little"), sorted(p)) for g, p in chosen.items())
-    codes = np.array([c for c, _ in items], dtype=np.uint32)
-    seen = np.zeros(1 << _BITS, dtype=bool)
-    seen[_slot(codes)] = True
-    return PartIndex(
-        codes, np.cumsum([0] + [len(p) for _, p in items]),
-        np.array([pid for _, p in items for pid in p], dtype=np.int32), seen,
-        np.array(sorted(always), dtype=np.int32),
-    )
-
-
-def choose_grams(patterns: list[PatternRow]) -> tuple[dict[str, dict[bytes, set[int]]], dict[str, list[int]]]:
-    """Per part: gram to patterns, and the patterns that cannot be pruned."""
-    usage: Counter = Counter()
-    usable = {}
-    for p in patterns:
-        options = [_grams(text) for text in p.literals]
-        if options and all(options):
-            usable[p.pid] = options
-            usage.update({g for grams in options for g in grams})
-    grams: dict = defaultdict(lambda: defaultdict(set))
-    always: dict = defaultdict(list)
-    for p in patterns:
-        if p.pid not in usable:
-            always[p.part].append(p.pid)
-            continue
-        for options in usable[p.pid]:
-            best = min(options, key=lambda g: (sum(_COMMON.get(b, 0) for b in g), usage[g], g))
-            grams[p.part][best].add(p.pid)
-    return grams, always
-
-
-def candidate_ids(patterns: list[PatternRow], skip_always: frozenset[int] = frozenset()) -> Column:
-    """``array<int>`` of patterns worth verifying for (part, lower_text)."""
-    grams, always = choose_grams(patterns)
-    index = {
-        part: _build(grams.get(part, {}), [p for p in always.get(part, []) if p not in skip_always])
-        for part in set(grams) | set(always)
-    }
-
-    @pandas_udf("array<int>")
-    def find(part: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([
-            index[p].find(t) if p in index else np.empty(0, np.int32) for p, t in zip(part, text)
-        ], dtype=object)
+            return []
+        hits = np.concatenate([c[self.seen[_slot(c)]] for c in held])
+        return np.intersect1d(hits, self.codes).tolist()
+
+    def find(self, text: str | None) -> tuple[list[int], list[int]]:
+        """(words contained in the lower-case text, expressions worth trying)."""
+        text = text or ""
+        folded = fold(text)
+        words: list[int] = []
+        tries = set(self.always)
+        checks = self.short + [entry for code in self._likely(folded.encode("utf-8")) for entry in self.by_gram[code]]
+        for is_word, literal in checks:
+            if is_word:
+                if literal in text:
+                    words += self.words[literal]
+            elif literal in folded:
+                tries.update(self.needles[literal])
+        return words, sorted(tries)
+
+
+def build(units: list[Unit]) -> dict[str, PartIndex]:
+    index: dict[str, PartIndex] = defaultdict(PartIndex)
+    for unit in units:
+        index[unit.part].add(unit)
+    return {part: held.close() for part, held in index.items()}
+
+
+def candidates(units: list[Unit]) -> Column:
+    """``struct<words array<int>, tries array<int>>`` for (part, lower_text)."""
+    index = {part: (dict(i.words), dict(i.needles), i.always, dict(i.by_gram), i.short) for part, i in build(units).items()}
+
+    @pandas_udf("words array<int>, tries array<int>")
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        ready = {name: _restore(facts) for name, facts in index.items()}
+        for part, text in batches:
+            found = [ready[p].find(t) if p in ready else ([], []) for p, t in zip(part, text)]
+            yield pd.DataFrame({"words": [w for w, _ in found], "tries": [t for _, t in found]})
 
     # Marked so that the optimizer does not run it a second time in a filter.
     return find.asNondeterministic()(F.col("part"), F.col("lower_text"))
 
 
-def unprunable(patterns: list[PatternRow]) -> list[PatternRow]:
-    _, always = choose_grams(patterns)
-    ids = {pid for held in always.values() for pid in held}
-    return [p for p in patterns if p.pid in ids]
+def _restore(facts: tuple) -> PartIndex:
+    """Index from its plain parts; the lookup arrays are made where they are used."""
+    words, needles, always, by_gram, short = facts
+    index = PartIndex(words, needles, always, by_gram, short)
+    index.codes = np.array(sorted(by_gram), dtype=np.uint32)
+    index.seen = np.zeros(1 << _BITS, dtype=bool)
+    index.seen[_slot(index.codes)] = True
+    return index

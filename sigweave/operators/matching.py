@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigweave.functions.expressions import capture_values, try_column
-from sigweave.functions.text import clip_with_mark, extract
+from sigweave.functions.text import clip_with_mark, extract, let, may_match
 from sigweave.functions.versions import expand_column, group_numbers
-from sigweave.operators.candidates import candidate_ids, unprunable
+from sigweave.operators.candidates import Unit, candidates
+from sigweave.schema import PARTS
 from sigweave.sources.captures import parts
 from sigweave.sources.pack import PatternRow, RulePack
 
@@ -29,81 +30,113 @@ ZERO_WIDTH = "(zero-width match)"
 HIT_COLUMNS = ("capture_id", "pid", "detail", "version", "failed")
 
 
-def condition(p: PatternRow, text: Column, lowered: Column) -> Column:
-    if p.type == "word":
-        return F.contains(lowered, F.lit(p.lowered))
-    return F.rlike(text, F.lit(p.java))
-
-
-def _inline_ids(patterns: list[PatternRow]) -> Column:
-    """Ids of the patterns that hold, tried one by one as literals."""
-    ids = F.lit(None).cast("array<int>")
-    for part in sorted({p.part for p in patterns}):
-        tried = F.array_compact(F.array(*[
-            F.when(condition(p, F.col("text"), F.col("lower_text")), F.lit(p.pid)) for p in patterns if p.part == part
-        ]))
-        ids = F.when(F.col("part") == part, tried).otherwise(ids)
-    return F.coalesce(ids, F.array().cast("array<int>"))
-
-
-def _captured(text: Column, wanted: int) -> Column:
-    """Texts of groups 0..wanted of the first match; missing groups are empty."""
-    return F.array(*[
-        F.when(F.col("groups") >= n, extract(text, F.col("java"), F.least(F.lit(n), F.col("groups")))).otherwise("")
-        for n in range(wanted + 1)
-    ])
+def _condition(u: Unit, text: Column, lowered: Column) -> Column:
+    if u.type == "word":
+        return F.contains(lowered, F.lit(u.lowered))
+    return may_match(u.literals, lowered) & F.rlike(text, F.lit(u.java))
+
+
+def _found(ix: Column | int, detail: Column, captured: Column) -> Column:
+    return F.struct((F.lit(ix) if isinstance(ix, int) else ix).alias("unit"), detail.alias("detail"), captured.alias("captured"))
+
+
+def _regex_detail(text: Column, java: Column) -> Column:
+    return let(extract(text, java, 0), lambda m: F.when(m == "", F.lit(ZERO_WIDTH)).otherwise(clip_with_mark(m, DETAIL_CHARS)))
+
+
+def _inline_hits(units: list[Unit], wanted: int) -> Column:
+    """Units that hold, tried one by one as literal conditions, as an array."""
+    text, lowered = F.col("text"), F.col("lower_text")
+    out = None
+    for part in sorted({u.part for u in units}):
+        rows = []
+        for u in units:
+            if u.part != part:
+                continue
+            if u.type == "word":
+                row = _found(u.ix, F.lit(u.pattern), F.array().cast("array<string>"))
+            else:
+                groups = [extract(text, F.lit(u.java), n) for n in range(min(u.groups, wanted) + 1)] if wanted >= 0 else []
+                row = _found(u.ix, _regex_detail(text, F.lit(u.java)), F.array(*groups).cast("array<string>"))
+            rows.append(F.when(_condition(u, text, lowered), row))
+        tried = F.array_compact(F.array(*rows))
+        out = F.when(F.col("part") == part, tried) if out is None else out.when(F.col("part") == part, tried)
+    return out
+
+
+def _pruned_hits(units: list[Unit], wanted: int) -> Column:
+    """Units that hold, out of the candidates of the page. Texts are looked at in
+    place; what leaves the row is the found detail only."""
+    text = F.col("text")
+    # Written as one text each that the optimizer splits once, when it folds
+    # constants: thousands of separate literals would take seconds to plan.
+    java = F.split(F.lit("\0".join(u.java for u in units if u.java)), "\\x00")
+    most = F.transform(F.split(F.lit(" ".join(str(u.groups) for u in units if u.java)), " "), lambda n: n.cast("int"))
+    pattern = lambda ix: F.element_at(java, ix + 1)
+    words = F.transform(F.col("c.words"), lambda ix: _found(ix, F.lit(None).cast("string"), F.array().cast("array<string>")))
+    held = F.filter(F.col("c.tries"), lambda ix: F.rlike(text, pattern(ix)))
+    groups = lambda ix: F.array(*[
+        F.when(F.element_at(most, ix + 1) >= n, extract(text, pattern(ix), F.least(F.lit(n), F.element_at(most, ix + 1)))).otherwise("") for n in range(wanted + 1)])
+    return F.concat(words, F.transform(held, lambda ix: _found(ix, _regex_detail(text, pattern(ix)), groups(ix).cast("array<string>"))))
 
 
 def _version(pack: RulePack, text: Column | None) -> Column:
+    """Version of runtime values, whose template is filled from the value."""
     if not pack.versions:
         return F.lit("")
-    wanted = max([n for v in pack.versions for n in group_numbers(v) if n < 100] or [0])
-    captured = F.array().cast("array<string>") if text is None else (
-        F.when(F.col("java").isNotNull() & (F.col("version") != ""), _captured(text, wanted)).otherwise(F.array().cast("array<string>"))
-    )
+    wanted = _wanted_groups(pack)
+    none = F.array().cast("array<string>")
+    captured = none if text is None else F.when(F.col("java").isNotNull() & (F.col("version") != ""), F.array(*[
+        F.when(F.col("groups") >= n, extract(text, F.col("java"), F.least(F.lit(n), F.col("groups")))).otherwise("") for n in range(wanted + 1)
+    ])).otherwise(none)
     return F.coalesce(expand_column(F.col("version"), captured, pack.versions), F.lit(""))
 
 
-def _normal_part(p: PatternRow) -> PatternRow:
-    """An unknown part means the body, for the text and not for the evidence."""
-    from dataclasses import replace
+def _wanted_groups(pack: RulePack) -> int:
+    """Highest group a version template refers to; -1 without templates."""
+    return max([n for v in pack.versions for n in group_numbers(v) if n < 100], default=-1)
+
 
-    known = ("body", "title", "url", "header", "raw", "meta", "script")
-    return p if p.part in known else replace(p, part="body")
+def _units(patterns: list[PatternRow]) -> tuple[list[Unit], dict[int, int]]:
+    """Distinct patterns, expressions first, and the unit of each pattern id. An
+    unknown part means the body."""
+    known: dict[tuple, Unit] = {}
+    of: dict[int, int] = {}
+    for p in sorted(patterns, key=lambda p: p.java is None):
+        part = p.part if p.part in PARTS else "body"
+        key = (part, p.type, p.pattern)
+        if key not in known:
+            known[key] = Unit(len(known), part, p.type, p.pattern, p.java, p.groups, p.lowered, p.literals)
+        of[p.pid] = known[key].ix
+    return list(known.values()), of
 
 
 def text_hits(captures: DataFrame, pack: RulePack, types: tuple[str, ...] = ("word", "regex"),
               inline_limit: int = INLINE_PATTERNS) -> DataFrame | None:
-    """Words and regular expressions over the parts of each capture."""
-    patterns = [_normal_part(p) for p in pack.of_type(*types)]
+    """Words and regular expressions over the parts of each capture.
+
+    A pattern that many rules share is looked for once; the narrow result is then
+    joined to the rules that have it.
+    """
+    patterns = pack.of_type(*types)
     if not patterns:
         return None
-    rows = parts(captures, sorted({p.part for p in patterns}))
-    if len(patterns) <= inline_limit:
-        rows = rows.withColumn("pids", _inline_ids(patterns))
-        verify = False
+    units, of = _units(patterns)
+    wanted = _wanted_groups(pack)
+    rows = parts(captures, sorted({u.part for u in units}))
+    if len(units) <= inline_limit:
+        found = _inline_hits(units, wanted)
     else:
-        tried = unprunable(patterns)[:inline_limit]
-        ids = candidate_ids(patterns, frozenset(p.pid for p in tried))
-        rows = rows.withColumn("pids", F.concat(ids, _inline_ids(tried)) if tried else ids)
-        verify = True
-    table = F.broadcast(pack.pattern_table(captures.sparkSession, patterns).drop("part"))
+        rows = rows.withColumn("c", candidates(units))
+        found = _pruned_hits(units, wanted)
     # The outer form, because for the inner one the optimizer adds a filter on the
     # array's size and would then evaluate every condition twice.
-    found = rows.select("capture_id", "text", "lower_text", F.explode_outer("pids").alias("pid")).join(table, "pid")
-    if verify:
-        found = found.where(
-            F.when(F.col("type") == "word", F.contains(F.col("lower_text"), F.col("lowered")))
-            .otherwise(F.rlike(F.col("text"), F.col("java")))
-        )
-    matched = extract(F.col("text"), F.col("java"), 0)
-    detail = F.when(F.col("type") == "word", F.col("pattern")).otherwise(
-        F.when(matched == "", F.lit(ZERO_WIDTH)).otherwise(clip_with_mark(matched, DETAIL_CHARS))
-    )
-    return found.select(
-        "capture_id", "pid", detail.alias("detail"), _version(pack, F.col("text")).alias("version"),
-        F.lit(False).alias("failed"),
-    )
+    narrow = rows.select("capture_id", F.inline_outer(found)).where("unit IS NOT NULL")
+    table = F.broadcast(pack.pattern_table(captures.sparkSession, patterns, of).select("unit", "pid", "pattern", "version"))
+    version = expand_column(F.col("version"), F.col("captured"), pack.versions)
+    return narrow.join(table, "unit").select(
+        "capture_id", "pid", F.coalesce("detail", "pattern").alias("detail"), F.coalesce(version, F.lit("")).alias("version"),
+        F.lit(False).alias("failed"))
 
 
 def _equal_hits(exploded: DataFrame, pack: RulePack, kind: str, on: str, detail: Column,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sigweave.functions import html
 from sigweave.functions.patterns import compile_pattern
 from sigweave.functions.snapshots import redacted
-from sigweave.functions.text import clip, clip_with_mark, extract, lower_text, quoted, trim_space
+from sigweave.functions.text import clip, clip_with_mark, extract, lower_text, may_match, quoted, trim_space
 from sigweave.sources.pack import lower_literal
 
 # Context around a find, and how many finds are shown.
@@ -64,15 +64,17 @@ def try_patterns(samples: DataFrame, patterns: list[str], text: str = "text") ->
 
     Patterns are few and become expressions of one projection.
     """
-    checked = [compile_pattern(p) for p in patterns]
-    sample = F.col(text)
-    rows = F.array(*[
-        F.struct(
-            F.lit(p.source).alias("pattern"), F.lit(p.valid).alias("valid"),
-            (F.rlike(sample, F.lit(p.java)) if p.valid else F.lit(False)).alias("matched"),
-            (clip_with_mark(extract(sample, F.lit(p.java), 0), SAMPLE_DETAIL_CHARS) if p.valid else F.lit("")).alias("detail"))
-        for p in checked])
-    return samples.select(*[c for c in samples.columns if c != text], F.inline(rows))
+    kept = [c for c in samples.columns if c != text]
+    sample, low = F.col(text), F.col("_low")
+
+    def tried(p):
+        detail = clip_with_mark(extract(sample, F.lit(p.java), 0), SAMPLE_DETAIL_CHARS) if p.valid else F.lit("")
+        matched = may_match(p.literals, low) & F.rlike(sample, F.lit(p.java)) if p.valid else F.lit(False)
+        return F.struct(F.lit(p.source).alias("pattern"), F.lit(p.valid).alias("valid"), F.when(matched, detail).alias("found"))
+
+    rows = samples.select(*kept, text, lower_text(sample).alias("_low")).select(
+        *kept, F.inline(F.array(*[tried(compile_pattern(p)) for p in patterns])))
+    return rows.select(*kept, "pattern", "valid", F.col("found").isNotNull().alias("matched"), F.coalesce("found", F.lit("")).alias("detail"))
 
 
 def try_words(samples: DataFrame, words: list[str], condition: str = "or", negative: bool = False, text: str = "text") -> DataFrame:

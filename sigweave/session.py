@@ -33,6 +33,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input out over the cores.
+
+    A table in one small file would be read, and everything after it computed, by
+    one task. Inputs with at least as many splits as cores, which is to say all
+    large ones, are returned as they are and never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application."""
     import zipfile

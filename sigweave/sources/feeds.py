@@ -3,14 +3,14 @@
 A converted feed is a flat table with one row per pattern, ``(tech, section, part,
 type, confidence, version, group_ix, ix, pattern, ...)``: patterns with equal
 confidence and version within a section belong to the matcher ``group_ix``. Flat
-rows keep a technology of any size splittable; ``to_rules`` nests them where rule
+rows keep a technology of any size splittable\; ``to_rules`` nests them where rule
 documents are wanted.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
@@ -29,19 +29,19 @@ KEYWORD_PARTS = ("body", "title", "header", "url")
 # Patterns with suffixes
 
 def clean(pattern: Column) -> Column:
-    return F.split(pattern, "\\\;", 2)[0]
+    return F.split(pattern, "\\\\;", 2)[0]
 
 
 def _suffix(pattern: Column, name: str) -> Column:
     """Text of the last ``name:`` suffix, NULL without one."""
-    tags = F.slice(F.split(pattern, "\\\;"), 2, 1000)
+    tags = F.slice(F.split(pattern, "\\\\;"), 2, 1000)
     held = F.filter(tags, lambda t: t.startswith(f"{name}:"))
     return F.substring(F.try_element_at(held, F.lit(-1)), len(name) + 2, 1_000_000)
 
 
 def suffix_confidence(pattern: Column) -> Column:
     """The last confidence suffix that is a whole number."""
-    tags = F.filter(F.slice(F.split(pattern, "\\\;"), 2, 1000), lambda t: t.rlike("\\Aconfidence:[+-]?[0-9]{1,9}\\z"))
+    tags = F.filter(F.slice(F.split(pattern, "\\\\;"), 2, 1000), lambda t: t.rlike("\\Aconfidence:[+-]?[0-9]{1,9}\\z"))
     return F.substring(F.try_element_at(tags, F.lit(-1)), len("confidence:") + 1, 20).try_cast("int")
 
 
@@ -63,7 +63,7 @@ def quote(text: Column) -> Column:
 def header_pattern(key: Column, pattern: Column) -> Column:
     """Line-anchored pattern for one header or meta name.
 
-    ``^`` in front means the value starts so, otherwise it contains it; an empty
+    ``^`` in front means the value starts so, otherwise it contains it\; an empty
     pattern asks for the name alone.
     """
     start = F.concat(F.lit("(?im)^"), quote(F.lower(key)), F.lit(":"))
@@ -110,14 +110,14 @@ def strings(value: Column) -> Column:
     return F.filter(F.coalesce(out, F.array()), lambda s: s != "")
 
 
-def _keyed(doc: Column, field: str) -> Column:
-    """Sorted ``(key, value)`` entries of an object field."""
-    return F.array_sort(F.transform(F.map_keys(F.coalesce(
-        F.try_variant_get(doc, f"$.{field}", "map<string,variant>"), F.create_map().cast("map<string,variant>"))), lambda k: k))
+def _object(doc: Column, name: str) -> Column:
+    """An object field as ``map<string,variant>``, empty when it is not one."""
+    return F.coalesce(F.try_variant_get(doc, f"$.{name}", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
 
 
-def _member(doc: Column, field: str, key: Column) -> Column:
-    return F.try_element_at(F.try_variant_get(doc, f"$.{field}", "map<string,variant>"), key)
+def _entries(pairs: Column) -> Column:
+    """``array<struct<key, value>>`` of a map in key order."""
+    return F.transform(F.array_sort(F.map_keys(pairs)), lambda k: F.struct(k.alias("key"), F.try_element_at(pairs, k).alias("value")))
 
 
 def technologies(feed: DataFrame, column: str = "value") -> DataFrame:
@@ -128,29 +128,31 @@ def technologies(feed: DataFrame, column: str = "value") -> DataFrame:
 
 # Tech maps
 
-def _patterns(techs: DataFrame, field: str, section: int, form) -> DataFrame:
-    """Rows of a field of texts: ``(tech, section, key, ix, raw)`` in order."""
-    if form is None:
-        rows = techs.select("tech", F.lit("").alias("key"), F.lit(0).alias("key_ix"), F.posexplode(strings(F.try_variant_get("doc", f"$.{field}", "variant"))).alias("value_ix", "raw"))
-    else:
-        keys = techs.select("tech", "doc", F.posexplode(_keyed(F.col("doc"), field)).alias("key_ix", "key"))
-        held = strings(_member(F.col("doc"), field, F.col("key")))
-        if field == "cookies":  # a cookie without a value pattern still counts
-            held = F.when(F.size(held) == 0, F.array(F.lit(""))).otherwise(held)
-        rows = keys.select("tech", "key", "key_ix", F.posexplode(held).alias("value_ix", "raw"))
-    text = clean(F.col("raw"))
-    shaped = text if form is None else form(F.col("key"), text)
-    return rows.select(
-        "tech", F.lit(section).alias("section"), "key", F.struct(F.lit(int(field == "cookies")).alias("f"), "key_ix", "value_ix").alias("ix"),
-        shaped.alias("pattern"), suffix_confidence(F.col("raw")).alias("confidence"), suffix_version(F.col("raw")).alias("version"), text.alias("text"))
+def _field_patterns(field: str, section: int) -> Column:
+    """Raw patterns of one field as structs, in order."""
+    row = lambda key, key_ix, raw, value_ix: F.struct(
+        F.lit(section).alias("section"), F.lit(int(field == "cookies")).alias("f"), key_ix.alias("key_ix"), value_ix.alias("value_ix"),
+        key.alias("key"), raw.alias("raw"))
+    if section in (HTML, SCRIPT, URL):
+        values = strings(F.try_variant_get("doc", f"$.{field}", "variant"))
+        return F.transform(values, lambda raw, j: row(F.lit(""), F.lit(0), raw, j))
+    # A cookie without a value pattern still counts.
+    listed = lambda v: let(strings(v), lambda held: F.when(F.size(held) == 0, F.array(F.lit(""))).otherwise(held)) if field == "cookies" else strings(v)
+    return F.flatten(F.transform(_entries(F.col(f"m_{field}")), lambda e, i: F.transform(listed(e["value"]), lambda raw, j: row(e["key"], i, raw, j))))
+
+
+FIELDS = (("headers", HEADER), ("cookies", HEADER), ("meta", META), ("html", HTML), ("scriptSrc", SCRIPT), ("url", URL))
 
 
 def text_matchers(techs: DataFrame) -> DataFrame:
     """Header, cookie, meta, html, script and url patterns of a tech map."""
-    rows = _patterns(techs, "headers", HEADER, header_pattern).unionByName(
-        _patterns(techs, "cookies", HEADER, cookie_pattern)).unionByName(_patterns(techs, "meta", META, header_pattern))
-    for field, section in (("html", HTML), ("scriptSrc", SCRIPT), ("url", URL)):
-        rows = rows.unionByName(_patterns(techs, field, section, None).where("text <> ''"))
+    keyed = techs.select("tech", "doc", *[_object(F.col("doc"), f).alias(f"m_{f}") for f in ("headers", "cookies", "meta")])
+    raw = keyed.select("tech", F.inline_outer(F.concat(*[_field_patterns(f, s) for f, s in FIELDS]))).where("section IS NOT NULL")
+    text, loose_field = F.col("text"), F.col("section").isin(HTML, SCRIPT, URL)
+    cut = raw.select("*", clean(F.col("raw")).alias("text")).where(~loose_field | (text != ""))
+    shaped = F.when(loose_field, text).when(F.col("f") == 1, cookie_pattern(F.col("key"), text)).otherwise(header_pattern(F.col("key"), text))
+    rows = cut.select("tech", "section", F.struct("f", "key_ix", "value_ix").alias("ix"), shaped.alias("pattern"),
+                      suffix_confidence(F.col("raw")).alias("confidence"), suffix_version(F.col("raw")).alias("version"))
     checked = rows.withColumn("g", guard(F.col("pattern"))).where("g.valid")
     loose = F.col("section").isin(HTML, SCRIPT, URL)
     literal = F.when(loose, plain_literal(F.col("g.pattern")))
@@ -162,11 +164,12 @@ def text_matchers(techs: DataFrame) -> DataFrame:
 
 
 def js_matchers(techs: DataFrame) -> DataFrame:
-    """Runtime paths with their first value pattern; one that does not compile
+    """Runtime paths with their first value pattern\; one that does not compile
     is dropped and the path alone remains."""
-    keys = techs.select("tech", "doc", F.posexplode(_keyed(F.col("doc"), "js")).alias("key_ix", "path"))
-    first = F.coalesce(F.try_element_at(strings(_member(F.col("doc"), "js", F.col("path"))), F.lit(1)), F.lit(""))
-    rows = keys.select("tech", "path", "key_ix", first.alias("raw")).withColumn("g", guard(clean(F.col("raw"))))
+    held = techs.select("tech", _object(F.col("doc"), "js").alias("m"))
+    keys = held.select("tech", F.posexplode(_entries(F.col("m"))).alias("key_ix", "e"))
+    first = F.coalesce(F.try_element_at(strings(F.col("e.value")), F.lit(1)), F.lit(""))
+    rows = keys.select("tech", F.col("e.key").alias("path"), "key_ix", first.alias("raw")).withColumn("g", guard(clean(F.col("raw"))))
     return rows.select(
         "tech", F.lit(JS).alias("section"), F.lit("").alias("part"), F.lit("js").alias("type"),
         F.struct(F.lit(0).alias("f"), "key_ix", F.lit(0).alias("value_ix")).alias("ix"),
@@ -176,15 +179,16 @@ def js_matchers(techs: DataFrame) -> DataFrame:
 
 
 def dom_matchers(techs: DataFrame) -> DataFrame:
-    """DOM selectors. Bare ones must be informative; of the object form text and
+    """DOM selectors. Bare ones must be informative\; of the object form text and
     attribute conditions stay, and what needs page properties is left out."""
     listed = techs.select("tech", F.posexplode(strings(F.try_variant_get("doc", "$.dom", "variant"))).alias("value_ix", "raw"))
     bare = listed.where(informative(clean(F.col("raw")))).select(
         "tech", F.struct(F.lit(0).alias("f"), F.lit(0).alias("key_ix"), "value_ix").alias("ix"), clean(F.col("raw")).alias("pattern"),
         F.lit("").alias("text"), F.lit(None).cast("map<string,string>").alias("attrs"),
         suffix_confidence(F.col("raw")).alias("confidence"), suffix_version(F.col("raw")).alias("version"))
-    keys = techs.select("tech", "doc", F.posexplode(_keyed(F.col("doc"), "dom")).alias("key_ix", "sel"))
-    cond = keys.withColumn("cond", F.try_variant_get(_member(F.col("doc"), "dom", F.col("sel")), "$", "map<string,variant>")).where(
+    held = techs.select("tech", _object(F.col("doc"), "dom").alias("m"))
+    keys = held.select("tech", F.posexplode(_entries(F.col("m"))).alias("key_ix", "e")).select("tech", "key_ix", F.col("e.key").alias("sel"), F.col("e.value").alias("value"))
+    cond = keys.withColumn("cond", F.try_variant_get("value", "$", "map<string,variant>")).where(
         F.col("cond").isNull() | ~F.map_contains_key("cond", "properties"))
     first = lambda v: F.coalesce(F.try_element_at(strings(v), F.lit(1)), F.lit(""))
     given = F.try_variant_get(F.try_element_at("cond", F.lit("attributes")), "$", "map<string,variant>")
@@ -209,15 +213,11 @@ def valid_confidence(value: Column) -> Column:
 
 
 def group_by_meta(rows: DataFrame) -> DataFrame:
-    """Give patterns of a section with equal confidence and version one matcher.
-
-    Matchers are named by the position of their first pattern, found by partial
-    minima; words come before patterns of the same section.
-    """
-    keys = ["tech", "section", "type", "conf_key", "version"]
-    keyed = rows.withColumn("conf_key", F.coalesce("confidence", F.lit(-1)))
-    first = keyed.groupBy(*keys).agg(F.min("ix").alias("group_ix"))
-    return keyed.join(first, keys).drop("conf_key")
+    """Give patterns of a section with equal confidence and version one matcher,
+    named by the position of its first pattern. Words come before patterns of the
+    same section. A group is part of one feed document, so it is never large."""
+    same = Window.partitionBy("tech", "section", "type", F.coalesce("confidence", F.lit(-1)), "version")
+    return rows.withColumn("group_ix", F.min("ix").over(same))
 
 
 def techmap_rows(techs: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def keyword_entries(feed: DataFrame, column: str = "value") -> DataFrame:
 
 def keyword_rows(entries: DataFrame, *keep: str) -> DataFrame:
     """``(rule_id, name, ix, type, part, condition, words, hashes)``: one matcher
-    per usable entry; entries of one product share its rule. ``keep`` names
+    per usable entry\; entries of one product share its rule. ``keep`` names
     further columns, such as the file, that order the entries."""
     kind = F.schema_of_variant("keyword")
     texts = F.coalesce(F.when(kind == "STRING", F.array(F.try_variant_get("keyword", "$", "string"))).when(
@@ -290,7 +290,7 @@ def template_rows(docs: DataFrame, column: str = "doc") -> DataFrame:
     """``(rule_id, name, matchers_condition, block_ix, matcher_ix, type, part,
     condition, negative, payload)`` of scanner templates.
 
-    The ``http`` blocks count, or ``requests`` without any; an unknown part is
+    The ``http`` blocks count, or ``requests`` without any\; an unknown part is
     the body, unsupported types are left out, and the last block that states a
     condition decides for the rule.
     """

@@ -203,9 +203,10 @@ class RulePack:
 
     # Tables. Every one of them is bounded by the checks above.
 
-    def pattern_table(self, spark: SparkSession, rows: list[PatternRow] | None = None) -> DataFrame:
+    def pattern_table(self, spark: SparkSession, rows: list[PatternRow] | None = None, units: dict[int, int] | None = None) -> DataFrame:
         rows = self.patterns if rows is None else rows
-        return _table(spark, rows, [
+        unit = [("unit", pa.int32(), [units[r.pid] for r in rows])] if units else []
+        return _table(spark, rows, unit + [
             ("pid", pa.int32()), ("mid", pa.int32()), ("pattern_ix", pa.int32()), ("type", pa.string()),
             ("part", pa.string()), ("pattern", pa.string()), ("java", pa.string()), ("groups", pa.int32()),
             ("version", pa.string()), ("lowered", pa.string()), ("number", pa.int32()), ("key", pa.string()),
@@ -225,9 +226,10 @@ class RulePack:
         ])
 
 
-def _table(spark: SparkSession, rows: list, fields: list[tuple[str, pa.DataType]]) -> DataFrame:
-    columns = [pa.array([getattr(r, name) for r in rows], kind) for name, kind in fields]
-    return spark.createDataFrame(pa.table(columns, names=[name for name, _ in fields]))
+def _table(spark: SparkSession, rows: list, fields: list[tuple]) -> DataFrame:
+    """Small table from attributes of rows, or from values a field brings along."""
+    columns = [pa.array(f[2] if len(f) > 2 else [getattr(r, f[0]) for r in rows], f[1]) for f in fields]
+    return spark.createDataFrame(pa.table(columns, names=[f[0] for f in fields]))
 
 
 __all__ = ["MATCHER_TYPES", "PAYLOAD_FIELD", "PackTooLarge", "RulePack", "lower_literal", "probe_key"]
