@@ -12,16 +12,16 @@ from checks.base import query, sql_text, sql_values, table
 from sigweave.sources import favicons, feeds, loose, rules
 
 TECH = json.dumps({"Tech §": {
-    "headers": {"Server": "@/([0-9]+)\;version:\\1\;confidence:50", "x.Powered": "^on§", "A-Only": ""},
-    "cookies": {"sid+§": "", "tok": "a+\;confidence:50\;version:\\1"},
-    "meta": {"generator": ["¤ ([0-9.]+)\;version:\\1", "^¤", 7]},
-    "html": ["<div class=\"w-§\">", "x{1,512}y§", "(?=bad)", "a.b\;confidence:200", "two\\\\words", "\;confidence:3"],
-    "scriptSrc": "js\\/¤\;confidence:40", "url": ["^https?://§\\.", "z++"],
-    "js": {"App.v": "^(\\d+)$\;version:\\1", "App.bad": "(\;confidence:30", "App.on": "", "B.list": ["b{2,40}", "c"]},
-    "dom": {"#app-§": {"exists": ""}, "div": {"exists": ""}, "p": {"text": "hello §\;confidence:60"}, "img": {"attributes": {"src": "logo§\;version:\\1", "alt": ""}},
+    "headers": {"Server": "@/([0-9]+)\\;version:\\1\\;confidence:50", "x.Powered": "^on§", "A-Only": ""},
+    "cookies": {"sid+§": "", "tok": "a+\\;confidence:50\\;version:\\1"},
+    "meta": {"generator": ["¤ ([0-9.]+)\\;version:\\1", "^¤", 7]},
+    "html": ["<div class=\"w-§\">", "x{1,512}y§", "(?=bad)", "a.b\\;confidence:200", "two\\\\words", "\\;confidence:3"],
+    "scriptSrc": "js\\/¤\\;confidence:40", "url": ["^https?://§\\.", "z++"],
+    "js": {"App.v": "^(\\d+)$\\;version:\\1", "App.bad": "(\\;confidence:30", "App.on": "", "B.list": ["b{2,40}", "c"]},
+    "dom": {"#app-§": {"exists": ""}, "div": {"exists": ""}, "p": {"text": "hello §\\;confidence:60"}, "img": {"attributes": {"src": "logo§\\;version:\\1", "alt": ""}},
             ".x": {"properties": {"a": ""}}, "body > *": ""},
-    "implies": ["Base §\;confidence:50", "", "¤"], "excludes": "Other\;version:1"}}, ensure_ascii=False)
-LISTED = json.dumps({"Listed §": {"dom": ["div.w§\;confidence:70", "*", "a, #b"], "html": "plain/§"}, "Empty §": {"implies": "Tech §"}}, ensure_ascii=False)
+    "implies": ["Base §\\;confidence:50", "", "¤"], "excludes": "Other\\;version:1"}}, ensure_ascii=False)
+LISTED = json.dumps({"Listed §": {"dom": ["div.w§\\;confidence:70", "*", "a, #b"], "html": "plain/§"}, "Empty §": {"implies": "Tech §"}}, ensure_ascii=False)
 
 # Expected: tech, section, part, type, position, pattern, path, attrs, confidence, version, position of the matcher.
 Q = "(?im)^"
@@ -138,7 +138,7 @@ SELECT p_partkey, p_name AS pattern, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE
   CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '\1.' || (p_partkey % 3) END AS version FROM part""")
 def feed_pattern_suffix(spark, sf):
     k = F.col("p_partkey")
-    sep = F.lit("\;")
+    sep = F.lit("\\;")
     conf = F.when(k % 4 == 0, "confidence:high").otherwise(F.concat(F.lit("confidence:"), (F.col("p_size") % 120).cast("string")))
     ver = F.when(k % 5 == 0, "other:1").otherwise(F.concat(F.lit("version:\\1."), (k % 3).cast("string")))
     raw = F.concat(F.col("p_name"), sep, conf, sep, F.lit("x"), sep, ver)

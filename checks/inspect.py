@@ -169,10 +169,7 @@ def dom_hit_selectors(spark, sf):
 SELECT capture_id, rule_id, CASE rule_id WHEN 'react' THEN CASE WHEN react IS NULL THEN 'React.version,Vue.version' ELSE 'Vue.version' END WHEN 'node-js' THEN 'process.version' ELSE '' END AS missing,
   rule_id = 'next-js' AS has_dom, false AS complete FROM texts, (VALUES ('react'), ('node-js'), ('next-js')) r(rule_id)""")
 def agg_runtime_coverage(spark, sf):
-    docs = spark.createDataFrame([(json.dumps(core_pack().source),)], "doc string")
-    from sigweave.sources.rules import typed_rules
-
-    rows = probes.coverage(captures(spark, sf), typed_rules(docs))
+    rows = probes.coverage(captures(spark, sf), core_pack())
     return rows.select("capture_id", "rule_id", F.array_join("missing_paths", ",").alias("missing"), "has_dom", "complete")
 
 

@@ -11,6 +11,7 @@ from sigweave.functions import html
 from sigweave.functions.hashing import probe_id
 from sigweave.functions.patterns import compile_pattern
 from sigweave.functions.text import RE2_SPACE
+from sigweave.sources.pack import RulePack, probe_key
 
 COMPOUND = re.compile(r"\s*(?P<tag>\*|[A-Za-z][\w-]*)?(?P<rest>(?:[.#][\w-]+|\[[\w-]+(?:[~^$*|]?=(?:\"[^\"]*\"|'[^']*'|[^\]\s]+))?\])*)\s*\Z")
 SIMPLE = re.compile(r"\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[~^$*|]?)=(?P<value>\"[^\"]*\"|'[^']*'|[^\]\s]+))?\]")
@@ -38,19 +39,17 @@ def hit_selectors(captures: DataFrame, probes: DataFrame) -> DataFrame:
     return named.groupBy("capture_id").agg(F.array_sort(F.collect_set("sel")).alias("selectors"))
 
 
-def coverage(captures: DataFrame, rules: DataFrame) -> DataFrame:
+def coverage(captures: DataFrame, pack: RulePack) -> DataFrame:
     """``(capture_id, rule_id, missing_paths, has_dom, complete)`` for rules with
-    runtime or DOM matchers. The rules travel as one small list per capture row,
-    so nothing is paired up by a join; ``rules`` must be a pack-sized table."""
-    probes = rules.select(
-        F.col("rule.id").alias("rule_id"),
-        F.array_distinct(F.flatten(F.transform(F.filter("rule.matchers", lambda m: m["type"] == "js"), lambda m: F.transform(m["js"], lambda p: p["path"])))).alias("paths"),
-        F.exists("rule.matchers", lambda m: m["type"] == "dom").alias("has_dom"),
-    ).where("has_dom OR size(paths) > 0").collect()
-    spark_rows = F.array(*[F.struct(
-        F.lit(r["rule_id"]).alias("rule_id"), F.array(*map(F.lit, r["paths"])).cast("array<string>").alias("paths"),
-        F.lit(r["has_dom"]).alias("has_dom")) for r in probes])
-    rows = captures.select("capture_id", F.map_keys("js").alias("known"), F.inline(spark_rows))
+    runtime or DOM matchers. What the rules ask for is part of the projection, so
+    each capture is judged where it is read."""
+    asked = []
+    for rule in pack.source:
+        paths = list(dict.fromkeys(p.get("path") or "" for m in rule["matchers"] if m.get("type") == "js" for p in m.get("js") or []))
+        has_dom = any(m.get("type") == "dom" for m in rule["matchers"])
+        if paths or has_dom:
+            asked.append(F.struct(F.lit(rule["id"]).alias("rule_id"), F.array(*map(F.lit, paths)).cast("array<string>").alias("paths"), F.lit(has_dom).alias("has_dom")))
+    rows = captures.select("capture_id", F.map_keys("js").alias("known"), F.inline(F.array(*asked)))
     missing = F.array_except("paths", "known")
     return rows.select("capture_id", "rule_id", missing.alias("missing_paths"), "has_dom", ((F.size(missing) == 0) & ~F.col("has_dom")).alias("complete"))
 
@@ -98,8 +97,6 @@ def offline_dom_hits(captures: DataFrame, probes: list[dict]) -> tuple[DataFrame
     """(``(capture_id, probe_id)`` of probes that hold in stored HTML, uncovered
     selectors). Probes with a text condition or a selector beyond one compound
     are returned as uncovered."""
-    from sigweave.sources.pack import probe_key
-
     usable, uncovered = [], []
     for p in probes:
         checks = parse_selector(p["sel"])

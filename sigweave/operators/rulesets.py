@@ -113,7 +113,7 @@ def new_set_ids(names: DataFrame, taken: DataFrame) -> DataFrame:
     suffix = F.regexp_extract("set_id", "-([0-9]{1,9})\\z", 1)
     used = taken.select(F.regexp_replace("set_id", "-[0-9]{1,9}\\z", "").alias("base"), suffix.try_cast("int").alias("n")).unionByName(
         taken.select(F.col("set_id").alias("base"), F.lit(1).alias("n")))
-    numbers = used.where("n >= 1").join(F.broadcast(based.select("base").distinct()), "base", "left_semi").groupBy("base").agg(
+    numbers = used.where("n >= 1").join(based.select("base").distinct(), "base", "left_semi").groupBy("base").agg(
         F.collect_set("n").alias("used"))
     free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("used") + 1), F.col("used")))
     n = F.when(F.array_contains("used", 1), free).otherwise(F.lit(1))
