@@ -195,7 +195,13 @@ def agg_regex_health(spark, sf):
     return health.summary(_health(spark, sf))
 
 
-@query("win_anchor_rank")
+@query("win_anchor_rank", HEALTH_SQL + """,
+strong AS (SELECT *, length(regexp_replace(anchor, '[^A-Za-z0-9]', '', 'g'))::INTEGER AS strength FROM (
+  SELECT set_id, ord, pattern, CASE WHEN ord % 10 = 0 THEN p_name || '-' WHEN length((ord // 10) || 'x') <= length(replace(p_name, ' ', '')) THEN (ord // 10) || 'x' ELSE p_name END AS anchor
+  FROM pats WHERE kind = 'prefilterable')),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY strength, pattern, ord) AS up, row_number() OVER (PARTITION BY set_id ORDER BY strength DESC, pattern, ord) AS down FROM strong)
+SELECT set_id, 'short' AS list, up::INTEGER AS place, pattern, anchor, strength FROM ranked WHERE up <= 20
+UNION ALL SELECT set_id, 'long', down::INTEGER, pattern, anchor, strength FROM ranked WHERE down <= 20""")
 def win_anchor_rank(spark, sf):
     return health.anchor_ranking(_health(spark, sf)).select("set_id", "list", "place", "pattern", "anchor", "strength")
 

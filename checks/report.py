@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import captures, query, table, with_captures
 from checks.match import FINAL_SQL, detected
 from sigweave.operators import reports
+from sigweave.plans import jobs
 from sigweave.sources import sinks
 
 FINAL = with_captures(FINAL_SQL)
@@ -77,20 +78,19 @@ clean AS (SELECT ord, url, CASE WHEN trim(url) LIKE 'http%' THEN split_part(trim
 verdicts AS (SELECT ord, target, CASE WHEN target IS NULL THEN 'invalid' WHEN row_number() OVER (PARTITION BY target ORDER BY ord) = 1 THEN 'kept' ELSE 'duplicate' END AS verdict FROM clean)"""
 
 
-def _targets(spark, sf):
+def _inputs(spark, sf):
     c = F.col("capture_id")
     caps = captures(spark, sf).select("capture_id", "url")
-    inputs = (
+    return (
         caps.select((c * 4).alias("ord"), "url")
         .unionByName(caps.where(c % 3 == 0).select((c * 4 + 1).alias("ord"), F.concat(F.lit("  "), F.col("url"), F.lit("#again ")).alias("url")))
         .unionByName(caps.where(c % 5 == 0).select((c * 4 + 2).alias("ord"), F.concat(F.lit("ftp://"), c.cast("string")).alias("url")))
         .unionByName(caps.select((c * 4 + 3).alias("ord"), F.concat(F.lit("https://gone.example.com/"), (c % 11).cast("string")).alias("url"))))
-    return reports.classify_targets(inputs)
 
 
 @query("set_dedup_targets", with_captures(TARGETS_SQL) + " SELECT ord, target, verdict FROM verdicts")
 def set_dedup_targets(spark, sf):
-    return _targets(spark, sf).select("ord", "target", "verdict")
+    return reports.classify_targets(_inputs(spark, sf)).select("ord", "target", "verdict")
 
 
 # A page answers for its own address; equal addresses are answered by the first.
@@ -101,15 +101,7 @@ totals AS (SELECT capture_id, count(*) AS total_hits FROM final GROUP BY ALL)"""
 
 
 def _batch(spark, sf):
-    caps, targets = captures(spark, sf), _targets(spark, sf)
-    kept = targets.where("verdict = 'kept'").select("target")
-    answering = caps.select("capture_id", F.regexp_replace("url", "#.*\\z", "").alias("target")).groupBy("target").agg(F.min("capture_id").alias("capture_id"))
-    answered = kept.join(answering, "target", "left")
-    scans = answered.where("capture_id IS NOT NULL").join(caps.select("capture_id", "url", "title", "status"), "capture_id") \
-        .withColumnRenamed("target", "requested_url")
-    results = reports.batch_results(scans, detected(spark, sf))
-    failures = answered.where("capture_id IS NULL").select(F.col("target").alias("url"), F.lit("not stored").alias("error"))
-    return targets, results, failures
+    return jobs.batch_scan(_inputs(spark, sf), captures(spark, sf), detected(spark, sf))
 
 
 @query("win_batch_topk", with_captures(BATCH_SQL) + """
@@ -117,8 +109,7 @@ SELECT s.target AS requested_url, c.url AS final_url, c.title[:300] AS title, c.
   list_sum(list_transform([1], lambda x: least(total_hits, 20)))::INTEGER AS n_shown, f.name AS first_name
 FROM scans s JOIN captures c USING (capture_id) JOIN totals USING (capture_id) JOIN final f ON f.capture_id = c.capture_id AND f.hit_ord = 1""")
 def win_batch_topk(spark, sf):
-    _, results, _ = _batch(spark, sf)
-    return results.select("requested_url", "final_url", "title", "status", "total_hits", F.size("hits").alias("n_shown"),
+    return _batch(spark, sf).results.select("requested_url", "final_url", "title", "status", "total_hits", F.size("hits").alias("n_shown"),
                           F.col("hits")[0]["name"].alias("first_name"))
 
 
@@ -126,8 +117,7 @@ def win_batch_topk(spark, sf):
 SELECT count(*) FILTER (verdict = 'kept') AS total, count(*) FILTER (verdict = 'invalid') AS invalid, count(*) FILTER (verdict = 'duplicate') AS duplicate,
   (SELECT count(capture_id) FROM scans) AS completed, (SELECT count(*) FROM scans WHERE capture_id IS NULL) AS failed FROM verdicts""")
 def agg_batch_counters(spark, sf):
-    targets, results, _ = _batch(spark, sf)
-    return reports.batch_counters(targets, results)
+    return _batch(spark, sf).counters
 
 
 @query("sink_batch_csv", with_captures(BATCH_SQL) + """
@@ -136,8 +126,8 @@ SELECT s.target AS requested_url, c.url AS final_url, c.title[:300] AS title, c.
 FROM scans s JOIN captures c USING (capture_id) JOIN totals USING (capture_id) JOIN final f ON f.capture_id = c.capture_id AND f.hit_ord <= 20
 UNION ALL SELECT target, '', '', '', '', '', '', '', '', 'not stored' FROM scans WHERE capture_id IS NULL""")
 def sink_batch_csv(spark, sf):
-    _, results, failures = _batch(spark, sf)
-    return sinks.batch_table(results, failures)
+    scan = _batch(spark, sf)
+    return sinks.batch_table(scan.results, scan.failures)
 
 
 @query("sink_batch_json", with_captures(BATCH_SQL) + """
@@ -145,8 +135,8 @@ SELECT 'result' AS kind, s.target AS url, total_hits::INTEGER AS total_hits, ''
 UNION ALL SELECT 'failure', target, 0, 'not stored' FROM scans WHERE capture_id IS NULL
 UNION ALL SELECT 'counters', '', (SELECT count(*) FROM scans)::INTEGER, ''""")
 def sink_batch_json(spark, sf):
-    targets, results, failures = _batch(spark, sf)
-    lines = sinks.batch_report(reports.batch_counters(targets, results), results, failures)
+    scan = _batch(spark, sf)
+    lines = sinks.batch_report(scan.counters, scan.results, scan.failures)
     get = lambda p: F.get_json_object("value", p)
     return lines.select("kind", F.coalesce(get("$.requestedUrl"), get("$.url"), F.lit("")).alias("url"),
                         F.coalesce(get("$.totalHits"), get("$.total"), F.lit("0")).cast("int").alias("total_hits"),

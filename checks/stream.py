@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import captures, core_pack, query, table, with_captures
-from checks.match import CLOSED
+from checks.match import CLOSED, match_sql
 from sigweave.operators import reports
 from sigweave.plans import detect
 from sigweave.session import cut_lineage
@@ -106,7 +106,7 @@ def st_route_debounce(spark, sf):
     return streams.changed_routes(spark.read.parquet(out)).select("tab_id", F.unix_micros("opened").alias("opened_us"), "url")
 
 
-@query("st_rule_change_rescan")
+@query("st_rule_change_rescan", with_captures(match_sql(core_pack().only("status", "js"))) + " SELECT capture_id, rule_id, name FROM rule_hits")
 def st_rule_change_rescan(spark, sf):
     """Every stored capture is matched again after changes came to rest."""
     changes = table(spark, sf, "events").where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("scope"))

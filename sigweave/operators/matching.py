@@ -131,7 +131,7 @@ def text_hits(captures: DataFrame, pack: RulePack, types: tuple[str, ...] = ("wo
         found = _pruned_hits(units, wanted)
     # The outer form, because for the inner one the optimizer adds a filter on the
     # array's size and would then evaluate every condition twice.
-    narrow = rows.select("capture_id", F.inline_outer(found)).where("unit IS NOT NULL")
+    narrow = rows.select("capture_id", found.alias("found")).select("capture_id", F.inline_outer("found")).where("unit IS NOT NULL")
     table = F.broadcast(pack.pattern_table(captures.sparkSession, patterns, of).select("unit", "pid", "pattern", "version"))
     version = expand_column(F.col("version"), F.col("captured"), pack.versions)
     return narrow.join(table, "unit").select(

@@ -196,3 +196,21 @@ def test_skewed_targets(spark):
         F.concat(F.lit("https://c.example.com/"), F.col("id").cast("string"))).alias("url"))
     counts = {r["verdict"]: r["n"] for r in reports.classify_targets(rows).groupBy("verdict").agg(F.count("*").alias("n")).collect()}
     assert counts == {"kept": 2001, "duplicate": 999}
+
+
+def test_feed_refresh_and_rollback(spark):
+    from sigweave.operators import rulesets
+    from sigweave.plans.jobs import refresh_feed
+
+    sets = spark.createDataFrame([("own", "Own", 0, 0, "a", "1")], "set_id string, set_name string, set_ord int, rule_ord long, rule_id string, rule string")
+    versions = spark.createDataFrame([], "set_id string, rule_id string, rule string, version int")
+    feed = lambda rows: spark.createDataFrame(rows, "rule_id string, rule_ord long, rule string")
+    first = refresh_feed(sets, versions, "src", "Source", feed([("x", 0, "1"), ("y", 1, "1")]))
+    again = refresh_feed(first.rule_sets, first.versions, "src", "Source", feed([("y", 1, "1"), ("x", 0, "1")]))
+    second = refresh_feed(first.rule_sets, first.versions, "src", "Source", feed([("x", 0, "2"), ("z", 1, "1")]))
+    assert (first.unchanged, again.unchanged, second.unchanged) == (False, True, False)
+    assert second.summary.collect()[0].asDict() == {"added": 1, "removed": 1, "changed": 1, "unchanged": 0}
+    back = rulesets.current_version(rulesets.rollback(second.versions))
+    assert sorted(r["rule_id"] for r in back.collect()) == ["x", "y"]
+    forth = rulesets.current_version(rulesets.rollback(rulesets.rollback(second.versions)))
+    assert sorted(r["rule_id"] for r in forth.collect()) == ["x", "z"]
