@@ -131,6 +131,7 @@ class RulePack:
     rules: list[RuleRow] = field(default_factory=list)
     matchers: list[MatcherRow] = field(default_factory=list)
     patterns: list[PatternRow] = field(default_factory=list)
+    _tables: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         if len(self.source) > MAX_RULES:
@@ -206,30 +207,33 @@ class RulePack:
     def pattern_table(self, spark: SparkSession, rows: list[PatternRow] | None = None, units: dict[int, int] | None = None) -> DataFrame:
         rows = self.patterns if rows is None else rows
         unit = [("unit", pa.int32(), [units[r.pid] for r in rows])] if units else []
-        return _table(spark, rows, unit + [
+        return self._table(spark, "patterns", rows, unit + [
             ("pid", pa.int32()), ("mid", pa.int32()), ("pattern_ix", pa.int32()), ("type", pa.string()),
             ("part", pa.string()), ("pattern", pa.string()), ("java", pa.string()), ("groups", pa.int32()),
             ("version", pa.string()), ("lowered", pa.string()), ("number", pa.int32()), ("key", pa.string()),
         ])
 
     def matcher_table(self, spark: SparkSession) -> DataFrame:
-        return _table(spark, self.matchers, [
+        return self._table(spark, "matchers", self.matchers, [
             ("mid", pa.int32()), ("rule_ord", pa.int32()), ("matcher_ix", pa.int32()), ("type", pa.string()),
             ("part", pa.string()), ("condition", pa.string()), ("negative", pa.bool_()),
             ("n_patterns", pa.int32()), ("n_invalid", pa.int32()), ("confidence", pa.int32()),
         ])
 
     def rule_table(self, spark: SparkSession) -> DataFrame:
-        return _table(spark, self.rules, [
+        return self._table(spark, "rules", self.rules, [
             ("rule_ord", pa.int32()), ("rule_id", pa.string()), ("name", pa.string()),
             ("condition", pa.string()), ("n_matchers", pa.int32()), ("confidence", pa.int32()),
         ])
 
-
-def _table(spark: SparkSession, rows: list, fields: list[tuple]) -> DataFrame:
-    """Small table from attributes of rows, or from values a field brings along."""
-    columns = [pa.array(f[2] if len(f) > 2 else [getattr(r, f[0]) for r in rows], f[1]) for f in fields]
-    return spark.createDataFrame(pa.table(columns, names=[f[0] for f in fields]))
+    def _table(self, spark: SparkSession, name: str, rows: list, fields: list[tuple]) -> DataFrame:
+        """Small table from attributes of rows, or from values a field brings
+        along; made once per application and selection of rows."""
+        key = (spark.sparkContext.applicationId, name, tuple(f[0] for f in fields), tuple(getattr(r, "pid", 0) for r in rows))
+        if key not in self._tables:
+            columns = [pa.array(f[2] if len(f) > 2 else [getattr(r, f[0]) for r in rows], f[1]) for f in fields]
+            self._tables[key] = spark.createDataFrame(pa.table(columns, names=[f[0] for f in fields]))
+        return self._tables[key]
 
 
 __all__ = ["MATCHER_TYPES", "PAYLOAD_FIELD", "PackTooLarge", "RulePack", "lower_literal", "probe_key"]
