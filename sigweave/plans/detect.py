@@ -11,6 +11,8 @@ from sigweave.sources.pack import RulePack
 
 def rule_hits(captures: DataFrame, pack: RulePack, inline_limit: int = matching.INLINE_PATTERNS) -> DataFrame:
     found = matching.pattern_hits(captures, pack, inline_limit)
+    if not pack.negative_ids:
+        return folding.positive_rule_hits(found, pack)
     return folding.rule_hits(folding.matcher_hits(found, captures, pack), pack)
 
 

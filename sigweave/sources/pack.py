@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from sigweave.functions.expressions import is_readable
 from sigweave.functions.hashing import FNV_OFFSET, FNV_PRIME
 from sigweave.functions.patterns import compile_pattern
-from sigweave.schema import MATCHER_TYPES, PAYLOAD_FIELD
 
 MAX_RULES = 100_000
 MAX_PATTERNS = 1_000_000
@@ -236,4 +235,4 @@ class RulePack:
         return self._tables[key]
 
 
-__all__ = ["MATCHER_TYPES", "PAYLOAD_FIELD", "PackTooLarge", "RulePack", "lower_literal", "probe_key"]
+__all__ = ["PackTooLarge", "RulePack", "lower_literal", "probe_key"]

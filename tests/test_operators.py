@@ -214,3 +214,18 @@ def test_feed_refresh_and_rollback(spark):
     assert sorted(r["rule_id"] for r in back.collect()) == ["x", "y"]
     forth = rulesets.current_version(rulesets.rollback(rulesets.rollback(second.versions)))
     assert sorted(r["rule_id"] for r in forth.collect()) == ["x", "z"]
+
+
+def test_one_grouping_equals_two(spark):
+    """Packs without negative matchers take a shorter way to the same hits."""
+    from checks.base import captures, core_pack
+
+    rows = captures(spark, "/root/testdata/sf0.001")
+    source = [{**r, "matchers": [{**m, "negative": False} for m in r["matchers"]]} for r in core_pack().source]
+    pack = RulePack(source)
+    found = matching.pattern_hits(rows, pack)
+    columns = ["capture_id", "rule_ord", "rule_id", "name", "version", "confidence", "evidence"]
+    long = folding.rule_hits(folding.matcher_hits(found, rows, pack), pack).select(*columns)
+    short = detect.rule_hits(rows, pack).select(*columns)
+    assert sorted(map(repr, long.collect())) == sorted(map(repr, short.collect()))
+    assert short.count() > 300
