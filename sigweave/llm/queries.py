@@ -48,3 +48,37 @@ def op10_length_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigweave.llm.topk import top_k
 
     return top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigweave.llm.lines import remove_lines
+
+    out = remove_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+SQL["op7_line_dedup"] = r"""
+WITH lines AS (
+    SELECT doc_id, pos - 1 AS pos, line
+    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                 generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
+seen AS (
+    SELECT line, min((doc_id, pos)) AS first, string_split(line, ' ') AS w
+    FROM lines WHERE regexp_matches(line, '\S') GROUP BY line),
+long AS (SELECT line, first, w, len(w) AS n FROM seen WHERE len(w) >= 8),
+cut AS (
+    SELECT line, first, n, i, w[1:i - 1] || w[i + 1:n] AS rest
+    FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM long)),
+near AS (
+    SELECT a.line FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.n = b.n WHERE b.first < a.first
+    UNION SELECT a.line FROM cut a JOIN long b ON a.rest = b.w WHERE b.first < a.first
+    UNION SELECT a.line FROM long a JOIN cut b ON a.w = b.rest WHERE b.first < a.first),
+fate AS (
+    SELECT l.doc_id, l.pos, l.line,
+           coalesce(s.line IS NOT NULL AND ((l.doc_id, l.pos) > s.first OR n.line IS NOT NULL), false) AS gone
+    FROM lines l LEFT JOIN seen s ON l.line = s.line LEFT JOIN near n ON l.line = n.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM fate GROUP BY doc_id
+"""
