@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,11 @@ from sigweave.llm.common import arrow_map, id_and_text, partitions, store
 #: Curve dimensions, bits of a coordinate, buckets of the hashed vector.
 DIMS, BITS, BUCKETS = 4, 8, 512
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+
+#: Words of characters below this are split here.
+LATIN_END = 0x250
+LATIN = chr(LATIN_END)
 
 PIECES = "doc_id long, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -60,35 +65,69 @@ class WordEncoder:
 
     The encoder's splitter never joins a space that a visible character follows to
     what stands before it, so a text may be cut there and the parts encoded apart.
-    Most parts are words seen before.
+    Most parts are words seen before. New words of Latin letters are split here, by the
+    splitter's own pattern, and their pieces given to the merge model; all others go
+    through the whole encoder.
     """
 
-    # A space that no other white space follows.
+    # A space that no other white space follows, and a text that has other spaces.
     CUT = re.compile(r" (?=\S)")
     ODD = re.compile(r" (?=\s|$)")
+    # Fixed value: the published splitting pattern of the byte-level encoder.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        self.code = self.kind[1:].replace("u2", "H").replace("u4", "I")
+        self.model = self.tokenizer.model
+        self.split = regex.compile(self.SPLIT).findall
+        # How the encoder writes each byte as a character: learnt from it, not repeated here.
+        show = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.shown: dict[int, str] = {}
+        for c in map(chr, range(LATIN_END)):
+            written = "".join(part for part, _ in show(c))
+            self.shown.update(zip(c.encode(), written, strict=True))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in out]
 
+    def _piece(self, piece: str) -> bytes:
+        known = self.pieces.get(piece)
+        if known is None:
+            written = piece.encode().decode("latin-1").translate(self.shown)
+            known = self.pieces[piece] = array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
+        return known
+
+    def _learn(self, new: list[str], special: bool) -> None:
+        """Remember the ids of words, each with the space before it."""
+        latin = [w for w in new if max(w) < LATIN and w.replace("\n", "").isprintable() and not (special and any(t in w for t in self.special))]
+        split, piece, words = self.split, self._piece, self.words
+        for w in latin:
+            words[w] = b"".join([piece(p) for p in split(" " + w)])
+        if len(latin) < len(new):
+            odd = [w for w in new if w not in words]
+            words.update(zip(odd, self._whole([" " + w for w in odd]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of the type ``kind``."""
         parts = [self.CUT.split(t) if self.ODD.search(t) else t.split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for p in parts for w in p[1:] if w not in known})
-        known.update(zip(new, self._encode([" " + w for w in new]), strict=True))
-        heads = self._encode([p[0] for p in parts])
-        return [h + b"".join([known[w] for w in p[1:]]) for h, p in zip(heads, parts, strict=True)]
+        for kept in (self.words, self.pieces):
+            if len(kept) > REMEMBERED:
+                kept.clear()
+        words = self.words
+        new: set[str] = set().union(*(p[1:] for p in parts)).difference(words)
+        self._learn(list(new), any(t in x for x in texts for t in self.special))
+        heads = self._whole([p[0] for p in parts])
+        return [h + b"".join([words[w] for w in p[1:]]) for h, p in zip(heads, parts, strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
