@@ -82,3 +82,13 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM fate GROUP BY doc_id
 """
+
+
+@query
+def op3_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigweave.llm.common import id_remainder
+    from sigweave.llm.toxicity import fit, score
+
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score(docs, *fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
