@@ -92,3 +92,32 @@ def op3_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     scored = score(docs, *fit(docs, read_table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigweave.llm.jaccard import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+SQL["op2_jaccard_join"] = r"""
+WITH RECURSIVE texts AS (SELECT coalesce(text, '') AS text, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY 1),
+split AS (SELECT first, copies, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+') AS w FROM texts),
+grams AS (
+    SELECT DISTINCT first, w[i:i + least(5, len(w)) - 1] AS gram
+    FROM (SELECT first, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM split WHERE len(w) > 0)),
+sizes AS (SELECT first, count(*) AS n FROM grams GROUP BY first),
+shared AS (
+    SELECT a.first AS a, b.first AS b, count(*) AS common
+    FROM grams a JOIN grams b ON a.gram = b.gram AND a.first <> b.first GROUP BY ALL),
+links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.first = a JOIN sizes y ON y.first = b
+    WHERE common >= 0.8 * (x.n + y.n - common) - 1e-6),
+reach AS (SELECT first AS a, first AS b FROM texts UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+class AS (SELECT a AS first, min(b) AS class_id FROM reach GROUP BY a),
+counted AS (SELECT a AS first, count(*) AS n_links, sum(copies) AS linked FROM links JOIN texts ON texts.first = b GROUP BY a)
+SELECT d.doc_id, t.first AS rep_id, class_id, coalesce(n_links, 0) AS n_links,
+       (coalesce(linked, 0) + copies - 1)::BIGINT AS n_linked_rows
+FROM documents d JOIN texts t ON coalesce(d.text, '') = t.text JOIN class USING (first) LEFT JOIN counted USING (first)
+"""
