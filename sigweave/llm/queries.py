@@ -121,3 +121,10 @@ SELECT d.doc_id, t.first AS rep_id, class_id, coalesce(n_links, 0) AS n_links,
        (coalesce(linked, 0) + copies - 1)::BIGINT AS n_linked_rows
 FROM documents d JOIN texts t ON coalesce(d.text, '') = t.text JOIN class USING (first) LEFT JOIN counted USING (first)
 """
+
+
+@query
+def op5_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigweave.llm.ppm import score
+
+    return score(read_table(spark, sf_dir, "documents"))
