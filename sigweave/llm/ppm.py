@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sigweave.llm.common import arrow_map, id_remainder, store, text_of
 from sigweave.llm.counting import count_keys, merge
 
-ORDER = 4
+ORDER = 5
 #: Bytes a canonical text can hold: all but tab, vertical tab, form feed and return; the
 #: line feed is the end.
 SYMBOLS = 252
