@@ -128,3 +128,11 @@ def op5_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigweave.llm.ppm import score
 
     return score(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigweave.llm.suffixes import remove_repeats
+
+    out = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
