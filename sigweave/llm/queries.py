@@ -136,3 +136,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigweave.llm.imatch import fingerprints
+
+    return fingerprints(read_table(spark, sf_dir, "documents"))
