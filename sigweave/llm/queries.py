@@ -143,3 +143,11 @@ def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigweave.llm.imatch import fingerprints
 
     return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigweave.llm.pieces import encode
+
+    out = encode(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", "variant", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "lossless")
