@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigweave.llm.common import arrow_map, id_and_text, id_remainder
+from sigweave.llm.common import arrow_map, id_and_text, id_remainder, text_of
 
 #: Hashed n-gram vectors, their width, lengths of the n-grams.
 BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
@@ -122,10 +122,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int
 _WORDS: dict[int, dict[str, float]] = {}
 
 
-def score(docs: DataFrame, odds: np.ndarray, bias: float) -> DataFrame:
+def score(docs: DataFrame, odds: np.ndarray, bias: float, keep: bool = False) -> DataFrame:
     """``doc_id`` and ``score`` (0 to 1) of every row. A text without words, or a null one,
     gets the score of the bias alone; equal texts get equal scores. Only ``doc_id`` and
-    ``text`` are read; ``doc_id`` is handed through."""
+    ``text`` are read; ``doc_id`` is handed through. With ``keep`` all columns of ``docs``
+    come along unchanged beside ``score``, which replaces a column of that name."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(odds.astype(np.float32))  # BUCKETS numbers
     key = id(shared)
@@ -143,6 +144,11 @@ def score(docs: DataFrame, odds: np.ndarray, bias: float) -> DataFrame:
                     known[w] = float(weights[grams(w)].mean())
                 z = math.fsum(map(known.__getitem__, words)) / max(1, len(words)) + bias
                 out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
-
-    return arrow_map(id_and_text(docs), run, "doc_id long, score double")
+            names = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.float64())], [*names, "score"])
+
+    if not keep:
+        return arrow_map(id_and_text(docs), run, "doc_id long, score double")
+    kept = F.struct(*[c for c in docs.columns if c.lower() != "score"]).alias("kept")
+    rows = docs.select(kept, text_of(docs))
+    return arrow_map(rows, run, f"kept {rows.schema['kept'].dataType.simpleString()}, score double").select("kept.*", "score")
