@@ -21,10 +21,10 @@ from sigweave.llm.common import arrow_map, id_and_text, id_remainder, text_of
 #: Hashed n-gram vectors, their width, lengths of the n-grams.
 BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 #: Means are small numbers; this factor brings them into the range the softmax learns in.
-GAIN = 100.0
+GAIN = 20.0
 #: Labelled rows of each class that training reads at most.
-SAMPLE = 4_000
-EPOCHS, BATCH, RATE = 5, 64, 0.1
+SAMPLE = 2_000
+EPOCHS, BATCH, RATE = 6, 64, 0.15
 REMEMBERED = 500_000
 
 
