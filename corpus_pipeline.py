@@ -43,7 +43,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     character, what is left of it becomes the replacement character."""
     from sigweave.llm.suffixes import remove_repeats
 
-    out = remove_repeats(docs).withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.expr("decode(kept, 'UTF-8')")))
+    out = remove_repeats(docs).withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.expr("make_valid_utf8(cast(kept AS string))")))
     return _counted(out, docs.columns)
 
 
