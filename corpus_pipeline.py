@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from sigweave.llm.common import read_table, store
 from sigweave.llm.queries import tokenizer_path
 
-#: Documents of this score or more are rejected.
-TOXIC = 0.3
+#: Documents of this score or more are rejected: those more likely toxic than not, so that
+#: doubtful ones stay.
+TOXIC = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each class of near copies: the one of the least id."""
     from sigweave.llm.jaccard import near_duplicates
 
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    # Ids may be null or repeated, so rows get numbers of their own for the time of the stage.
+    numbered = store(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    classes = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+    first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = numbered.select("_row", "doc_id").join(classes, "_row").groupBy("class_id").agg(first.alias("_row"))
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
