@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import os
+import random
+import string
 import sys
 import time
 from collections.abc import Callable
@@ -35,13 +37,24 @@ NAMED = [
 ]
 
 
-def word_pack(n: int) -> RulePack:
-    """Word rules over parts in a cycle of seven, one to three short words each."""
-    common = ["jquery", "wp-content", "bootstrap", "nginx", "react", "vue", "tion", "article", "theme", "css", "nav", "the"]
-    parts = ["body", "body", "body", "meta", "script", "title", "header"]
-    return RulePack([{
-        "id": f"rule-{i}", "name": f"Tech {i}", "matchers": [{
-            "type": "word", "part": parts[i % 7], "words": [f"sig{i}", common[i % 12], f"tech-{i % 50}"][: 1 + i % 3]}]} for i in range(n)])
+def vocabulary(spark: SparkSession) -> list[str]:
+    """Words of the corpus, frequent ones first."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) >= 4")
+    return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(5_000).collect()]
+
+
+def word_pack(n: int, words: list[str], present: float = 0.1) -> RulePack:
+    """``n`` word rules. A share ``present`` asks for a word of the corpus, the others for
+    random letters that hardly any text holds."""
+    rng = random.Random(n)
+    made = lambda: "".join(rng.choices(string.ascii_lowercase, k=rng.randint(6, 12)))
+    rules = []
+    for i in range(n):
+        asked = [rng.choice(words) if rng.random() < present else made() for _ in range(rng.randint(1, 4))]
+        part = rng.choices(["body", "title", "header", "script"], [7, 1, 1, 1])[0]
+        rules.append({"id": f"b{i:05d}", "name": f"Bench {i}", "matchers": [{"type": "word", "part": part, "words": asked}]})
+    return RulePack(rules)
 
 
 def documents(spark: SparkSession) -> DataFrame:
@@ -71,8 +84,9 @@ def main() -> None:
     drain(lambda: queries["ext_title"](spark, SF))  # start the workers and the code cache
     for name in NAMED:
         times[name] = drain(lambda name=name: queries[name](spark, SF))
+    words = vocabulary(spark)
     for n in (100, 1000, 8000):
-        pack = word_pack(n)
+        pack = word_pack(n, words)
         for label, frame in (("pages", pages(spark)), ("documents", documents(spark))):
             took = drain(lambda frame=frame, pack=pack: detect.rule_hits(frame, pack))
             times[f"pack_{n}_{label}"] = took

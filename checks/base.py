@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 import sigweave
 from sigweave.functions import html
 from sigweave.session import spread
-from sigweave.sources.captures import bounded_body
 from sigweave.sources.pack import RulePack, probe_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,7 +61,7 @@ def captures(spark: SparkSession, sf: str) -> DataFrame:
         F.when(mod(5) == 0, pair("set-cookie", F.concat(F.lit("sid="), p.cast("string")))).otherwise(no_map),
     )
     return pages.select(
-        p.alias("capture_id"), "url", html.title(F.col("html")).alias("title"), bounded_body(F.col("html")).alias("body"),
+        p.alias("capture_id"), "url", html.title(F.col("html")).alias("title"), F.coalesce("html", F.lit("")).alias("body"),
         F.when(mod(6) == 3, 301).when(mod(6) == 4, 404).when(mod(6) == 5, 500).otherwise(200).alias("status"),
         headers.alias("headers"),
         F.when(mod(7) == 0, pair("generator", F.concat(F.lit("WordPress 6."), mod(9).cast("string")))).otherwise(no_map).alias("meta"),
@@ -84,7 +83,7 @@ TITLE_SQL = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</
 
 CAPTURES_SQL = rf"""
 captures AS (
-  SELECT page_id AS capture_id, page_id AS p, url, {TITLE_SQL} AS title, html[:200000] AS body,
+  SELECT page_id AS capture_id, page_id AS p, url, {TITLE_SQL} AS title, html AS body,
     CASE page_id % 6 WHEN 3 THEN 301 WHEN 4 THEN 404 WHEN 5 THEN 500 ELSE 200 END AS status,
     CASE page_id % 4 WHEN 0 THEN 'nginx/1.25.' || (page_id % 7) WHEN 1 THEN 'Apache/2.4' WHEN 2 THEN 'cloudflare' ELSE 'nginx' END AS server,
     CASE WHEN page_id % 5 = 0 THEN 'sid=' || page_id END AS cookie,

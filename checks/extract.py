@@ -55,7 +55,7 @@ TAGS = "WITH " + _tags_sql()
 
 
 @query("src_captures", f"""
-SELECT page_id AS capture_id, url, '' AS title, length(html[:200000]) AS body_chars, 0 AS status, 0 AS n_headers, 0 AS n_icons FROM pages""")
+SELECT page_id AS capture_id, url, '' AS title, length(html) AS body_chars, 0 AS status, 0 AS n_headers, 0 AS n_icons FROM pages""")
 def src_captures(spark, sf):
     loaded = sources.load_captures(spark, f"{sf}/pages.parquet")
     return loaded.select("capture_id", "url", "title", F.length("body").cast("bigint").alias("body_chars"), "status",

@@ -48,7 +48,7 @@ _expression_query("expr_many", [p for pairs in EXPRESSIONS.values() for p in pai
 
 
 @query("search_body_kwic", r"""
-WITH cut AS (SELECT page_id AS capture_id, html[:200000] AS body, list_slice(string_split(lower(html[:200000]), 'and'), 1, -1) AS pieces FROM pages),
+WITH cut AS (SELECT page_id AS capture_id, html AS body, list_slice(string_split(lower(html), 'and'), 1, -1) AS pieces FROM pages),
 ends AS (SELECT capture_id, body, i AS find, list_sum(list_transform(pieces[:i], lambda s: length(s))) + (i - 1) * 3 AS pos FROM cut, range(1, 11) r(i) WHERE i < len(pieces))
 SELECT capture_id, find - 1 AS find, substr(body, greatest(pos - 120, 0)::BIGINT + 1, (least(pos, 120) + 123)::BIGINT) AS context FROM ends""")
 def search_body_kwic(spark, sf):
@@ -103,7 +103,7 @@ def trial_words(spark, sf):
 
 @query("locate_evidence", r"""
 WITH runs AS (
-  SELECT page_id AS capture_id, string_split_regex(regexp_replace(regexp_replace(html[:200000], '(?is)<(?:script\b[\s\S]*?</script|style\b[\s\S]*?</style|noscript\b[\s\S]*?</noscript)>|<!--[\s\S]*?-->', '<>', 'g'),
+  SELECT page_id AS capture_id, string_split_regex(regexp_replace(regexp_replace(html, '(?is)<(?:script\b[\s\S]*?</script|style\b[\s\S]*?</style|noscript\b[\s\S]*?</noscript)>|<!--[\s\S]*?-->', '<>', 'g'),
     '(?is)<title[^>]*>(.*?)</title>', '<>', 'g'), '<[^>]*>') AS runs FROM pages),
 found AS (SELECT capture_id, w, list_position(list_transform(runs, lambda r: contains(lower(r), lower(w))), true) AS spot, runs FROM runs, (VALUES ('The'), ('tion'), ('track(')) v(w))
 SELECT capture_id, w AS detail, (spot - 1)::INTEGER AS run, strpos(lower(runs[spot]), lower(w))::INTEGER AS position FROM found WHERE spot > 0""")

@@ -329,9 +329,9 @@ pats AS (
   UNION ALL
   SELECT k, 'regex', unnest(['track\\((' || k || ')\\)', '/(' || c[k % 10 + 1] || '|' || t[k % 3 + 1] || ')[a-z]*' || (k % 10) || '?">'][:1 + (k % 4 = 0)::INT]) FROM numbers, common WHERE k % 2 = 0),
 hits AS (
-  SELECT page_id, k, pattern FROM pages JOIN (SELECT k, pattern FROM pats WHERE type = 'word') ON contains(lower(html[:200000]), lower(pattern))
+  SELECT page_id, k, pattern FROM pages JOIN (SELECT k, pattern FROM pats WHERE type = 'word') ON contains(lower(html), lower(pattern))
   UNION ALL
-  SELECT page_id, k, pattern FROM pages JOIN (SELECT DISTINCT pattern FROM pats WHERE type = 'regex') ON regexp_matches(html[:200000], '(?i)' || pattern)
+  SELECT page_id, k, pattern FROM pages JOIN (SELECT DISTINCT pattern FROM pats WHERE type = 'regex') ON regexp_matches(html, '(?i)' || pattern)
     JOIN pats USING (pattern))
 SELECT page_id AS capture_id, 'gen-' || k AS rule_id, pattern FROM hits""")
 def match_candidates(spark, sf):

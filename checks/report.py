@@ -109,7 +109,7 @@ SELECT s.target AS requested_url, c.url AS final_url, c.title[:300] AS title, c.
   list_sum(list_transform([1], lambda x: least(total_hits, 20)))::INTEGER AS n_shown, f.name AS first_name
 FROM scans s JOIN captures c USING (capture_id) JOIN totals USING (capture_id) JOIN final f ON f.capture_id = c.capture_id AND f.hit_ord = 1""")
 def win_batch_topk(spark, sf):
-    return _batch(spark, sf).results.select("requested_url", "final_url", "title", "status", "total_hits", F.size("hits").alias("n_shown"),
+    return reports.batch_display(_batch(spark, sf).results).select("requested_url", "final_url", "title", "status", "total_hits", F.size("hits").alias("n_shown"),
                           F.col("hits")[0]["name"].alias("first_name"))
 
 
@@ -123,7 +123,7 @@ def agg_batch_counters(spark, sf):
 @query("sink_batch_csv", with_captures(BATCH_SQL) + """
 SELECT s.target AS requested_url, c.url AS final_url, c.title[:300] AS title, c.status::VARCHAR AS status, total_hits::VARCHAR AS total_hits,
   f.rule_id AS fingerprint_id, f.name AS fingerprint_name, f.version, coalesce(f.confidence::VARCHAR, '') AS confidence, '' AS error
-FROM scans s JOIN captures c USING (capture_id) JOIN totals USING (capture_id) JOIN final f ON f.capture_id = c.capture_id AND f.hit_ord <= 20
+FROM scans s JOIN captures c USING (capture_id) JOIN totals USING (capture_id) JOIN final f ON f.capture_id = c.capture_id
 UNION ALL SELECT target, '', '', '', '', '', '', '', '', 'not stored' FROM scans WHERE capture_id IS NULL""")
 def sink_batch_csv(spark, sf):
     scan = _batch(spark, sf)

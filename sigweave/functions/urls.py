@@ -6,6 +6,10 @@ pattern (the generic form in RFC 3986, appendix B).
 
 from __future__ import annotations
 
+import ipaddress
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,7 +66,7 @@ def query(url: Column) -> Column:
 def _clean_path(raw: Column) -> Column:
     """Remove ``.`` and ``..`` steps; only paths that have them pay for it."""
     folded = F.aggregate(
-        F.slice(F.split(raw, "/", -1), 2, 100_000),
+        F.filter(F.split(raw, "/", -1), lambda _, i: i > 0),
         F.array().cast("array<string>"),
         lambda kept, step: F.when(step == ".", kept)
         .when(step == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
@@ -154,26 +158,21 @@ def is_static(url_path: Column) -> Column:
     return found
 
 
+# Address blocks that are not public.
+CLOSED_NETWORKS = [
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
+    "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/3",
+]
+
+
 def is_blocked_ipv4(hostname: Column) -> Column:
-    """Dotted address in a loopback, private, reserved or multicast range."""
-    octet = lambda n: F.try_element_at(F.split(hostname, "\\."), F.lit(n)).try_cast("int")
-    a, b, c = octet(1), octet(2), octet(3)
-    dotted = hostname.rlike("\\A\\d{1,3}(\\.\\d{1,3}){3}\\z") & (
-        F.greatest(a, b, c, octet(4)) <= 255
-    )
-    reserved = (
-        a.isin(0, 10, 127) | (a >= 224)
-        | ((a == 100) & b.between(64, 127))
-        | ((a == 169) & (b == 254))
-        | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & (b == 168))
-        | ((a == 192) & (b == 0) & c.isin(0, 2))
-        | ((a == 192) & (b == 88) & (c == 99))
-        | ((a == 198) & b.isin(18, 19))
-        | ((a == 198) & (b == 51) & (c == 100))
-        | ((a == 203) & (b == 0) & (c == 113))
-    )
-    return F.coalesce(dotted & reserved, F.lit(False))
+    """Dotted address in a loopback, private, reserved or multicast block."""
+    octets = F.transform(F.split(hostname, "\\."), lambda o: o.try_cast("long"))
+    number = F.aggregate(octets, F.lit(0).cast("long"), lambda n, o: n * 256 + o)
+    dotted = hostname.rlike("\\A\\d{1,3}(\\.\\d{1,3}){3}\\z") & (F.array_max(octets) <= 255)
+    blocks = [ipaddress.ip_network(n) for n in CLOSED_NETWORKS]
+    closed = reduce(or_, [number.between(int(n[0]), int(n[-1])) for n in blocks])
+    return F.coalesce(F.when(dotted, closed), F.lit(False))
 
 
 def is_blocked_ipv6(hostname: Column) -> Column:

@@ -7,6 +7,8 @@ over partial groups, so no level is ever sorted or numbered in one task.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from sigweave.operators.reports import hits_per_capture
 from sigweave.session import cut_lineage
 
 SALTS = 64
+#: Levels after which the pages known so far become one table.
+LEVELS_APART = 16
 
 
 def edges(captures: DataFrame) -> DataFrame:
@@ -47,18 +51,19 @@ def _first_of_level(found: DataFrame, budget: DataFrame) -> DataFrame:
     return found.join(kept, ["seed_id", "url"], "left").withColumn("visited", F.coalesce("_in", F.lit(False))).drop("_in")
 
 
-def frontier(links: DataFrame, seeds: DataFrame, max_pages: int = 0, max_levels: int = 1_000) -> DataFrame:
+def frontier(links: DataFrame, seeds: DataFrame, max_pages: int = 0) -> DataFrame:
     """``(seed_id, url, base, level, way, visited)`` of a crawl from each seed.
 
     ``max_pages`` bounds the pages visited per seed (0: no bound); pages found but
     not visited stay in the result as queued. Each level is written to the shared
-    checkpoint folder, so a lost executor costs one level, not the whole crawl.
+    checkpoint folder, so a lost executor costs one level, not the whole crawl. The
+    crawl ends when a level brings nothing new, however deep that is.
     """
     links = cut_lineage(links)
     current = cut_lineage(seed_rows(seeds).groupBy("seed_id", "url", "base").agg(F.first(F.lit(0)).alias("level")).select(
         "seed_id", "url", "base", "level", F.array().cast("array<int>").alias("way"), F.lit(True).alias("visited")))
     known = current
-    for level in range(1, max_levels + 1):
+    for level in count(1):
         step = current.where("visited").select("seed_id", F.col("url").alias("src"), "base", "way").join(links, "src")
         reached = step.where(urls.same_site(F.col("dst_host"), F.col("base"))).groupBy("seed_id", "base", F.col("dst").alias("url")).agg(
             F.min(F.array_append("way", F.col("pos"))).alias("way"))
@@ -72,6 +77,8 @@ def frontier(links: DataFrame, seeds: DataFrame, max_pages: int = 0, max_levels:
         if current.isEmpty():
             break
         known = known.unionByName(current)
+        if level % LEVELS_APART == 0:
+            known = cut_lineage(known)
     return known
 
 

@@ -83,7 +83,7 @@ def display_hits(hits: DataFrame) -> DataFrame:
 
 
 def batch_results(scans: DataFrame, hits: DataFrame) -> DataFrame:
-    """One compact row per scanned target: total and the first twenty hits.
+    """One compact row per scanned target: total and all hits.
 
     ``scans`` is ``(capture_id, requested_url, url, title, status)``.
     """
@@ -92,11 +92,16 @@ def batch_results(scans: DataFrame, hits: DataFrame) -> DataFrame:
         clip(F.coalesce(F.nullif(F.col("url"), F.lit("")), F.col("requested_url")), 2_048).alias("final_url"),
         clip(F.coalesce("title", F.lit("")), 300).alias("title"), F.coalesce("status", F.lit(0)).alias("status"),
         F.coalesce(F.size("hits"), F.lit(0)).alias("total_hits"),
-        F.transform(F.slice(F.coalesce("hits", F.array()), 1, BATCH_HITS), lambda h: F.struct(
+        F.transform(F.coalesce("hits", F.array()), lambda h: F.struct(
             clip(h["rule_id"], 160).alias("id"), clip(h["name"], 160).alias("name"), h["confidence"].alias("confidence"),
             clip(h["version"], 120).alias("version"))).alias("hits"))
 
 
+def batch_display(results: DataFrame) -> DataFrame:
+    """The same rows as a list shows them, with the first twenty hits."""
+    return results.withColumn("hits", F.slice("hits", 1, BATCH_HITS))
+
+
 def batch_counters(targets: DataFrame, results: DataFrame) -> DataFrame:
     """total, completed, failed, invalid, duplicate in one row.
 

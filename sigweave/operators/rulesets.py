@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -108,17 +108,22 @@ def set_slug(name: Column) -> Column:
 
 def new_set_ids(names: DataFrame, taken: DataFrame) -> DataFrame:
     """Unique id for each new set name: the slug, else the slug with the first
-    free suffix -2, -3, ... ``taken`` is ``(set_id)``; one name is one row."""
+    free suffix -2, -3, ... Names that share a slug get the free suffixes in the order of
+    the names. ``taken`` is ``(set_id)``; one name is one row."""
     based = names.withColumn("base", set_slug(F.col("set_name")))
     suffix = F.regexp_extract("set_id", "-([0-9]{1,9})\\z", 1)
     used = taken.select(F.regexp_replace("set_id", "-[0-9]{1,9}\\z", "").alias("base"), suffix.try_cast("int").alias("n")).unionByName(
         taken.select(F.col("set_id").alias("base"), F.lit(1).alias("n")))
+    # A new name that looks like a numbered one takes that number from the others.
+    own = based.select(F.regexp_replace("base", "-[0-9]{1,9}\\z", "").alias("stem"), "base", F.regexp_extract("base", "-([0-9]{1,9})\\z", 1).try_cast("int").alias("n"))
+    used = used.unionByName(own.where("stem <> base").select(F.col("stem").alias("base"), "n"))
     numbers = used.where("n >= 1").join(based.select("base").distinct(), "base", "left_semi").groupBy("base").agg(
         F.collect_set("n").alias("used"))
-    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("used") + 1), F.col("used")))
-    n = F.when(F.array_contains("used", 1), free).otherwise(F.lit(1))
-    return based.join(numbers, "base", "left").select(
-        "set_name", F.when(F.col("used").isNull() | (n == 1), F.col("base")).otherwise(F.concat("base", F.lit("-"), n.cast("string"))).alias("set_id"))
+    ranked = based.withColumn("rank", F.row_number().over(Window.partitionBy("base").orderBy("set_name")))
+    free = F.array_except(F.sequence(F.lit(1), F.size("used") + F.col("rank")), F.col("used"))
+    n = F.element_at(free, F.col("rank"))
+    return ranked.join(numbers, "base", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>"))).select(
+        "set_name", F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), n.cast("string"))).alias("set_id"))
 
 
 def replace_set(rule_sets: DataFrame, set_id: str, rules: DataFrame | None) -> DataFrame:

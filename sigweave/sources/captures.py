@@ -12,7 +12,7 @@ from sigweave.functions import html
 from sigweave.functions.text import clip, lower_text, map_text
 from sigweave.schema import CAPTURE_FIELDS, PARTS
 
-# Fixed value: a body longer than this is cut when it is captured.
+# Fixed value: where a capturing client cuts a body. Stored bodies are read whole.
 BODY_CHARS = 200_000
 
 
@@ -30,9 +30,11 @@ def _empty(kind: T.DataType) -> Column:
     return F.lit(0).cast(kind)
 
 
-def complete(pages: DataFrame) -> DataFrame:
+def complete(pages: DataFrame, bounded: bool = False) -> DataFrame:
     """Give a page table every capture column with its fixed type.
 
+    Bodies stay whole unless ``bounded`` asks for the cut of a capturing client.
+
     ``page_id`` and ``html`` are read as ``capture_id`` and ``body``. Columns the
     table lacks become empty values; other columns are kept at the end.
     """
@@ -44,15 +46,15 @@ def complete(pages: DataFrame) -> DataFrame:
     columns = []
     for name, kind in CAPTURE_FIELDS.items():
         given = F.coalesce(F.col(name).cast(kind), _empty(kind)) if name in have else _empty(kind)
-        if name == "body":
+        if name == "body" and bounded:
             given = bounded_body(given)
         columns.append(given.alias(name))
     rest = [F.col(c) for c in renamed.columns if c not in CAPTURE_FIELDS]
     return renamed.select(*columns, *rest)
 
 
-def load_captures(spark: SparkSession, path: str) -> DataFrame:
-    return complete(spark.read.parquet(path))
+def load_captures(spark: SparkSession, path: str, bounded: bool = False) -> DataFrame:
+    return complete(spark.read.parquet(path), bounded)
 
 
 def enrich(captures: DataFrame) -> DataFrame:

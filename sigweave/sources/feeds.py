@@ -32,17 +32,26 @@ def clean(pattern: Column) -> Column:
     return F.split(pattern, "\\\\;", 2)[0]
 
 
+def _after_first(items: Column) -> Column:
+    return F.filter(items, lambda _, i: i > 0)
+
+
+def _from(text: Column, place: int) -> Column:
+    """The text from its character at ``place`` on."""
+    return F.substring(text, F.lit(place), F.char_length(text))
+
+
 def _suffix(pattern: Column, name: str) -> Column:
     """Text of the last ``name:`` suffix, NULL without one."""
-    tags = F.slice(F.split(pattern, "\\\\;"), 2, 1000)
+    tags = _after_first(F.split(pattern, "\\\\;"))
     held = F.filter(tags, lambda t: t.startswith(f"{name}:"))
-    return F.substring(F.try_element_at(held, F.lit(-1)), len(name) + 2, 1_000_000)
+    return _from(F.try_element_at(held, F.lit(-1)), len(name) + 2)
 
 
 def suffix_confidence(pattern: Column) -> Column:
     """The last confidence suffix that is a whole number."""
-    tags = F.filter(F.slice(F.split(pattern, "\\\\;"), 2, 1000), lambda t: t.rlike("\\Aconfidence:[+-]?[0-9]{1,9}\\z"))
-    return F.substring(F.try_element_at(tags, F.lit(-1)), len("confidence:") + 1, 20).try_cast("int")
+    tags = F.filter(_after_first(F.split(pattern, "\\\\;")), lambda t: t.rlike("\\Aconfidence:[+-]?[0-9]{1,9}\\z"))
+    return _from(F.try_element_at(tags, F.lit(-1)), len("confidence:") + 1).try_cast("int")
 
 
 def suffix_version(pattern: Column) -> Column:
@@ -69,7 +78,7 @@ def header_pattern(key: Column, pattern: Column) -> Column:
     start = F.concat(F.lit("(?im)^"), quote(F.lower(key)), F.lit(":"))
     return (
         F.when(pattern == "", start)
-        .when(pattern.startswith("^"), F.concat(start, F.lit("\\s*"), F.substring(pattern, 2, 1_000_000)))
+        .when(pattern.startswith("^"), F.concat(start, F.lit("\\s*"), _from(pattern, 2)))
         .otherwise(F.concat(start, F.lit("[^\\n]*"), pattern)))
 
 

@@ -117,10 +117,13 @@ def repair(docs: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def flatten_lists(docs: DataFrame, doc: str = "doc") -> DataFrame:
-    """Lists of documents become single documents, two levels deep at most."""
+    """Lists of documents become single documents, however deep they are nested."""
     keep = [c for c in docs.columns if c != doc]
-    once = docs.select(*keep, F.explode(_items(F.col(doc))).alias(doc))
-    return once.select(*keep, F.explode(_items(F.col(doc))).alias(doc))
+    flat = docs
+    while True:
+        flat = flat.select(*keep, F.explode(_items(F.col(doc))).alias(doc))
+        if flat.where(_kind(F.col(doc)).startswith("ARRAY")).isEmpty():
+            return flat.where(_kind(F.col(doc)) != "VOID")
 
 
 def is_template(v: Column) -> Column:

@@ -171,8 +171,12 @@ class RulePack:
 
     @classmethod
     def from_table(cls, rules: DataFrame, order: str = "rule_ord") -> RulePack:
-        """Compile a table with a ``rule`` struct; the size is checked first."""
-        rows = rules.orderBy(order).select(F.to_json("rule").alias("j")).limit(MAX_RULES + 1).collect()
+        """Compile a table with a ``rule`` struct. Rules that can be used are counted before
+        any is fetched; too many raise an error."""
+        usable = rules.where((F.coalesce("rule.id", F.lit("")) != "") & (F.size("rule.matchers") > 0))
+        if usable.limit(MAX_RULES + 1).count() > MAX_RULES:
+            raise PackTooLarge(f"more than {MAX_RULES} rules, too many for one pack")
+        rows = usable.orderBy(order).select(F.to_json("rule").alias("j")).collect()
         return cls.from_documents([json.loads(r["j"]) for r in rows])
 
     def of_type(self, *types: str) -> list[PatternRow]:

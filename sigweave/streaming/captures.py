@@ -12,7 +12,6 @@ from sigweave.streaming.runtime import each_batch
 
 # Quiet times after which collected events count.
 ICON_GAP, RULE_GAP, ROUTE_GAP = "800 milliseconds", "500 milliseconds", "600 milliseconds"
-ICONS_PER_PAGE = 64
 
 
 def match_stream(captures: DataFrame, pack: RulePack, out: str, state: str) -> None:
@@ -53,9 +52,9 @@ def keep_newest(out: str, keys: list[str], order: list[str]):
 
 
 def icon_sessions(icons: DataFrame, late: str = "10 seconds", gap: str = ICON_GAP) -> DataFrame:
-    """Icons of a tab collected until a quiet gap: distinct, a bounded number."""
+    """Icons of a tab collected until a quiet gap: each distinct hash."""
     held = icons.withWatermark("ts", late).groupBy("tab_id", F.session_window("ts", gap).alias("w")).agg(F.collect_set("hash").alias("hashes"))
-    return held.select("tab_id", F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), F.slice(F.array_sort("hashes"), 1, ICONS_PER_PAGE).alias("hashes"))
+    return held.select("tab_id", F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), F.array_sort("hashes").alias("hashes"))
 
 
 def fresh_hashes(sessions: DataFrame, known: DataFrame) -> DataFrame:
