@@ -6,6 +6,8 @@ end there. The surroundings of the others, as far as their windows reach, are br
 together by k-gram, equal ones as one with a count. What differs is cut to the bytes
 that some other shares, and a suffix array of the distinct strings decides: a window is
 repeated if the suffix that starts it agrees with a neighbour for ``WINDOW`` bytes.
+Grams with many different surroundings are not brought together: the hashes of their
+windows are counted by Spark, so that no task holds such a gram.
 
 The suffix array is built by grouping: suffixes are put into groups by their Lyndon
 prefixes, and groups are settled in descending order, following pointers to the previous
@@ -14,6 +16,7 @@ smaller suffix; a second pass emits every group's order, without recursion or re
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from sigweave.llm.common import arrow_map, partitions, store, text_of
 
 WINDOW, GRAM = 200, 48
+#: A gram with more different surroundings than this is settled by counting window hashes.
+KINDS = 256
 MIX, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -254,9 +259,9 @@ def _surroundings(window: int):
             rows = []
             for text, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                rows += [(p["h"], p["v"], p["c"], p["a"] - p["lo"], raw[p["lo"] : p["hi"] + window]) for p in at]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["h", "v", "c", "a", "bytes"])
+                rows += [(p["h"], p["v"], p["c"], p["a"] - p["lo"], raw[p["lo"] : p["hi"] + window], p["large"]) for p in at]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], ["h", "v", "c", "a", "bytes", "large"])
 
     return run
 
@@ -287,6 +292,33 @@ def _settle_rows(window: int):
     return run
 
 
+def _window_rows(window: int):
+    """(h, v, c, i, d, e): window i of the surroundings with both halves of its 128-bit hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = batch.column("bytes").to_pylist()
+            sizes = np.array([max(0, len(s) - window + 1) for s in raws], np.int64)
+            digests = b"".join(hashlib.blake2b(s[i : i + window], digest_size=16).digest() for s, n in zip(raws, sizes, strict=True) for i in range(n))
+            halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
+            places = np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in sizes)])
+            repeated = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("h", "v", "c"))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in repeated), pa.array(places), *(pa.array(np.ascontiguousarray(halves[:, j])) for j in (0, 1))], ["h", "v", "c", "i", "d", "e"])
+
+    return run
+
+
+def _counted(around: DataFrame, window: int) -> DataFrame:
+    """(h, v, runs) of the surroundings that have repeated windows, by counts of window hashes."""
+    wins = store(arrow_map(around, _window_rows(window), "h long, v long, c long, i int, d long, e long"), "windows")
+    # Stored, so that the join below shuffles both sides and a window of many rows is dealt out.
+    repeated = store(wins.groupBy("d", "e").agg(F.sum("c").alias("n")).where("n > 1").select("d", "e"), "repeated-windows")
+    at = wins.join(repeated, ["d", "e"]).groupBy("h", "v").agg(F.collect_set("i").alias("i"))
+    first = F.array_sort(F.array_except("i", F.transform("i", lambda x: x + 1))).alias("f")
+    last = F.array_sort(F.array_except("i", F.transform("i", lambda x: x - 1))).alias("l")
+    return at.select("h", "v", first, last).select("h", "v", F.arrays_zip("f", "l").alias("runs"))
+
+
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,7 +345,7 @@ def _cut(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int = KINDS) -> DataFrame:
     """All columns of ``docs`` and ``n_bytes, n_removed, n_spans`` (long) and ``kept``
     (binary: the text's UTF-8 bytes without every byte that a ``window``-byte string
     covers which also starts anywhere else in the corpus, the same text included).
@@ -321,7 +353,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     Matches never cross documents and are judged on the input. A null text is empty and
     returned as empty. Repeated rows are places of their own, so all their bytes go if
     the text has ``window`` bytes. Texts shorter than ``window`` stay. Input columns with
-    the added names are replaced; ids may be null. An empty table gives no rows.
+    the added names are replaced; ids may be null. An empty table gives no rows. Grams of
+    more than ``many`` different surroundings are counted instead of sorted.
     """
     extra = [c for c in docs.columns if c.lower() not in ("text", "n_bytes", "n_removed", "n_spans", "kept")]
     plain = docs.select(F.struct(*extra).alias("extra"), text_of(docs), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("id"))
@@ -331,11 +364,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     hits = store(found.join(met, "h"), "anchors")
     kinds = hits.groupBy("h", "v", "mixed").agg(F.count("*").alias("c"), F.min(F.struct("id", "k", "a", "lo", "hi")).alias("p"))
     # Surroundings of one place stand for all equal ones.
-    ask = kinds.where("mixed").select("h", "v", "c", "p.*").groupBy("id", "k").agg(F.collect_list(F.struct("h", "v", "c", "a", "lo", "hi")).alias("at"))
+    mixed = store(kinds.where("mixed").select("h", "v", "c", "p.*"), "kinds")
+    large = store(mixed.groupBy("h").count().where(F.col("count") > many).select("h", F.lit(True).alias("large")), "large-grams")
+    ask = mixed.join(large, "h", "left").groupBy("id", "k").agg(F.collect_list(F.struct("h", "v", "c", "a", "lo", "hi", F.coalesce("large", F.lit(False)).alias("large"))).alias("at"))
     asked = plain.select("id", "k", "text").join(ask, ["id", "k"]).dropDuplicates(["id", "k"]).select("text", "at")
     n = partitions(docs.sparkSession)
-    around = arrow_map(asked, _surroundings(window), "h long, v long, c long, a int, bytes binary")
-    solved = store(around.repartition(n, "h").sortWithinPartitions("h", "v").mapInArrow(_settle_rows(window), "h long, v long, runs array<struct<f: int, l: int>>"), "settled")
+    around = store(arrow_map(asked, _surroundings(window), "h long, v long, c long, a int, bytes binary, large boolean"), "surroundings")
+    small = around.where("not large").drop("large")
+    solved = store(small.repartition(n, "h").sortWithinPartitions("h", "v").mapInArrow(_settle_rows(window), "h long, v long, runs array<struct<f: int, l: int>>"), "settled")
+    solved = solved.unionByName(store(_counted(around.where("large"), window), "counted"))
     whole = kinds.where("not mixed and c > 1").select("h", "v", F.array(F.struct(F.lit(0).alias("f"), (F.col("p.hi") - F.col("p.lo")).alias("l"))).alias("runs"))
     spans = hits.join(solved.unionByName(whole), ["h", "v"]).groupBy("id", "k").agg(
         F.flatten(F.collect_list(F.transform("runs", lambda r: F.struct((r["f"] + F.col("lo")).alias("f"), (r["l"] + F.col("lo")).alias("l"))))).alias("runs"))
