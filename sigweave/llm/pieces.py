@@ -1,15 +1,22 @@
 """Encoding with a published piece model under seeded merge-dropout, and decoding.
 
 Characters are merged by an agenda of neighbouring pairs, best score first. Each
-candidate merge is skipped when a keyed hash of its place says so, so another key
-gives another segmentation, and all of them decode to the same text.
+candidate merge is skipped when a hash of its place in the word, keyed by seed, variant,
+document and place of the word in the text, says so: every occurrence of a word is drawn
+by itself, and all segmentations decode to the same text.
+
+What a word becomes when given merges are skipped needs no draw, so that is remembered.
+An occurrence starts from the word without skips, draws for the merges offered there,
+goes on to the word without those drawn, and so on until nothing new is drawn: the same
+as drawing at each offer, since a merge's draw depends on its place alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +27,27 @@ from sigweave.llm.common import arrow_map, id_and_text
 DROPOUT, VARIANTS, SEED = 0.1, 4, 17
 REMEMBERED = 400_000
 SPACE = "▁"
+#: Longer words are not remembered but merged anew, with a draw at each offer.
+LONG = 64
+#: Words of a text drawn at once.
+AT_ONCE = 8192
+ALL64, ODD, FIRST, SECOND = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x94D049BB133111EB
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(FIRST)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(SECOND)
+    return x ^ (x >> np.uint64(32))
+
+
+def _mixed_one(x: int) -> int:
+    x = (x ^ (x >> 31)) * FIRST & ALL64
+    x = (x ^ (x >> 29)) * SECOND & ALL64
+    return x ^ (x >> 32)
+
+
+def _never(code: int) -> bool:
+    return False
 
 
 class Pieces:
@@ -45,17 +73,17 @@ class Pieces:
                 self.ids[piece] = i
                 self.scores[piece] = model.get_score(i)
                 self.raw.append(piece.replace(SPACE, " ").encode())
-        self.known: dict[tuple[int, str], bytes] = {}
+        self.known: dict[str | tuple[str, bytes], tuple[bytes, bytes]] = {}
 
-    def merge(self, word: str, variant: int, dropout: float, seed: int) -> list[int]:
-        """Ids of one word with the spaces before it written as ``SPACE``."""
+    def merge(self, word: str, skip: Callable[[int], bool] = _never, offered: dict[int, None] | None = None, base: int = 0) -> list[int]:
+        """Ids of one word with the spaces before it written as ``SPACE``. ``skip`` says of
+        a merge, as its start and end counted from ``base``, whether it is left out; those
+        not left out are put into ``offered``."""
         symbols: list[str | None] = list(word)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[float, int, int, str]] = []
         scores = self.scores
-        limit = int(dropout * (1 << 32))
-        key = zlib.crc32(word.encode("utf-8", "surrogatepass"), seed * 1_000_003 + variant) if limit else 0
 
         def offer(left: int) -> None:
             right = after[left]
@@ -63,7 +91,12 @@ class Pieces:
                 return
             joined = symbols[left] + symbols[right]
             score = scores.get(joined)
-            if score is not None and not (limit and (zlib.crc32(b"%d %d" % (left, after[right]), key) * 2654435761 & 0xFFFFFFFF) < limit):
+            if score is None:
+                return
+            code = (base + left) << 32 | (base + after[right])
+            if not skip(code):
+                if offered is not None:
+                    offered[code] = None
                 heapq.heappush(agenda, (-score, left, right, joined))
 
         for i in range(n - 1):
@@ -87,37 +120,80 @@ class Pieces:
             out += [i] if i is not None else [self.bytes[b] for b in s.encode("utf-8", "surrogatepass")]
         return out
 
-    def encode(self, text: str, variant: int = 0, dropout: float = 0.0, seed: int = SEED) -> bytes:
-        """Little-endian 32-bit ids. A space mark that stands in the text itself is written
-        in bytes, so that it comes back as it was."""
+    def whole(self, word: str, skip: Callable[[int], bool] = _never, offered: dict[int, None] | None = None) -> bytes:
+        """Ids of a word as ``encode`` names it. A space mark that stands in the text itself
+        is written in bytes, so that it comes back as it was."""
+        spaces, _, part = word.partition("\0") if "\0" in word else ("", "", word)
+        found: list[int] = []
+        at = 0
+        for j, plain in enumerate(part.split(SPACE)):
+            if j:
+                found += [self.bytes[b] for b in SPACE.encode()]
+            plain = plain if j else SPACE + spaces + plain
+            found += self.merge(plain, skip, offered, at)
+            at += len(plain) + 1
+        return np.array(found, "<u4").tobytes()
+
+    def _kept(self, word: str, skipped: bytes = b"") -> tuple[bytes, bytes]:
+        """Ids of a word without the skipped merges, and the merges offered on the way."""
+        offered: dict[int, None] = {}
+        ids = self.whole(word, frozenset(np.frombuffer(skipped, "<u8").tolist()).__contains__ if skipped else _never, offered)
+        made = self.known[(word, skipped) if skipped else word] = (ids, np.array(list(offered), "<u8").tobytes())
+        return made
+
+    def encode(self, text: str, variant: int = 0, dropout: float = 0.0, seed: int = SEED, doc: object = None) -> bytes:
+        """Little-endian 32-bit ids. The draws of a word depend on ``seed``, ``variant``,
+        ``doc`` and the number of the word in the text."""
         if not text:
             return b""
-        out = []
-        known = self.known
+        words = []
         parts = text.split(" ")
         gap = 1
         for i, part in enumerate(parts):
             if not part and i + 1 < len(parts):
                 gap += 1
                 continue
-            name = (variant, part) if gap == 1 else (variant, SPACE * (gap - 1) + "\0" + part)
-            ids = known.get(name)
-            if ids is None:
-                spaces = SPACE * gap
-                if SPACE in part:
-                    found = []
-                    for j, plain in enumerate(part.split(SPACE)):
-                        if j:
-                            found += [self.bytes[b] for b in SPACE.encode()]
-                        found += self.merge((spaces if not j else "") + plain, variant, dropout, seed)
-                else:
-                    found = self.merge(spaces + part, variant, dropout, seed)
-                ids = known[name] = np.array(found, "<u4").tobytes()
-            out.append(ids)
+            words.append(part if gap == 1 and "\0" not in part else SPACE * (gap - 1) + "\0" + part)
             gap = 1
+        limit = int(dropout * (1 << 32))
+        key = int.from_bytes(hashlib.blake2b(f"{seed} {variant} {doc}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return b"".join(self._drawn(words[i : i + AT_ONCE], i, limit, key) for i in range(0, len(words), AT_ONCE))
+
+    def _drawn(self, words: list[str], first: int, limit: int, key: int) -> bytes:
+        known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        return b"".join(out)
+        keys = _mixed(np.uint64(key) ^ (np.arange(first, first + len(words), dtype=np.uint64) + np.uint64(1)) * np.uint64(ODD))
+        out: list[bytes] = []
+        offers: list[bytes] = []
+        for i, word in enumerate(words):
+            if len(word) > LONG:
+                own = int(keys[i])
+                skip = (lambda code, own=own: _mixed_one(code * ODD + own & ALL64) >> 32 < limit) if limit else _never
+                ids, offered = self.whole(word, skip), b""
+            else:
+                ids, offered = known.get(word) or self._kept(word)
+            out.append(ids)
+            offers.append(offered)
+        if not limit:
+            return b"".join(out)
+        at = np.arange(len(words))
+        skipped: dict[int, bytes] = {}
+        while True:
+            codes = np.frombuffer(b"".join(offers), "<u8")
+            owner = np.repeat(at, [len(o) >> 3 for o in offers])
+            drawn = np.flatnonzero((_mixed(codes * np.uint64(ODD) + keys[owner]) >> np.uint64(32)) < np.uint64(limit))
+            if not len(drawn):
+                return b"".join(out)
+            owner, raw = owner[drawn], codes[drawn].tobytes()
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            at = owner[starts]
+            edges = [*(starts * 8).tolist(), len(raw)]
+            offers = []
+            for j, i in enumerate(at.tolist()):
+                skipped[i] = gone = skipped.get(i, b"") + raw[edges[j] : edges[j + 1]]
+                out[i], offered = known.get((words[i], gone)) or self._kept(words[i], gone)
+                offers.append(offered)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the model writes one space before it, which is taken away."""
@@ -137,7 +213,7 @@ def pieces(path: str) -> Pieces:
 def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> DataFrame:
     """``doc_id``, ``variant`` (int), ``ids`` (binary, unsigned 32-bit, little-endian) and
     ``lossless`` (whether decoding gives the text back) of every row. A document draws one
-    of ``variants`` keys from its id, and a word has one segmentation under each key.
+    of ``variants`` from its id, and every occurrence of a word is drawn by itself.
     A null text is empty and has no ids; a null id draws like the text "None". Repeated
     rows get equal ids. Other columns are not read."""
 
@@ -146,7 +222,7 @@ def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, variants: int
         for batch in batches:
             docs_, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             drawn = [zlib.crc32(str(d).encode(), seed) % variants for d in docs_]
-            ids = [m.encode(t, v, dropout, seed) for t, v in zip(texts, drawn, strict=True)]
+            ids = [m.encode(t, v, dropout, seed, d) for t, v, d in zip(texts, drawn, docs_, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(drawn, pa.int32()), pa.array(ids, pa.binary()), pa.array([m.decode(i) == t for i, t in zip(ids, texts, strict=True)])],
                 ["doc_id", "variant", "ids", "lossless"])
