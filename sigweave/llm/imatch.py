@@ -1,7 +1,12 @@
 """I-Match fingerprints: terms within a band of document frequency form the lexicon, and
 a text's distinct lexicon terms, sorted, are hashed once whole and once for each of
 several randomised subsets of the lexicon. Small subsets survive small edits, so the
-share of equal hashes says how alike two texts are.
+share of equal hashes says how alike two texts are. Frequencies count distinct texts, so
+copies do not put their own terms out of the band.
+
+All terms of a text are hashed likewise, in places of their own behind those of the
+lexicon. Two texts are compared by the lexicon if both have enough terms in it, else by
+all terms: always like with like.
 """
 
 from __future__ import annotations
@@ -14,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigweave.llm.common import arrow_map, id_and_text, partitions
+from sigweave.llm.common import arrow_map, id_and_text, partitions, store
 from sigweave.llm.counting import count_keys
 
-#: Lexicon terms stand in at least and at most this share of documents. The lower bound
+#: Lexicon terms stand in at least and at most this share of distinct texts. The lower bound
 #: also bounds the lexicon: a text's distinct terms on average, divided by it.
 LEAST, MOST = 2e-4, 0.1
 #: Share of the lexicon in each subset; the first is the lexicon itself.
 RATES = (1.0, *([1 / 8] * 5), *([1 / 32] * 8), *([1 / 128] * 9), *([1 / 512] * 9))
-#: Below so many lexicon terms all terms of the text are used.
+#: If either of two texts has fewer lexicon terms, they are compared by all terms.
 FEWEST = 4
 REMEMBERED = 500_000
 BUCKETS = 256
@@ -48,24 +53,30 @@ def subsets(codes: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(11)).astype(np.float64) / float(1 << 53) < np.array(RATES)[None, :]
 
 
-def fingerprint(codes: np.ndarray, lexicon: np.ndarray) -> list[str]:
-    """One hash per subset of the sorted distinct term codes, "-" where the subset has no term."""
+def _hashes(codes: np.ndarray) -> list[str]:
+    held = subsets(codes)
+    return [hashlib.blake2b(codes[held[:, k]].tobytes(), digest_size=4).hexdigest() if held[:, k].any() else "-" for k in range(len(RATES))]
+
+
+def fingerprint(codes: np.ndarray, lexicon: np.ndarray) -> tuple[list[str], int]:
+    """One hash per subset of the sorted distinct term codes, "-" where the subset has no
+    term: first of those in the lexicon, then of all. With the number of lexicon terms."""
     at = np.minimum(np.searchsorted(lexicon, codes), max(0, len(lexicon) - 1))
     banded = codes[lexicon[at] == codes] if len(lexicon) and len(codes) else codes[:0]
-    used = banded if len(banded) >= FEWEST else codes
-    held = subsets(used)
-    return [hashlib.blake2b(used[held[:, k]].tobytes(), digest_size=4).hexdigest() if held[:, k].any() else "-" for k in range(len(RATES))]
+    return _hashes(banded) + _hashes(codes), len(banded)
 
 
-def likeness(a: list[str], b: list[str]) -> float:
+def likeness(a: tuple[list[str], int], b: tuple[list[str], int]) -> float:
     """Share of equal hashes among the subsets that either text has terms in; texts
     without any term are alike."""
-    told = [(x, y) for x, y in zip(a, b, strict=True) if x != "-" or y != "-"]
+    n = len(RATES)
+    part = slice(0, n) if min(a[1], b[1]) >= FEWEST else slice(n, 2 * n)
+    told = [(x, y) for x, y in zip(a[0][part], b[0][part], strict=True) if x != "-" or y != "-"]
     return sum(x == y for x, y in told) / len(told) if told else 1.0
 
 
 def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.ndarray:
-    """Sorted codes of the terms within the frequency band, counted over all documents."""
+    """Sorted codes of the terms within the frequency band, counted over all distinct texts."""
     known: dict[str, int] = {}
 
     def found(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -73,8 +84,14 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.nda
         keys, counts = np.unique(codes, return_counts=True)
         yield keys, counts.astype(np.int64)
 
-    counted = count_keys(id_and_text(docs).select("text"), found, lambda k: (k >> np.uint64(56)).astype(np.int32), "terms")
-    n = docs.count()
+    rows = id_and_text(docs).select("text", F.xxhash64("text").alias("_x"), F.hash("text").alias("_y"))
+    # Only texts that have copies need an exchange.
+    copied = store(rows.groupBy("_x", "_y").count().where(F.col("count") > 1), "copied")
+    firsts = rows.join(copied, ["_x", "_y"], "left_semi").groupBy("_x", "_y").agg(F.first("text").alias("text"))
+    distinct = rows.join(copied, ["_x", "_y"], "left_anti").select("text").unionByName(firsts.select("text"))
+    counted = count_keys(distinct, found, lambda k: (k >> np.uint64(56)).astype(np.int32), "terms")
+    extra = copied.agg(F.sum(F.col("count") - 1)).first()[0] or 0
+    n = docs.count() - extra
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +149,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         known: dict[str, int] = {}
         lex = shared.value
 
-        def read(text: str) -> list[str]:
+        def read(text: str) -> tuple[list[str], int]:
             return fingerprint(_codes(known, set(text.lower().split())), lex)
 
         held = None
@@ -148,7 +165,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     before = edited(held[1], text)
                     theirs = held[4]
                     changed = theirs if before == held[1] else read(before)
-                    out.append((held[0], len(held[1]), hashlib.sha256(before.encode("utf-8", "surrogatepass")).hexdigest(), " ".join(theirs), " ".join(changed), likeness(theirs, changed), likeness(theirs, own)))
+                    out.append((held[0], len(held[1]), hashlib.sha256(before.encode("utf-8", "surrogatepass")).hexdigest(), " ".join(theirs[0]), " ".join(changed[0]), likeness(theirs, changed), likeness(theirs, own)))
                 held = None if tail else (doc, text, rng, tail, own)
             cols = list(zip(*out, strict=True)) or [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
