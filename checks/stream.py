@@ -121,7 +121,7 @@ latest AS (SELECT url, max(capture_id) AS capture_id FROM captures GROUP BY url)
 SELECT split_part(url, '#', 1) || '' AS url, max(capture_id) AS capture_id FROM captures GROUP BY ALL ORDER BY max(capture_id) DESC LIMIT 200""")
 def st_history_upsert(spark, sf):
     caps = captures(spark, sf).withColumn("url", F.regexp_replace("url", "#.*\\z", ""))
-    hits = detect.rule_hits(captures(spark, sf), core_pack().only("status")).withColumns({"level": F.lit(0), "way": F.array("rule_ord")})
+    hits = detect.detect(captures(spark, sf), core_pack())
     stream, _ = _as_stream(reports.scan_history(caps, hits, F.lit("page"), F.col("at")), "at")
     out = work_dir(spark, "st-history")
     streams.history_stream(stream, out, work_dir(spark, "state"), 200)
