@@ -180,3 +180,39 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefi
               ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
        sha256(text) AS restored_sha256 FROM parts
 """
+
+
+@query
+def op12_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigweave.llm.collocations import mine
+
+    return mine(read_table(spark, sf_dir, "documents"))
+
+
+SQL["op12_setm_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+grams AS (
+    SELECT lang, w[i:i + k - 1] AS g
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM split, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k)),
+freq AS (SELECT lang, g, len(g) AS k, count(*) AS f FROM grams GROUP BY lang, g HAVING count(*) >= 30),
+cut AS (SELECT lang, g, f AS a, unnest(range(1, k)) AS c, k FROM freq WHERE k > 1),
+scored AS (
+    SELECT cut.lang, cut.g, a, c, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+    FROM cut JOIN freq x ON x.lang = cut.lang AND x.g = cut.g[1:c] JOIN freq y ON y.lang = cut.lang AND y.g = cut.g[c + 1:cut.k]),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+spans AS (
+    SELECT lang, f, g[s:s + m - 1] AS g
+    FROM (SELECT lang, g, f, m, unnest(range(1, k - m + 2)) AS s FROM freq, (VALUES (2), (3)) t(m) WHERE m < k)),
+longer AS (SELECT lang, g, max(f) AS top FROM spans GROUP BY lang, g),
+alone AS (
+    SELECT lowest.* FROM lowest LEFT JOIN longer ON longer.lang = lowest.lang AND longer.g = lowest.g
+    WHERE top IS NULL OR 100::HUGEINT * top < 80::HUGEINT * a),
+ranked AS (
+    SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score,
+           row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM alone)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
