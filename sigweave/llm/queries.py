@@ -216,3 +216,15 @@ ranked AS (
            row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM alone)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """
+
+
+#: The rules of the page filter.
+PAGE_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+@query
+def op11_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigweave.llm.urls import judge
+
+    rules = spark.createDataFrame(PAGE_RULES, "rule string, verdict string")
+    return judge(read_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
