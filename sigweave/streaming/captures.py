@@ -2,111 +2,115 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigweave.operators.reports import latest_per_url, newest
+from sigweave.operators.reports import HISTORY_MAX, hits_per_capture, newest
 from sigweave.plans.detect import detect
 from sigweave.sources.pack import RulePack
 from sigweave.streaming.runtime import each_batch
+from sigweave.streaming.tables import KeyedTable, RuleVersions
 
-# Quiet times after which collected events count.
-ICON_GAP, RULE_GAP, ROUTE_GAP = "800 milliseconds", "500 milliseconds", "600 milliseconds"
+# Fixed value: quiet time after which rule changes count.
+RULE_GAP = "500 milliseconds"
 
 
-def match_stream(captures: DataFrame, pack: RulePack, out: str, state: str) -> None:
+def match_stream(captures: DataFrame, pack: RulePack, out: str, state: str, dictionary: DataFrame | None = None, custom: DataFrame | None = None) -> None:
     """Detect on every new capture; hits are appended under their batch number,
     so a batch that is repeated after a failure replaces its own rows."""
 
     def write(batch: DataFrame, number: int) -> None:
-        detect(batch, pack).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        detect(batch, pack, dictionary, custom).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     each_batch(captures, write, state)
 
 
-def latest_per_tab(captures: DataFrame) -> DataFrame:
-    """Newest capture per tab; a grouping in update mode keeps one row per tab."""
-    return captures.groupBy("tab_id").agg(F.max_by(F.struct("capture_id", "url", "at"), F.struct("at", "capture_id")).alias("c")).select("tab_id", "c.*")
+def latest_captures(out: str) -> KeyedTable:
+    """Newest capture per tab. The table is the only state, so a capture may come as late
+    as it likes and a stream may start over."""
+    return KeyedTable(out, ["tab_id"], ["at", "capture_id"])
 
 
-def current_responses(responses: DataFrame) -> DataFrame:
+def current_responses(out: str) -> KeyedTable:
     """Response of the newest navigation per tab; a late answer to an older
     navigation changes nothing, a later answer of the same one replaces it."""
-    return responses.groupBy("tab_id").agg(
-        F.max_by(F.struct("status", "nav_seq"), F.struct("nav_seq", "at", "status")).alias("r")).select("tab_id", "r.*")
-
+    return KeyedTable(out, ["tab_id"], ["nav_seq", "at", "status"])
 
-def keep_newest(out: str, keys: list[str], order: list[str]):
-    """Batch writer that merges changed rows into a table of current rows. Each
-    batch writes a new version; the number of a repeated batch is the same."""
 
-    def write(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number > 0:
-            rows = batch.unionByName(batch.sparkSession.read.parquet(f"{out}/v={number - 1}"))
-        columns = [c for c in batch.columns if c not in keys]
-        merged = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r")).select(*keys, "r.*")
-        merged.write.mode("overwrite").parquet(f"{out}/v={number}")
+def keep_newest(rows: DataFrame, table: KeyedTable, state: str) -> None:
+    """Merge a stream into a table of current rows."""
+    each_batch(rows, table.writer(state), state)
 
-    return write
 
+def history_table(out: str) -> KeyedTable:
+    """Newest scan per address; no bucket holds more than a history may show."""
+    return KeyedTable(out, ["url"], ["at", "capture_id"], keep=HISTORY_MAX)
 
-def icon_sessions(icons: DataFrame, late: str = "10 seconds", gap: str = ICON_GAP) -> DataFrame:
-    """Icons of a tab collected until a quiet gap: each distinct hash."""
-    held = icons.withWatermark("ts", late).groupBy("tab_id", F.session_window("ts", gap).alias("w")).agg(F.collect_set("hash").alias("hashes"))
-    return held.select("tab_id", F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), F.array_sort("hashes").alias("hashes"))
 
+def history_stream(scans: DataFrame, table: KeyedTable, state: str) -> None:
+    """Latest scan per address."""
+    keep_newest(scans.where("url <> ''"), table, state)
 
-def fresh_hashes(sessions: DataFrame, known: DataFrame) -> DataFrame:
-    """Sessions that bring a hash the capture of the tab does not have yet."""
-    rows = sessions.join(known.select("tab_id", F.col("favicon_hashes").alias("had")), "tab_id", "left")
-    fresh = F.array_except("hashes", F.coalesce("had", F.array().cast("array<int>")))
-    return rows.withColumn("fresh", fresh).where(F.size("fresh") > 0).drop("had")
 
+def read_history(table: KeyedTable, spark, limit: int | None = None) -> DataFrame:
+    return newest(table.read(spark), limit)
 
-def change_sessions(changes: DataFrame, late: str = "10 seconds", gap: str = RULE_GAP) -> DataFrame:
-    """Changes of one scope (rules, dictionary) merged until a quiet gap."""
-    held = changes.withWatermark("ts", late).groupBy("scope", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_changes"))
-    return held.select("scope", F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), "n_changes")
 
+def rematch_stream(settled: DataFrame, captures: DataFrame, pack: RulePack, table: KeyedTable, state: str,
+                   dictionary: DataFrame | None = None, custom: DataFrame | None = None) -> None:
+    """Match the page of a tab again with the icons the tab has gathered (the rows of
+    ``settled_icons``), and keep the hits of each tab's newest match.
 
-def rescan_stream(changes: DataFrame, captures: DataFrame, pack: RulePack, out: str, state: str, late: str = "10 seconds", gap: str = RULE_GAP) -> None:
-    """Match stored captures again once changes have come to rest; the sessions
-    that close in one micro-batch share one new match."""
+    Only captures named by a micro-batch are read and matched. A page that comes to rest
+    twice within one is matched once, with all icons.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            detect(captures, pack).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        last = batch.groupBy("tab_id").agg(F.max_by(F.struct("capture_id", "closed_us", "favicon_hashes"), "closed_us").alias("l"))
+        last = last.select("tab_id", "l.*").persist()
+        if last.isEmpty():
+            return
+        pages = captures.drop("favicon_hashes", "tab_id").join(last.select("capture_id", "favicon_hashes"), "capture_id")
+        hits = hits_per_capture(detect(pages, pack, dictionary, custom))
+        rows = last.join(hits, "capture_id", "left").withColumn("hits", F.coalesce("hits", F.array()))
+        merge(rows, number)
+        last.unpersist()
 
-    each_batch(change_sessions(changes, late, gap), write, state)
+    merge = table.writer(state)
+    each_batch(settled, write, state)
 
 
-def route_sessions(routes: DataFrame, late: str = "10 seconds", gap: str = ROUTE_GAP) -> DataFrame:
-    """Route changes of a tab come to rest on the last address of a session."""
-    held = routes.withWatermark("ts", late).groupBy("tab_id", F.session_window("ts", gap).alias("w")).agg(F.max_by("url", "ts").alias("url"))
-    return held.select("tab_id", F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), "url")
+def rematch_table(out: str) -> KeyedTable:
+    return KeyedTable(out, ["tab_id"], ["closed_us"])
 
 
-def changed_routes(sessions: DataFrame) -> DataFrame:
-    """Sessions whose address differs from the one before (a table, not a stream).
+def settled_changes(changes: DataFrame, late: str = "10 seconds", gap: str = RULE_GAP) -> DataFrame:
+    """``(scope, ts, version)``: changes of one scope (rules, dictionary) merged until a quiet
+    gap, with the highest version among them. The window's end bounds its state."""
+    held = changes.withWatermark("ts", late).groupBy("scope", F.session_window("ts", gap).alias("w"))
+    return held.agg(F.count(F.lit(1)).alias("n_changes"), F.max("version").alias("version")).select(
+        "scope", F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), "n_changes", "version")
 
-    Sessions are compared within an hour, and the first of an hour with the last
-    of the hour before it that has any; so a busy tab is spread over its hours.
-    """
-    hourly = sessions.withColumn("_hour", F.date_trunc("hour", "opened"))
-    ends = hourly.groupBy("tab_id", "_hour").agg(F.max_by("url", "opened").alias("_last"))
-    carried = ends.select("tab_id", "_hour", F.lag("_last").over(Window.partitionBy("tab_id").orderBy("_hour")).alias("_carried"))
-    inner = F.lag("url").over(Window.partitionBy("tab_id", "_hour").orderBy("opened"))
-    rows = hourly.withColumn("_inner", inner).join(carried, ["tab_id", "_hour"])
-    before = F.coalesce("_inner", "_carried")
-    return rows.where(before.isNull() | (before != F.col("url"))).select(*sessions.columns)
 
+def rescan_stream(settled: DataFrame, captures: Callable[[], DataFrame], rules: RuleVersions, out: str, state: str,
+                  dictionary: DataFrame | None = None) -> None:
+    """Match all stored captures again once rule changes have come to rest.
 
-def history_stream(scans: DataFrame, out: str, state: str, limit: int | None = None) -> None:
-    """Latest scan per address, the newest of them kept; a new version per batch."""
+    The changes that come to rest in one micro-batch share one match, with the rules of
+    the newest version among them, read from the rule table at that time. Hits are kept
+    by version of the rules; a match with a version that was matched before replaces its
+    hits, so captures that came in between are there too.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch if number == 0 else batch.unionByName(batch.sparkSession.read.parquet(f"{out}/v={number - 1}"))
-        newest(latest_per_url(rows), limit).write.mode("overwrite").parquet(f"{out}/v={number}")
+        version = batch.agg(F.max("version").alias("v")).first()["v"]
+        if version is None:
+            return
+        pack = RulePack.from_table(rules.read(batch.sparkSession, version))
+        found = detect(captures(), pack, dictionary).withColumn("version_of_rules", F.lit(version))
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version_of_rules").parquet(out)
+
+    each_batch(settled, write, state)
 
-    each_batch(scans, write, state)

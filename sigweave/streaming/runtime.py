@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sigweave.session import shared_folder
+
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared folder the cluster names; a local one only
-    where none is named, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")
+    """A fresh folder under the shared folder the cluster names."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def append_all(stream: DataFrame, out: str, state: str) -> None:
-    """Append what is available to a Parquet table, then stop."""
-    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
-
-
 def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], state: str, mode: str = "append") -> None:
     """Hand every available micro-batch to ``write``, then stop."""
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
