@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from checks import all_queries  # noqa: E402
-from sigweave.operators import matching  # noqa: E402
 from sigweave.plans import detect  # noqa: E402
 from sigweave.session import get_session, ship_package, spread  # noqa: E402
 from sigweave.sources.captures import complete  # noqa: E402
@@ -93,7 +92,7 @@ def main() -> None:
             rates[f"pack_{n}_{label}"] = round(frame.count() / took, 1)
     print(json.dumps({
         "metric": "total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": SF.rstrip("/").rsplit("sf", 1)[-1],
-        "rows_per_sec": rates, "inline_limit": matching.INLINE_PATTERNS}))
+        "rows_per_sec": rates}))
 
 
 if __name__ == "__main__":

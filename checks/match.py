@@ -175,7 +175,7 @@ for _kind in ("word", "regex", "status", "icon_hash", "js", "dom"):
 @query("match_expr", with_captures(MATCH) + """
 SELECT capture_id, pattern AS expression, failed FROM pattern_hits WHERE type = 'dsl'""")
 def match_expr(spark, sf):
-    hits = matching.expression_hits(captures(spark, sf), core_pack())
+    hits = matching.pattern_hits(captures(spark, sf), core_pack(), ("dsl",))
     return hits.select("capture_id", F.col("detail").alias("expression"), "failed")
 
 
@@ -196,7 +196,7 @@ def match_invalid(spark, sf):
 
 def _matcher_hits(spark, sf):
     caps, pack = captures(spark, sf), core_pack()
-    return folding.matcher_hits(matching.pattern_hits(caps, pack), caps, pack)
+    return folding.matcher_hits(matching.pattern_hits(caps, pack, marked=True), pack)
 
 
 @query("match_condition", with_captures(MATCH) + """
@@ -302,7 +302,7 @@ def set_union_hits(spark, sf):
     return detected(spark, sf).groupBy(origin.alias("origin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# A large generated pack, far past the inline limit, so candidates are pruned.
+# A large generated pack.
 GENERATED = 2000
 COMMON = ["the", "tion", "nav", "article", "class", "track", "href", "lang", "meta", "script"]
 TAILS = ["and", "her", "ing", "con"]

@@ -1,26 +1,29 @@
-"""Which texts of a large pack occur on a page, without trying them one by one.
-
-Every word, and every literal a regular expression cannot match without, gives up
-one four-byte gram. The grams of a page are looked up in that list, the literals
-behind the grams found are checked, and so a page yields the words it contains
-and the expressions worth running. A pattern is never dropped that could match:
-literals too short for a gram are checked directly, and expressions without a
-literal are always run.
+"""Which patterns of a pack are worth trying on a page, as a join.
+
+Every word, and every literal a regular expression cannot match without, gives up one
+four-byte gram: its key. A page gives the keys that any pattern has, and an equi-join of
+page keys with pattern keys leaves the pairs to try. A pattern is never dropped that
+could match: literals too short for a gram, and expressions without a literal, have a
+key that every page gives.
+
+Python only turns texts into keys, many texts at once; what matches is decided by the
+conditions behind the join.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 GRAM = 4
+#: Bytes of text whose grams are looked at together.
+SLICE = 8 << 20
 _BITS = 22
 # How ordinary a byte is in page text; grams of rare bytes prune better.
 _COMMON = {b: 26 - i for i, b in enumerate(b" etaoinshrdlcum<>/=\"-.wfgypbvk")}
@@ -45,9 +48,8 @@ def fold(text: str) -> str:
     return text.replace("ſ", "s")
 
 
-def _slot(codes: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (codes * np.uint32(2654435761)) >> np.uint32(32 - _BITS)
+def folded(lowered: Column) -> Column:
+    return F.replace(lowered, F.lit("ſ"), F.lit("s"))
 
 
 def rarest_gram(literal: str) -> int | None:
@@ -57,87 +59,59 @@ def rarest_gram(literal: str) -> int | None:
     return None if best is None else int.from_bytes(best, "little")
 
 
-@dataclass
-class PartIndex:
-    """Literals of one part behind their grams."""
-
-    words: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
-    needles: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
-    always: list[int] = field(default_factory=list)
-    by_gram: dict[int, list[tuple[bool, str]]] = field(default_factory=lambda: defaultdict(list))
-    short: list[tuple[bool, str]] = field(default_factory=list)
-    codes: np.ndarray | None = None
-    seen: np.ndarray | None = None
-
-    def add(self, unit: Unit) -> None:
-        if unit.type == "word":
-            self.words[unit.lowered].append(unit.ix)
-        elif unit.literals:
-            for text in unit.literals:
-                self.needles[text].append(unit.ix)
-        else:
-            self.always.append(unit.ix)
-
-    def close(self) -> PartIndex:
-        for is_word, texts in ((True, self.words), (False, self.needles)):
-            for text in texts:
-                gram = rarest_gram(text)
-                (self.short if gram is None else self.by_gram[gram]).append((is_word, text))
-        self.codes = np.array(sorted(self.by_gram), dtype=np.uint32)
-        self.seen = np.zeros(1 << _BITS, dtype=bool)
-        self.seen[_slot(self.codes)] = True
-        return self
-
-    def _likely(self, raw: bytes) -> list[int]:
-        held = [np.frombuffer(raw, "<u4", (len(raw) - k) // GRAM, k) for k in range(GRAM) if len(raw) - k >= GRAM]
-        if not held or not len(self.codes):
-            return []
-        hits = np.concatenate([c[self.seen[_slot(c)]] for c in held])
-        return np.intersect1d(hits, self.codes).tolist()
-
-    def find(self, text: str | None) -> tuple[list[int], list[int]]:
-        """(words contained in the lower-case text, expressions worth trying)."""
-        text = text or ""
-        folded = fold(text)
-        words: list[int] = []
-        tries = set(self.always)
-        checks = self.short + [entry for code in self._likely(folded.encode("utf-8")) for entry in self.by_gram[code]]
-        for is_word, literal in checks:
-            if is_word:
-                if literal in text:
-                    words += self.words[literal]
-            elif literal in folded:
-                tries.update(self.needles[literal])
-        return words, sorted(tries)
-
-
-def build(units: list[Unit]) -> dict[str, PartIndex]:
-    index: dict[str, PartIndex] = defaultdict(PartIndex)
-    for unit in units:
-        index[unit.part].add(unit)
-    return {part: held.close() for part, held in index.items()}
-
-
-def candidates(units: list[Unit]) -> Column:
-    """``struct<words array<int>, tries array<int>>`` for (part, lower_text)."""
-    index = {part: (dict(i.words), dict(i.needles), i.always, dict(i.by_gram), i.short) for part, i in build(units).items()}
-
-    @pandas_udf("words array<int>, tries array<int>")
-    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        ready = {name: _restore(facts) for name, facts in index.items()}
-        for part, text in batches:
-            found = [ready[p].find(t) if p in ready else ([], []) for p, t in zip(part, text)]
-            yield pd.DataFrame({"words": [w for w, _ in found], "tries": [t for _, t in found]})
+def _slot(codes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (codes * np.uint32(2654435761)) >> np.uint32(32 - _BITS)
 
-    # Marked so that the optimizer does not run it a second time in a filter.
-    return find.asNondeterministic()(F.col("part"), F.col("lower_text"))
 
+def _marked(codes: np.ndarray) -> np.ndarray:
+    seen = np.zeros(1 << _BITS, bool)
+    seen[_slot(codes)] = True
+    return seen
+
+
+def page_grams(texts: pa.Array, codes: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, code)`` of each text and each of the sorted ``codes`` among its grams, once."""
+    wide = pa.types.is_large_string(texts.type)
+    _, ends, data = texts.buffers()
+    places = np.frombuffer(ends, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    found = []
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(places, places[first] + SLICE, "right")) - 1)
+        part = raw[places[first] : places[last]].astype(np.uint32)
+        if len(part) >= GRAM:
+            grams = part[:-3] | part[1:-2] << np.uint32(8) | part[2:-1] << np.uint32(16) | part[3:] << np.uint32(24)
+            at = np.flatnonzero(seen[_slot(grams)])
+            row = np.searchsorted(places[first : last + 1] - places[first], at, "right") - 1 + first
+            whole = at + GRAM <= places[row + 1] - places[first]  # not over the end of the text
+            found.append(np.unique(row[whole] << 32 | grams[at[whole]].astype(np.int64)))
+        first = last
+    both = np.concatenate(found) if found else np.zeros(0, np.int64)
+    code = (both & 0xFFFFFFFF).astype(np.uint32)
+    known = codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code if len(codes) else np.zeros(len(code), bool)
+    return (both >> 32)[known], code[known].astype(np.int64)
+
+
+def gram_keys(texts: dict[int, Column], codes: dict[int, Iterable[int]]) -> Column:
+    """``array<bigint>`` of the keys a page gives: kind of text in the upper half, gram in the
+    lower. ``texts`` are folded lower-case texts by kind, ``codes`` the grams asked for."""
+    kinds = sorted(texts)
+    asked = {k: np.array(sorted(codes[k]), np.uint32) for k in kinds}
+
+    @arrow_udf("array<bigint>")
+    def find(*columns: pa.Array) -> pa.Array:
+        rows, keys = [], []
+        for kind, column in zip(kinds, columns, strict=True):
+            row, code = page_grams(column, asked[kind], _marked(asked[kind]))
+            rows.append(row)
+            keys.append(code | kind << 32)
+        row, key = np.concatenate(rows), np.concatenate(keys)
+        order = np.argsort(row, kind="stable")
+        sizes = np.bincount(row, minlength=len(columns[0]))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order]))
 
-def _restore(facts: tuple) -> PartIndex:
-    """Index from its plain parts; the lookup arrays are made where they are used."""
-    words, needles, always, by_gram, short = facts
-    index = PartIndex(words, needles, always, by_gram, short)
-    index.codes = np.array(sorted(by_gram), dtype=np.uint32)
-    index.seen = np.zeros(1 << _BITS, dtype=bool)
-    index.seen[_slot(index.codes)] = True
-    return index
+    # Marked so that the optimizer does not run it a second time in a filter.
+    return find.asNondeterministic()(*[texts[k] for k in kinds])

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from sigweave.sources.pack import RulePack
 
 NEGATIVE_DETAIL = "negative holds: the condition was not met"
-MARKER = -1
 
 
 def matcher_state(condition: Column, hits: Column, invalid: Column, total: Column) -> Column:
@@ -26,22 +25,15 @@ def matcher_state(condition: Column, hits: Column, invalid: Column, total: Colum
     )
 
 
-def by_capture(hits: DataFrame, captures: DataFrame, pack: RulePack) -> DataFrame:
-    """Pattern hits laid out by capture; with negative matchers in the pack every
-    capture also sends a marker row, so captures without any hit take part."""
-    rows = hits
-    if pack.negative_ids:
-        rows = rows.unionByName(captures.select(
-            "capture_id", F.lit(MARKER).alias("pid"), F.lit("").alias("detail"), F.lit("").alias("version"), F.lit(False).alias("failed")
-        ))
-    return rows.repartition("capture_id")
-
-
-def matcher_hits(hits: DataFrame, captures: DataFrame, pack: RulePack) -> DataFrame:
+def matcher_hits(hits: DataFrame, pack: RulePack) -> DataFrame:
     """``(capture_id, rule_ord, mid, matcher_ix, confidence, evidence)`` of the
-    matchers that hold, negative ones included."""
+    matchers that hold, negative ones included.
+
+    With negative matchers in the pack every capture must have a row, so that captures
+    without any hit take part: the one that ``pattern_hits`` gives for a capture as such.
+    """
     spark = hits.sparkSession
-    laid = by_capture(hits, captures, pack)
+    laid = hits.repartition("capture_id")
     patterns = F.broadcast(pack.pattern_table(spark).select("pid", "mid", "pattern_ix", "type", "part", "pattern"))
     matchers = F.broadcast(pack.matcher_table(spark).withColumnsRenamed({"type": "m_type", "part": "m_part"}))
     is_text = F.col("type").isin("word", "regex")
@@ -105,42 +97,6 @@ def rule_hits(matched: DataFrame, pack: RulePack) -> DataFrame:
     ).withColumn("version", first_version(F.col("evidence")))
 
 
-def positive_rule_hits(hits: DataFrame, pack: RulePack) -> DataFrame:
-    """The same as ``rule_hits`` of ``matcher_hits`` for packs without negative
-    matchers, in one grouping: what a rule's matchers need is looked up in the
-    rule's own short list of hits."""
-    spark = hits.sparkSession
-    matchers = pack.matcher_table(spark)
-    per_rule = matchers.groupBy("rule_ord").agg(F.collect_list(F.struct(
-        "matcher_ix", F.col("condition").alias("mode"), "n_patterns", "n_invalid", F.col("confidence").alias("signal"))).alias("matchers"))
-    rules = F.broadcast(pack.rule_table(spark).withColumnRenamed("confidence", "rule_confidence").join(per_rule, "rule_ord"))
-    patterns = F.broadcast(pack.pattern_table(spark).select("pid", "mid", "pattern_ix", "type", "part", "pattern").join(
-        matchers.select("mid", "rule_ord", "matcher_ix"), "mid").drop("mid"))
-    is_text = F.col("type").isin("word", "regex")
-    row = F.struct(
-        "matcher_ix", "pattern_ix", "type", F.when(is_text, F.col("part")).otherwise("").alias("part"), "detail",
-        F.when(F.col("type") == "regex", F.col("pattern")).otherwise("").alias("pattern"), "version", "failed")
-    found = hits.repartition("capture_id").join(patterns, "pid").groupBy("capture_id", "rule_ord").agg(
-        F.array_sort(F.collect_list(row)).alias("found")).join(rules, "rule_ord")
-    count = lambda m, failed: F.size(F.filter("found", lambda e: (e["matcher_ix"] == m["matcher_ix"]) & (e["failed"] == failed)))
-    held = F.filter("matchers", lambda m: F.coalesce(
-        matcher_state(m["mode"], count(m, False), m["n_invalid"] + count(m, True), m["n_patterns"]), F.lit(False)))
-    # With one matcher that asks for any of its patterns, any hit decides.
-    plain = (F.size("matchers") == 1) & (F.col("matchers")[0]["mode"] == "or")
-    any_hit = F.when(F.exists("found", lambda e: ~e["failed"]), F.col("matchers")).otherwise(F.slice("matchers", 1, 0))
-    kept = found.withColumn("held", F.when(plain, any_hit).otherwise(held)).where(
-        F.when(F.col("condition") == "and", F.size("held") == F.col("n_matchers")).otherwise(F.size("held") > 0))
-    names = ("matcher_ix", "pattern_ix", "type", "part", "detail", "pattern", "version")
-    evidence = F.transform(
-        F.filter("found", lambda e: ~e["failed"] & F.exists("held", lambda m: m["matcher_ix"] == e["matcher_ix"])),
-        lambda e: F.struct(*[e[n].alias(n) for n in names]))
-    signals = F.transform("held", lambda m: m["signal"])
-    signal = F.when(F.col("condition") == "and", F.array_min(signals)).otherwise(F.array_max(signals))
-    return kept.select(
-        "capture_id", "rule_ord", "rule_id", "name", confidence(signal, F.col("rule_confidence")).alias("confidence"), evidence.alias("evidence"),
-    ).withColumn("version", first_version(F.col("evidence")))
-
-
 def confidence(signal: Column, rule_level: Column) -> Column:
     """Matcher signal scaled by the rule's own value, cut to a whole number."""
     scaled = (signal * rule_level / F.lit(100)).cast("int")

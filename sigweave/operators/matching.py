@@ -1,95 +1,56 @@
 """Pattern-level matching: which pattern of which rule holds on which capture.
 
-Every function returns ``(capture_id, pid, detail, version, failed)``: narrow
-rows, one per pattern that holds (or that failed on this capture, for runtime
-values and expressions). Page texts stay in the task that read them: they are
-never shuffled, and only rows that hit leave the stage.
+One projection reads a capture and turns all that rules can ask about it into keys: the
+grams of its texts, its status, icon hashes, runtime values, probes, and expressions that
+hold. An equi-join with the keys of the pack leaves few pairs of capture and pattern, and
+the condition of the pattern decides each pair while the capture is at hand. Texts stay
+in the task that read them and are read once, whatever the pack holds; only rows that hit
+leave the stage, as ``(capture_id, pid, detail, version, failed)``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import zlib
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigweave.functions.expressions import capture_values, try_column
-from sigweave.functions.text import clip_with_mark, extract, let, may_match
+from sigweave.functions.text import clip_with_mark, extract, let, lower_text
 from sigweave.functions.versions import expand_column, group_numbers
-from sigweave.operators.candidates import Unit, candidates
+from sigweave.operators.candidates import Unit, folded, gram_keys, rarest_gram
 from sigweave.schema import PARTS
-from sigweave.sources.captures import parts
+from sigweave.sources.captures import part_text
 from sigweave.sources.pack import PatternRow, RulePack
 
-# A pack part with no more patterns than this is tried as literal conditions in
-# one projection: each pattern is then compiled once per task.
-INLINE_PATTERNS = 64
 DETAIL_CHARS = 120
 ZERO_WIDTH = "(zero-width match)"
 
 HIT_COLUMNS = ("capture_id", "pid", "detail", "version", "failed")
+#: Pattern id of the row that stands for a capture as such.
+MARKER = -1
 
+# Kinds of keys: the parts of a capture come first, in order.
+_STATUS, _ICON, _JS, _DOM, _HOLDS, _FAILS, _ALWAYS, _SELF = range(len(PARTS), len(PARTS) + 8)
+_LOW = 0xFFFFFFFF
 
-def _condition(u: Unit, text: Column, lowered: Column) -> Column:
-    if u.type == "word":
-        return F.contains(lowered, F.lit(u.lowered))
-    return may_match(u.literals, lowered) & F.rlike(text, F.lit(u.java))
 
+def _named(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
-def _found(ix: Column | int, detail: Column, captured: Column) -> Column:
-    return F.struct((F.lit(ix) if isinstance(ix, int) else ix).alias("unit"), detail.alias("detail"), captured.alias("captured"))
 
+def _key(kind: int, code: int) -> int:
+    return kind << 32 | code & _LOW
 
-def _regex_detail(text: Column, java: Column) -> Column:
-    return let(extract(text, java, 0), lambda m: F.when(m == "", F.lit(ZERO_WIDTH)).otherwise(clip_with_mark(m, DETAIL_CHARS)))
 
+def _keys(kind: int, codes: Column) -> Column:
+    return F.transform(codes, lambda c: c.cast("bigint").bitwiseAND(F.lit(_LOW)).bitwiseOR(F.lit(kind << 32)))
 
-def _inline_hits(units: list[Unit], wanted: int) -> Column:
-    """Units that hold, tried one by one as literal conditions, as an array."""
-    text, lowered = F.col("text"), F.col("lower_text")
-    out = None
-    for part in sorted({u.part for u in units}):
-        rows = []
-        for u in units:
-            if u.part != part:
-                continue
-            if u.type == "word":
-                row = _found(u.ix, F.lit(u.pattern), F.array().cast("array<string>"))
-            else:
-                groups = [extract(text, F.lit(u.java), n) for n in range(min(u.groups, wanted) + 1)] if wanted >= 0 else []
-                row = _found(u.ix, _regex_detail(text, F.lit(u.java)), F.array(*groups).cast("array<string>"))
-            rows.append(F.when(_condition(u, text, lowered), row))
-        tried = F.array_compact(F.array(*rows))
-        out = F.when(F.col("part") == part, tried) if out is None else out.when(F.col("part") == part, tried)
-    return out
 
-
-def _pruned_hits(units: list[Unit], wanted: int) -> Column:
-    """Units that hold, out of the candidates of the page. Texts are looked at in
-    place; what leaves the row is the found detail only."""
-    text = F.col("text")
-    # Written as one text each that the optimizer splits once, when it folds
-    # constants: thousands of separate literals would take seconds to plan.
-    java = F.split(F.lit("\0".join(u.java for u in units if u.java)), "\\x00")
-    most = F.transform(F.split(F.lit(" ".join(str(u.groups) for u in units if u.java)), " "), lambda n: n.cast("int"))
-    pattern = lambda ix: F.element_at(java, ix + 1)
-    words = F.transform(F.col("c.words"), lambda ix: _found(ix, F.lit(None).cast("string"), F.array().cast("array<string>")))
-    held = F.filter(F.col("c.tries"), lambda ix: F.rlike(text, pattern(ix)))
-    groups = lambda ix: F.array(*[
-        F.when(F.element_at(most, ix + 1) >= n, extract(text, pattern(ix), F.least(F.lit(n), F.element_at(most, ix + 1)))).otherwise("") for n in range(wanted + 1)])
-    return F.concat(words, F.transform(held, lambda ix: _found(ix, _regex_detail(text, pattern(ix)), groups(ix).cast("array<string>"))))
-
-
-def _version(pack: RulePack, text: Column | None) -> Column:
-    """Version of runtime values, whose template is filled from the value."""
-    if not pack.versions:
-        return F.lit("")
-    wanted = _wanted_groups(pack)
-    none = F.array().cast("array<string>")
-    captured = none if text is None else F.when(F.col("java").isNotNull() & (F.col("version") != ""), F.array(*[
-        F.when(F.col("groups") >= n, extract(text, F.col("java"), F.least(F.lit(n), F.col("groups")))).otherwise("") for n in range(wanted + 1)
-    ])).otherwise(none)
-    return F.coalesce(expand_column(F.col("version"), captured, pack.versions), F.lit(""))
+def _named_keys(kind: int, names: Column) -> Column:
+    return _keys(kind, F.transform(names, lambda n: F.crc32(n.cast("binary"))))
 
 
 def _wanted_groups(pack: RulePack) -> int:
@@ -98,117 +59,160 @@ def _wanted_groups(pack: RulePack) -> int:
 
 
 def _units(patterns: list[PatternRow]) -> tuple[list[Unit], dict[int, int]]:
-    """Distinct patterns, expressions first, and the unit of each pattern id. An
-    unknown part means the body."""
+    """Distinct patterns, and the unit of each pattern id. An unknown part means the body;
+    patterns that do not read a text are units of their own."""
     known: dict[tuple, Unit] = {}
     of: dict[int, int] = {}
-    for p in sorted(patterns, key=lambda p: p.java is None):
+    for p in patterns:
         part = p.part if p.part in PARTS else "body"
-        key = (part, p.type, p.pattern)
+        key = (part, p.type, p.pattern) if p.type in ("word", "regex") else (p.pid,)
         if key not in known:
             known[key] = Unit(len(known), part, p.type, p.pattern, p.java, p.groups, p.lowered, p.literals)
         of[p.pid] = known[key].ix
     return list(known.values()), of
 
 
-def text_hits(captures: DataFrame, pack: RulePack, types: tuple[str, ...] = ("word", "regex"),
-              inline_limit: int = INLINE_PATTERNS) -> DataFrame | None:
-    """Words and regular expressions over the parts of each capture.
-
-    A pattern that many rules share is looked for once; the narrow result is then
-    joined to the rules that have it.
-    """
-    patterns = pack.of_type(*types)
-    if not patterns:
-        return None
-    units, of = _units(patterns)
-    wanted = _wanted_groups(pack)
-    rows = parts(captures, sorted({u.part for u in units}))
-    if len(units) <= inline_limit:
-        found = _inline_hits(units, wanted)
-    else:
-        rows = rows.withColumn("c", candidates(units))
-        found = _pruned_hits(units, wanted)
-    # The outer form, because for the inner one the optimizer adds a filter on the
-    # array's size and would then evaluate every condition twice.
-    narrow = rows.select("capture_id", found.alias("found")).select("capture_id", F.inline_outer("found")).where("unit IS NOT NULL")
-    table = F.broadcast(pack.pattern_table(captures.sparkSession, patterns, of).select("unit", "pid", "pattern", "version"))
-    version = expand_column(F.col("version"), F.col("captured"), pack.versions)
-    return narrow.join(table, "unit").select(
-        "capture_id", "pid", F.coalesce("detail", "pattern").alias("detail"), F.coalesce(version, F.lit("")).alias("version"),
-        F.lit(False).alias("failed"))
-
-
-def _equal_hits(exploded: DataFrame, pack: RulePack, kind: str, on: str, detail: Column,
-                hit: Column | None = None, failed: Column | None = None, text: Column | None = None) -> DataFrame | None:
-    """Equi join of exploded capture values with the patterns of one type."""
-    patterns = pack.of_type(kind)
-    if not patterns:
-        return None
-    table = F.broadcast(pack.pattern_table(exploded.sparkSession, patterns).drop("part"))
-    joined = exploded.join(table, on)
-    if hit is not None:
-        joined = joined.where(hit)
-    return joined.select(
-        "capture_id", "pid", detail.alias("detail"), _version(pack, text).alias("version"),
-        (F.lit(False) if failed is None else failed).alias("failed"),
-    )
-
-
-def status_hits(captures: DataFrame, pack: RulePack) -> DataFrame | None:
-    rows = captures.select("capture_id", F.coalesce("status", F.lit(0)).alias("number"))
-    return _equal_hits(rows, pack, "status", "number", F.concat(F.lit("status "), F.col("pattern")))
-
-
-def icon_hits(captures: DataFrame, pack: RulePack) -> DataFrame | None:
-    rows = captures.select("capture_id", F.explode(F.array_distinct("favicon_hashes")).alias("number"))
-    return _equal_hits(rows, pack, "icon_hash", "number", F.concat(F.lit("mmh3 "), F.col("pattern")))
-
-
-def js_hits(captures: DataFrame, pack: RulePack) -> DataFrame | None:
-    """Runtime path present and, where asked for, its value matches (by case)."""
-    rows = captures.select("capture_id", F.explode("js").alias("key", "value"))
-    value = F.coalesce(F.col("value"), F.lit(""))
-    broken = F.col("number") == 1
-    detail = F.concat(F.lit("window."), F.col("key"), F.when(value != "", F.concat(F.lit(" = "), value)).otherwise(""))
-    return _equal_hits(
-        rows, pack, "js", "key", detail, hit=broken | F.col("java").isNull() | F.rlike(value, F.col("java")),
-        failed=broken, text=value,
-    )
-
-
-def dom_hits(captures: DataFrame, pack: RulePack) -> DataFrame | None:
-    rows = captures.select("capture_id", F.explode("dom_hits").alias("key", "held")).where("held").drop("held")
-    return _equal_hits(rows, pack, "dom", "key", F.col("pattern"))
-
-
-def expression_hits(captures: DataFrame, pack: RulePack) -> DataFrame | None:
-    """Boolean expressions: all of them in one projection, then one row each."""
-    patterns = pack.of_type("dsl")
-    if not patterns:
-        return None
-    names = capture_values()
-    results = F.array(*[
-        F.struct(F.lit(p.pid).alias("pid"), F.lit(p.pattern).alias("detail"), F.lit(p.version).alias("version_template"),
-                 try_column(p.pattern, names).alias("value")) for p in patterns
-    ])
-    rows = captures.select("capture_id", F.inline(results)).where(F.col("value").isNull() | F.col("value"))
-    no_groups = F.array().cast("array<string>")
-    return rows.select(
-        "capture_id", "pid", "detail",
-        expand_column(F.col("version_template"), no_groups, {p.version for p in patterns}).alias("version"),
-        F.col("value").isNull().alias("failed"),
-    )
-
-
-def pattern_hits(captures: DataFrame, pack: RulePack, inline_limit: int = INLINE_PATTERNS) -> DataFrame:
-    """All seven matcher types. Each branch reads only the columns it needs."""
-    branches = [
-        text_hits(captures, pack, inline_limit=inline_limit), status_hits(captures, pack), icon_hits(captures, pack),
-        js_hits(captures, pack), dom_hits(captures, pack), expression_hits(captures, pack),
-    ]
-    found = [b for b in branches if b is not None]
-    if not found:
+_INDEX = [("key", pa.int64()), ("unit", pa.int32()), ("kind", pa.string()), ("part", pa.int32()), ("pattern", pa.string()), ("literal", pa.string()),
+          ("before", pa.list_(pa.string())), ("java", pa.string()), ("groups", pa.int32()), ("name", pa.string()), ("broken", pa.bool_())]
+
+
+def _index_rows(patterns: list[PatternRow], units: list[Unit], of: dict[int, int]) -> Iterable[tuple]:
+    """A row for each key of each unit. Of the literals of an expression the first that a
+    text holds counts, so that a text meets a unit once."""
+    for u in units:
+        if u.type not in ("word", "regex"):
+            continue
+        part = PARTS.index(u.part)
+        literals = ((u.lowered,) if u.lowered else ()) if u.type == "word" else u.literals
+        for n, literal in enumerate(literals or (None,)):
+            gram = None if literal is None else rarest_gram(literal)
+            key = _key(_ALWAYS, part) if gram is None else _key(part, gram)
+            yield key, u.ix, u.type, part, u.pattern, literal, list(literals[:n]), u.java, u.groups, None, False
+    for p in patterns:
+        if p.type in ("status", "icon_hash"):
+            keys, name = [_key(_STATUS if p.type == "status" else _ICON, p.number)], None
+        elif p.type in ("js", "dom"):
+            keys, name = [_key(_JS if p.type == "js" else _DOM, _named(p.key))], p.key
+        elif p.type == "dsl":
+            keys, name = [_key(_HOLDS, p.pid), _key(_FAILS, p.pid)], None
+        else:
+            continue
+        for key in keys:
+            yield key, of[p.pid], p.type, None, p.pattern, None, [], p.java, p.groups, name, p.type == "js" and p.number == 1
+    yield _key(_SELF, 0), MARKER, "self", None, "", None, [], None, 0, None, False
+
+
+def _tables(spark: SparkSession, pack: RulePack, patterns: list[PatternRow]) -> tuple[DataFrame, DataFrame]:
+    """Keys with what decides them, and the rules' patterns behind each unit. A pack checks
+    its size when it is made, so both may be broadcast."""
+    made = pack._tables
+    at = (spark.sparkContext.applicationId, "index", tuple(p.pid for p in patterns))
+    if at not in made:
+        units, of = _units(patterns)
+        rows = list(_index_rows(patterns, units, of))
+        index = spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(_INDEX)], names=[n for n, _ in _INDEX]))
+        shared = [(of[p.pid], p.pid, p.version) for p in patterns] + [(MARKER, MARKER, "")]
+        behind = spark.createDataFrame(pa.table(
+            [pa.array([r[i] for r in shared], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.string()))], names=["unit", "pid", "version"]))
+        made[at] = (index, behind)
+    index, behind = made[at]
+    return F.broadcast(index), F.broadcast(behind)
+
+
+def _outcome(value: Column, pid: int) -> Column:
+    """Key of an expression that holds or fails; NULL for one that does not hold."""
+    return let(value, lambda v: F.when(v.isNull(), F.lit(_key(_FAILS, pid))).when(v, F.lit(_key(_HOLDS, pid))))
+
+
+def _asked(captures: DataFrame, patterns: list[PatternRow], marked: bool) -> DataFrame:
+    """One row per capture: the texts and values conditions need, and its keys."""
+    units, _ = _units(patterns)
+    texts = [u for u in units if u.type in ("word", "regex")]
+    parts = [p for p in PARTS if any(u.part == p for u in texts)]
+    codes: dict[int, set[int]] = {}
+    always = set()
+    for u in texts:
+        part = PARTS.index(u.part)
+        for literal in (((u.lowered,) if u.lowered else ()) if u.type == "word" else u.literals) or (None,):
+            gram = None if literal is None else rarest_gram(literal)
+            if gram is None:
+                always.add(part)
+            else:
+                codes.setdefault(part, set()).add(gram)
+    rows = captures.select("*", *[part_text(p).alias(f"_text{PARTS.index(p)}") for p in parts])
+    rows = rows.select("*", *[lower_text(F.col(f"_text{PARTS.index(p)}")).alias(f"_lower{PARTS.index(p)}") for p in parts])
+    rows = rows.select("*", *[folded(F.col(f"_lower{PARTS.index(p)}")).alias(f"_folded{PARTS.index(p)}") for p in parts])
+    kinds = {p.type for p in patterns}
+    keys = []
+    if codes:
+        keys.append(gram_keys({k: F.col(f"_folded{k}") for k in codes}, codes))
+    fixed = [F.lit(_key(_ALWAYS, part)).cast("bigint") for part in sorted(always)] + ([F.lit(_key(_SELF, 0)).cast("bigint")] if marked else [])
+    if fixed:
+        keys.append(F.array(*fixed))
+    if "status" in kinds:
+        keys.append(_keys(_STATUS, F.array(F.coalesce("status", F.lit(0)))))
+    if "icon_hash" in kinds:
+        keys.append(_keys(_ICON, F.coalesce(F.array_compact(F.array_distinct("favicon_hashes")), F.array().cast("array<int>"))))
+    if "js" in kinds:
+        keys.append(F.coalesce(_named_keys(_JS, F.map_keys("js")), F.array().cast("array<bigint>")))
+    if "dom" in kinds:
+        keys.append(F.coalesce(_named_keys(_DOM, F.map_keys(F.map_filter("dom_hits", lambda _k, v: v))), F.array().cast("array<bigint>")))
+    if "dsl" in kinds:
+        names = capture_values()
+        told = [_outcome(try_column(p.pattern, names), p.pid) for p in patterns if p.type == "dsl"]
+        keys.append(F.array_compact(F.array(*told)).cast("array<bigint>"))
+    values = [c for c, kind in (("js", "js"), ("dom_hits", "dom")) if kind in kinds]
+    held = [f"_{form}{PARTS.index(p)}" for p in parts for form in ("text", "lower", "folded")]
+    return rows.select("capture_id", *values, *held, F.concat(*keys).alias("_keys"))
+
+
+def _of_part(rows: DataFrame, form: str) -> Column:
+    """The text of the part a pattern reads."""
+    out = F.lit("")
+    for n in range(len(PARTS)):
+        if f"_{form}{n}" in rows.columns:
+            out = F.when(F.col("part") == n, F.col(f"_{form}{n}")).otherwise(out)
+    return out
+
+
+def pattern_hits(captures: DataFrame, pack: RulePack, types: tuple[str, ...] | None = None, marked: bool = False) -> DataFrame:
+    """All seven matcher types. With ``marked`` every capture has one more row, of the pattern
+    id ``MARKER``."""
+    patterns = [p for p in pack.patterns if p.valid and p.type and (types is None or p.type in types)]
+    if not patterns and not marked:
         return captures.select("capture_id", F.lit(0).alias("pid"), F.lit("").alias("detail"),
                                F.lit("").alias("version"), F.lit(False).alias("failed")).where(F.lit(False))
-    return reduce(DataFrame.unionByName, found)
+    index, behind = _tables(captures.sparkSession, pack, patterns)
+    asked = _asked(captures, patterns, marked)
+    # The outer form, because for the inner one the optimizer adds a filter on the
+    # array's size and would then make the keys twice.
+    tried = asked.withColumn("key", F.explode_outer("_keys")).drop("_keys").join(index, "key")
+    text, lower, plain = (_of_part(asked, form) for form in ("text", "lower", "folded"))
+    kind, java = F.col("kind"), F.col("java")
+    value = F.coalesce(F.element_at("js", F.col("name")), F.lit("")) if "js" in asked.columns else F.lit("")
+    first = F.col("literal").isNull() | (F.contains(plain, F.col("literal")) & ~F.exists("before", lambda b: F.contains(plain, b)))
+    holds = (
+        F.when(kind == "word", F.col("literal").isNull() | F.contains(lower, F.col("literal")))
+        .when(kind == "regex", first & F.rlike(text, java))
+        .when(kind == "js", F.map_contains_key("js", F.col("name")) & (F.col("broken") | java.isNull() | F.rlike(value, java)) if "js" in asked.columns else F.lit(False))
+        .when(kind == "dom", F.coalesce(F.try_element_at("dom_hits", F.col("name")), F.lit(False)) if "dom_hits" in asked.columns else F.lit(False))
+        .otherwise(True))
+    matched = let(extract(text, java, 0), lambda m: F.when(m == "", F.lit(ZERO_WIDTH)).otherwise(clip_with_mark(m, DETAIL_CHARS)))
+    detail = (
+        F.when(kind == "regex", matched).when(kind == "status", F.concat(F.lit("status "), F.col("pattern")))
+        .when(kind == "icon_hash", F.concat(F.lit("mmh3 "), F.col("pattern")))
+        .when(kind == "js", F.concat(F.lit("window."), F.col("name"), F.when(value != "", F.concat(F.lit(" = "), value)).otherwise("")))
+        .otherwise(F.col("pattern")))
+    wanted, subject = _wanted_groups(pack), F.when(kind == "js", value).otherwise(text)
+    group = lambda n: F.when(F.col("groups") >= n, extract(subject, java, F.least(F.lit(n), F.col("groups")))).otherwise("")
+    none = F.array().cast("array<string>")
+    captured = F.when(java.isNotNull() & ~F.col("broken"), F.array(*[group(n) for n in range(wanted + 1)]).cast("array<string>")).otherwise(none) if wanted >= 0 else none
+    failed = F.col("broken") | (F.shiftright("key", 32) == _FAILS)
+    narrow = tried.where(holds).select("capture_id", "unit", detail.alias("detail"), captured.alias("captured"), failed.alias("failed"))
+    version = expand_column(F.col("version"), F.col("captured"), pack.versions)
+    return narrow.join(behind, "unit").select("capture_id", "pid", "detail", F.coalesce(version, F.lit("")).alias("version"), "failed")
+
+
+def text_hits(captures: DataFrame, pack: RulePack) -> DataFrame:
+    """Words and regular expressions over the parts of each capture."""
+    return pattern_hits(captures, pack, ("word", "regex"))

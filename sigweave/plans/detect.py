@@ -9,21 +9,19 @@ from sigweave.operators import closure, favicons, folding, matching
 from sigweave.sources.pack import RulePack
 
 
-def rule_hits(captures: DataFrame, pack: RulePack, inline_limit: int = matching.INLINE_PATTERNS) -> DataFrame:
-    found = matching.pattern_hits(captures, pack, inline_limit)
-    if not pack.negative_ids:
-        return folding.positive_rule_hits(found, pack)
-    return folding.rule_hits(folding.matcher_hits(found, captures, pack), pack)
+def rule_hits(captures: DataFrame, pack: RulePack) -> DataFrame:
+    found = matching.pattern_hits(captures, pack, marked=bool(pack.negative_ids))
+    return folding.rule_hits(folding.matcher_hits(found, pack), pack)
 
 
 def detect(captures: DataFrame, pack: RulePack, dictionary: DataFrame | None = None,
-           custom: DataFrame | None = None, inline_limit: int = matching.INLINE_PATTERNS) -> DataFrame:
+           custom: DataFrame | None = None) -> DataFrame:
     """Rules, then implied names, then exclusions, then the icon dictionary.
 
     ``level`` and ``way`` give the order of hits within a capture: rule hits in
     rule order, implied ones breadth first, dictionary hits last.
     """
-    hits = rule_hits(captures, pack, inline_limit)
+    hits = rule_hits(captures, pack)
     hits = closure.drop_excluded(closure.add_implied(hits, pack), pack)
     return hits if dictionary is None else favicons.add_icons(hits, captures, dictionary, custom)
 

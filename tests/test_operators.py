@@ -3,11 +3,14 @@
 import random
 import string
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sigweave.functions import expressions, hashing, html, urls, versions
-from sigweave.operators import closure, crawl, favicons, folding, matching, reports
+from sigweave.functions.text import lower_text
+from sigweave.operators import candidates, closure, crawl, favicons, folding, matching, reports
 from sigweave.plans import detect
 from sigweave.sources.captures import complete
 from sigweave.sources.pack import PackTooLarge, RulePack, probe_key
@@ -21,8 +24,8 @@ def caps(spark, rows):
     return complete(spark.createDataFrame(rows, "capture_id long, url string, title string, body string, status int"))
 
 
-def hits_of(spark, rules, body="the Body text", status=200, url="https://a.example.com/", inline=64):
-    out = detect.detect(caps(spark, [(1, url, "Title", body, status)]), RulePack.from_documents(rules), inline_limit=inline)
+def hits_of(spark, rules, body="the Body text", status=200, url="https://a.example.com/"):
+    out = detect.detect(caps(spark, [(1, url, "Title", body, status)]), RulePack.from_documents(rules))
     return {r["rule_id"]: r for r in out.collect()}
 
 
@@ -169,10 +172,26 @@ def test_pruned_equals_unpruned(spark):
         ["script", "(s)cript|mask", "k(elvin)", "[a-z]{2}([<>])", "(中|文).", "x*", "strasse|STRASSE", "(?:foo|[A-F]+)z", "致远(oa)", "é+", "mask$", "(?-i)Kelvin"])]
     rows = caps(spark, [(i, "u", "t", b, 200) for i, b in enumerate(bodies)])
     pack = RulePack.from_documents(rules)
-    slow = matching.text_hits(rows, pack, inline_limit=100_000)
-    fast = matching.text_hits(rows, pack, inline_limit=0)
-    assert sorted(map(tuple, slow.collect())) == sorted(map(tuple, fast.collect()))
-    assert fast.count() > 100
+    text = F.col("body")
+    tried = [(p.pid, F.contains(lower_text(text), F.lit(p.lowered)) if p.type == "word" else F.rlike(text, F.lit(p.java))) for p in pack.patterns if p.valid]
+    held = rows.select("capture_id", *[c.alias(f"p{pid}") for pid, c in tried]).collect()
+    want = sorted((r["capture_id"], pid) for r in held for pid, _ in tried if r[f"p{pid}"])
+    got = matching.text_hits(rows, pack).collect()
+    assert sorted((r["capture_id"], r["pid"]) for r in got) == want
+    assert len(want) > 100
+
+
+def test_grams_of_pages(monkeypatch):
+    monkeypatch.setattr(candidates, "SLICE", 50)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abé漢", k=rng.randint(0, 40))) for _ in range(80)] + ["", "abab" * 40, "a"]
+    grams = {raw[i:i + 4] for t in texts[::3] for raw in [t.encode()] for i in range(len(raw) - 3)}
+    codes = np.array(sorted(int.from_bytes(g, "little") for g in grams), np.uint32)
+    for column in (pa.array(["x", *texts])[1:], pa.array(texts, pa.large_string())):
+        row, code = candidates.page_grams(column, codes, candidates._marked(codes))
+        want = sorted((n, c) for n, t in enumerate(texts) for c in {int.from_bytes(t.encode()[i:i + 4], "little") for i in range(len(t.encode()) - 3)} & set(codes.tolist()))
+        assert list(zip(row.tolist(), code.tolist())) == want
+    assert candidates.page_grams(pa.array(texts), codes[:0], candidates._marked(codes[:0]))[0].size == 0
 
 
 @pytest.mark.parametrize("n", [1, 4, 16])
@@ -214,18 +233,3 @@ def test_feed_refresh_and_rollback(spark):
     assert sorted(r["rule_id"] for r in back.collect()) == ["x", "y"]
     forth = rulesets.current_version(rulesets.rollback(rulesets.rollback(second.versions)))
     assert sorted(r["rule_id"] for r in forth.collect()) == ["x", "z"]
-
-
-def test_one_grouping_equals_two(spark):
-    """Packs without negative matchers take a shorter way to the same hits."""
-    from checks.base import captures, core_pack
-
-    rows = captures(spark, "/root/testdata/sf0.001")
-    source = [{**r, "matchers": [{**m, "negative": False} for m in r["matchers"]]} for r in core_pack().source]
-    pack = RulePack(source)
-    found = matching.pattern_hits(rows, pack)
-    columns = ["capture_id", "rule_ord", "rule_id", "name", "version", "confidence", "evidence"]
-    long = folding.rule_hits(folding.matcher_hits(found, rows, pack), pack).select(*columns)
-    short = detect.rule_hits(rows, pack).select(*columns)
-    assert sorted(map(repr, long.collect())) == sorted(map(repr, short.collect()))
-    assert short.count() > 300
