@@ -12,12 +12,13 @@ all terms: always like with like.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from sigweave.llm.common import arrow_map, id_and_text, partitions, store
 from sigweave.llm.counting import count_keys
@@ -113,6 +114,31 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half] if half else text
 
 
+def _range_of(cuts: list[int]) -> Callable[[Column], Column]:
+    """Number of the range of an order value: how many cuts lie below it."""
+    below = np.array(cuts, np.int64)
+    return arrow_udf(lambda o: pa.array(np.searchsorted(below, o.to_numpy()).astype(np.int32)), "int")
+
+
+def _sent(tops: dict[int, int], ranges: int) -> Callable[[Column, Column], Column]:
+    """Where a row goes: to its range, and a range's first row also to the tail of the range
+    of the next higher ids, whose last row it follows; the very first to that of the lowest."""
+    order = sorted(tops, reverse=True)
+    top, wants = np.full(ranges, np.iinfo(np.int64).max), np.full(ranges, -1)
+    for i, r in enumerate(order):
+        top[r], wants[r] = tops[r], order[i - 1]
+
+    def places(at: pa.Array, o: pa.Array) -> pa.Array:
+        at, first = at.to_numpy(), o.to_numpy() == top[at.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(1 + first)]).astype(np.int32)
+        into, tail = np.empty(ends[-1], np.int32), np.zeros(ends[-1], np.int32)
+        into[ends[:-1]] = at
+        into[ends[1:][first] - 1], tail[ends[1:][first] - 1] = wants[at[first]], 1
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(into), pa.array(tail)], ["range", "tail"]))
+
+    return arrow_udf(places, "array<struct<range:int,tail:int>>")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next`` of every row. The edited text has its last half replaced by the start of
@@ -130,19 +156,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = partitions(spark) * 2
     cuts = [] if plain.isEmpty() else plain.agg(F.percentile_approx("o", [i / n for i in range(1, n)], 10_000)).first()[0]
     cuts = sorted(set(cuts))
-    place = F.lit(0)
-    for c in cuts:
-        place = place + F.when(F.col("o") > c, 1).otherwise(0)
-    ranged = plain.withColumn("range", place)
+    ranged = plain.withColumn("range", _range_of(cuts)(F.col("o")))
     tops = {r["range"]: r["top"] for r in ranged.groupBy("range").agg(F.max("o").alias("top")).collect()}
-    order = sorted(tops, reverse=True)
-    # The row with a range's highest id is wanted by the range of higher ids; the highest by the lowest.
-    wants = {r: order[i - 1] if i else order[-1] for i, r in enumerate(order)}
-    sent = F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("tail")))
-    for r in order:
-        extra = F.array(F.struct(F.lit(wants[r]).alias("range"), F.lit(1).alias("tail")))
-        sent = F.when((F.col("range") == r) & (F.col("o") == tops[r]), F.concat(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("tail"))), extra)).otherwise(sent)
-    dealt = ranged.select("doc_id", "o", "text", F.explode(sent).alias("s")).select("doc_id", "o", "text", "s.range", "s.tail")
+    ranged = ranged.withColumn("sent", _sent(tops, len(cuts) + 1)(F.col("range"), F.col("o")))
+    dealt = ranged.select("doc_id", "o", "text", F.explode("sent").alias("s")).select("doc_id", "o", "text", "s.range", "s.tail")
     sorted_rows = dealt.repartition(n, "range").sortWithinPartitions("range", "tail", F.desc("o"), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
