@@ -14,6 +14,7 @@ from sigweave.functions.expressions import capture_values, try_column
 from sigweave.operators import favicons, health, probes, quality, search
 from sigweave.plans import detect
 from sigweave.sources.pack import RulePack
+from sigweave.streaming.runtime import work_dir
 
 T, E = "true", "NULL::BOOLEAN"
 EXPRESSIONS = {
@@ -257,11 +258,34 @@ def rules_backtest(spark, sf):
     return detect.rule_hits(captures(spark, sf), pack).select("capture_id", "rule_id", "version")
 
 
-@query("favicon_hash_job")
+MURMUR_SQL = """
+WITH icons AS (
+  SELECT page_id AS capture_id, unnest([html, url[:58], html, url || chr(10)]) AS content FROM pages),
+text AS (SELECT DISTINCT capture_id, regexp_replace(base64(encode(content)), '(.{76})', '\\1' || chr(10), 'g') || chr(10) AS t FROM icons),
+codes AS (SELECT capture_id, list_transform(string_split(t, ''), lambda c: unicode(c)::HUGEINT) AS c, length(t) AS n FROM text),
+blocks AS (
+  SELECT capture_id, n, list_transform(range(0, n // 4), lambda i: c[4*i+1] + c[4*i+2] * 256 + c[4*i+3] * 65536 + c[4*i+4] * 16777216) AS k,
+    coalesce(CASE WHEN n % 4 > 0 THEN c[n - n % 4 + 1] END, 0) + coalesce(CASE WHEN n % 4 > 1 THEN c[n - n % 4 + 2] END, 0) * 256
+      + coalesce(CASE WHEN n % 4 > 2 THEN c[n - n % 4 + 3] END, 0) * 65536 AS rest FROM codes),
+mixed AS (
+  SELECT capture_id, n, list_transform(list_append(k, rest), lambda x: (((x * 3432918353) % 4294967296 * 32768) % 4294967296 + ((x * 3432918353) % 4294967296) // 131072) * 461845907 % 4294967296) AS m FROM blocks),
+folded AS (
+  SELECT capture_id, n, m, list_reduce(list_prepend(0::HUGEINT, m[1:len(m) - 1]),
+    lambda h, x: (((xor(h, x) * 8192) % 4294967296 + xor(h, x) // 524288) * 5 + 3864292196) % 4294967296) AS h FROM mixed),
+ends AS (SELECT capture_id, xor(xor(h, m[len(m)]), n::HUGEINT) AS a FROM folded),
+e1 AS (SELECT capture_id, xor(a, a // 65536) * 2246822507 % 4294967296 AS b FROM ends),
+e2 AS (SELECT capture_id, xor(b, b // 8192) * 3266489909 % 4294967296 AS d FROM e1),
+hashes AS (SELECT capture_id, xor(d, d // 65536) AS u FROM e2)
+SELECT capture_id, array_to_string(list_sort(list(DISTINCT (CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END)::INTEGER)), ',') AS hashes FROM hashes WHERE u <> 0 GROUP BY ALL"""
+
+
+@query("favicon_hash_job", MURMUR_SQL)
 def favicon_hash_job(spark, sf):
-    """Icon bytes stand in from page text; two icons per page, some of them empty."""
-    icons = table(spark, sf, "pages").select(F.col("page_id").alias("capture_id"), F.explode(F.array(
+    """Icon bytes stand in from page text: three per page from a table, one from a file."""
+    pages = table(spark, sf, "pages")
+    icons = pages.select(F.col("page_id").alias("capture_id"), F.explode(F.array(
         F.encode("html", "UTF-8"), F.encode(F.substring("url", 1, 58), "UTF-8"), F.encode("html", "UTF-8"))).alias("content"))
-    return favicons.hash_icons(icons).select("capture_id", F.array_join(F.transform("favicon_hashes", lambda h: h.cast("string")), ",").alias("hashes"))
-
-
+    folder = work_dir(spark, "icons")
+    pages.select(F.col("page_id").alias("capture_id"), F.col("url").alias("value")).write.partitionBy("capture_id").text(folder)
+    both = icons.unionByName(favicons.icon_files(spark, folder))
+    return favicons.hash_icons(both).select("capture_id", F.array_join(F.transform("favicon_hashes", lambda h: h.cast("string")), ",").alias("hashes"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+
+from sigweave.functions.text import let
 
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 
@@ -32,36 +31,51 @@ def probe_id(sel: Column, text: Column | None = None, attrs: Column | None = Non
     return F.concat(F.lit("dom:"), fnv1a_hex(F.concat(sel, F.lit("\x00"), extra, F.lit("\x00"), pairs)))
 
 
-def _rotate(values: np.ndarray, bits: int) -> np.ndarray:
-    return (values << np.uint32(bits)) | (values >> np.uint32(32 - bits))
+_MASK = 0xFFFFFFFF
 
 
-def _murmur3(data: bytes) -> int:
-    blocks = np.frombuffer(data, dtype="<u4", count=len(data) // 4)
-    tail = int.from_bytes(data[len(data) // 4 * 4:], "little")
-    with np.errstate(over="ignore"):
-        mixed = _rotate(blocks * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
-    h = 0
-    for k in mixed.tolist():
-        h ^= k
-        h = ((h << 13 | h >> 19) * 5 + 0xE6546B64) & 0xFFFFFFFF
-    if tail:
-        k = tail * 0xCC9E2D51 & 0xFFFFFFFF
-        h ^= ((k << 15 | k >> 17) & 0xFFFFFFFF) * 0x1B873593 & 0xFFFFFFFF
-    h ^= len(data)
-    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
-        h = (h ^ h >> shift) * factor & 0xFFFFFFFF
-    return h - (1 << 32) if h >= 1 << 31 else h
+def _times(value: Column, factor: int) -> Column:
+    """Product of 32-bit numbers modulo 2**32; halves of the factor keep it within 64 bits."""
+    high = (value * F.lit(factor >> 16)).bitwiseAND(F.lit(0xFFFF))
+    return (F.shiftleft(high, 16) + value * F.lit(factor & 0xFFFF)).bitwiseAND(F.lit(_MASK))
 
 
-def murmur3_32(text: Column) -> Column:
-    """Murmur3 (x86, 32 bit, seed 0) of the UTF-8 text."""
+def _rotate(value: Column, bits: int) -> Column:
+    return F.shiftleft(value, bits).bitwiseOR(F.shiftright(value, 32 - bits)).bitwiseAND(F.lit(_MASK))
+
+
+def _little(data: Column, at: Column, size: int) -> Column:
+    """Number in the bytes from ``at`` (counting from 0), the lowest byte first."""
+    big = F.conv(F.concat(F.lit("0"), F.hex(F.substring(data, at + 1, F.lit(size)))), 16, 10).cast("bigint")
+    return let(big, lambda v: sum(
+        (F.shiftleft(F.shiftright(v, 8 * (size - 1 - i)).bitwiseAND(F.lit(0xFF)), 8 * i) for i in range(1, size)),
+        F.shiftright(v, 8 * (size - 1)).bitwiseAND(F.lit(0xFF))))
+
 
-    @pandas_udf("int")
-    def digest(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: None if s is None else _murmur3(s.encode("utf-8"))).astype("Int32")
+def _mixed(block: Column) -> Column:
+    return _times(_rotate(_times(block, 0xCC9E2D51), 15), 0x1B873593)
 
-    return digest(text)
+
+def _finished(h: Column, shift: int, factor: int) -> Column:
+    return let(h, lambda v: _times(v.bitwiseXOR(F.shiftright(v, shift)), factor))
+
+
+def murmur3_32(text: Column) -> Column:
+    """Murmur3 (x86, 32 bit, seed 0) of the UTF-8 text: a fold over blocks of four bytes."""
+    return F.when(text.isNotNull(), let(F.encode(text, "UTF-8"), _murmur3))
+
+
+def _murmur3(data: Column) -> Column:
+    size = F.octet_length(data)
+    blocks = F.when(size >= 4, F.sequence(F.lit(0), F.floor(size / 4).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    step = lambda h, n: _times(_rotate(h.bitwiseXOR(_mixed(_little(data, n * 4, 4))), 13), 5) + F.lit(0xE6546B64)
+    body = F.aggregate(blocks, F.lit(0).cast("bigint"), lambda h, n: step(h, n).bitwiseAND(F.lit(_MASK)))
+    rest = F.floor(size / 4).cast("int") * 4
+    tail = F.when(size % 4 == 1, _little(data, rest, 1)).when(size % 4 == 2, _little(data, rest, 2)).when(size % 4 == 3, _little(data, rest, 3)).otherwise(F.lit(0).cast("bigint"))
+    h = body.bitwiseXOR(_mixed(tail)).bitwiseXOR(size.cast("bigint"))
+    h = _finished(_finished(h, 16, 0x85EBCA6B), 13, 0xC2B2AE35)
+    h = let(h, lambda v: v.bitwiseXOR(F.shiftright(v, 16)))
+    return let(h, lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v)).cast("int")
 
 
 def icon_text(content: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigweave.functions.hashing import favicon_hash
@@ -47,6 +47,13 @@ def add_icons(hits: DataFrame, captures: DataFrame, dictionary: DataFrame, custo
     return both.select("capture_id", "name", F.inline(kept)).select(*hits.columns)
 
 
+def icon_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(capture_id, content)`` of icon files below folders ``capture_id=<id>``; files without
+    a byte give no row, as they give no hash."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", "/capture_id=([0-9]+)/", 1).try_cast("bigint").alias("capture_id"), "content").where("capture_id IS NOT NULL")
+
+
 def hash_icons(icons: DataFrame) -> DataFrame:
     """``(capture_id, content)`` icon files to distinct non-zero hashes per capture."""
     hashed = icons.select("capture_id", favicon_hash(F.col("content")).alias("hash")).where("hash != 0")

@@ -120,14 +120,14 @@ def batch_counters(targets: DataFrame, results: DataFrame) -> DataFrame:
 def classify_targets(inputs: DataFrame, url: str = "url", order: str = "ord") -> DataFrame:
     """Mark each input address as kept, duplicate or invalid.
 
-    The first input of an address is found by a grouping with partial minima, so
-    an address that makes up much of the input is no burden on one task.
+    The first input of an address is found by a grouping with partial minima. Inputs meet
+    these minima by address and position, which no two inputs share, so neither an
+    address that makes up much of the input nor the invalid ones gather in one task.
     """
     marked = inputs.withColumn("target", urls.target(F.col(url)))
-    first = marked.where("target IS NOT NULL").groupBy("target").agg(F.min(order).alias("_first"))
-    verdict = (
-        F.when(F.col("target").isNull(), "invalid").when(F.col(order) == F.col("_first"), "kept").otherwise("duplicate"))
-    return marked.join(first, "target", "left").withColumn("verdict", verdict).drop("_first")
+    first = marked.where("target IS NOT NULL").groupBy("target").agg(F.min(order).alias(order)).withColumn("_first", F.lit(True))
+    verdict = F.when(F.col("target").isNull(), "invalid").when(F.col("_first"), "kept").otherwise("duplicate")
+    return marked.join(first, ["target", order], "left").withColumn("verdict", verdict).drop("_first").select(*marked.columns, "verdict")
 
 
 def scan_history(captures: DataFrame, hits: DataFrame, source: Column, at: Column) -> DataFrame:
