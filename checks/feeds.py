@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from checks.base import query, sql_text, sql_values, table
 from sigweave.sources import favicons, feeds, loose, rules
+from sigweave.streaming.runtime import work_dir
 
 TECH = json.dumps({"Tech §": {
     "headers": {"Server": "@/([0-9]+)\\;version:\\1\\;confidence:50", "x.Powered": "^on§", "A-Only": ""},
@@ -241,14 +242,31 @@ matchers: [{type: word, words: "not a list"}]
 NATIVE_ROWS = [("rule-§", "¤", "and", 2, "¤|v§", None, ""), ("bare-§", "bare-§", "or", 1, "x§", 40, ""), ("single-§", "single-§", "or", 1, "s§", None, "¤")]
 
 
-@query("src_rules_native", expected_sql(["rule_id", "name", "condition", "n_matchers", "payload", "confidence", "implies"], NATIVE_ROWS, ("rule_id", "name", "payload", "implies")))
+NATIVE_COLUMNS = ["rule_id", "name", "condition", "n_matchers", "payload", "confidence", "implies"]
+
+
+@query("src_rules_native", expected_sql(NATIVE_COLUMNS, NATIVE_ROWS, ("rule_id", "name", "payload", "implies")) + """
+UNION ALL SELECT '!file-' || p_partkey // 50, 'wrong types', '', count(*)::INTEGER, '', NULL, '' FROM part GROUP BY ALL
+UNION ALL SELECT '!broken-' || p_partkey, 'unreadable', '', 1, '', NULL, '' FROM part WHERE p_partkey % 50 = 7""")
 def src_rules_native(spark, sf):
-    files = table(spark, sf, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("source"), fill(F.lit(NATIVE)).alias("content"))
+    """Rule files written and read back, fifty parts a file and some files broken; what the
+    load leaves out shows up with its file."""
+    part, key = table(spark, sf, "part"), F.col("p_partkey")
+    name = F.concat(F.lit("file-"), F.floor(key / 50).cast("string"))
+    good = part.select(name.alias("source"), F.concat(F.lit("---\n"), fill(F.lit(NATIVE))).alias("value"))
+    bad = part.where(key % 50 == 7).select(F.concat(F.lit("broken-"), key.cast("string")).alias("source"), F.lit("- {id: [").alias("value"))
+    folder = work_dir(spark, "rule-files")
+    good.unionByName(bad).repartition("source").write.partitionBy("source").text(folder)
+    files = rules.read_files(spark, f"{folder}/*").withColumn("source", F.regexp_extract("source", "/source=([^/]*)/", 1))
     first = F.col("rule.matchers")[0]
-    return rules.native_rules(files).select(
+    read = rules.native_rules(files).select(
         F.col("rule.id").alias("rule_id"), F.col("rule.name").alias("name"), F.col("rule")["matchers-condition"].alias("condition"), F.size("rule.matchers").alias("n_matchers"),
         F.array_join(F.coalesce(first["words"], first["regex"]), "|").alias("payload"), first["confidence"].alias("confidence"),
         F.coalesce(F.array_join("rule.implies", "|"), F.lit("")).alias("implies"))
+    left = rules.quarantine(files).groupBy("source", F.substring_index("error", ":", 1).alias("name")).agg(F.count(F.lit(1)).cast("int").alias("n_matchers"))
+    none = F.lit("")
+    return read.unionByName(left.select(
+        F.concat(F.lit("!"), "source").alias("rule_id"), "name", none.alias("condition"), "n_matchers", none.alias("payload"), F.lit(None).cast("int").alias("confidence"), none.alias("implies")))
 
 
 LOOSE = json.dumps({"id": " loose-§ ", "matchersCondition": "and", "confidence": 0.5, "implies": "¤", "excludes": ["", "x§"], "matchers": [
@@ -295,10 +313,19 @@ def src_rules_import_split(spark, sf):
 
 @query("src_favicon_dict", """
 SELECT s_suppkey::INTEGER AS hash, s_name AS name FROM supplier UNION ALL SELECT (-1 - s_suppkey)::INTEGER, 'Neg ' || s_suppkey FROM supplier
-UNION ALL SELECT (s_suppkey + 1000)::INTEGER, 'Line of ' || s_name FROM supplier""")
+UNION ALL SELECT (s_suppkey + 1000)::INTEGER, 'Line of ' || s_name FROM supplier
+UNION ALL SELECT NULL, 'broken-' || s_suppkey || ': no object' FROM supplier WHERE s_suppkey % 10 = 3""")
 def src_favicon_dict(spark, sf):
+    """Dictionary files written and read back, a file for ten suppliers, and some broken."""
     s = table(spark, sf, "supplier")
     k = F.col("s_suppkey").cast("string")
-    docs = s.select(F.concat(F.lit('{"'), k, F.lit('": "'), F.col("s_name"), F.lit('", "-'), (F.col("s_suppkey") + 1).cast("string"), F.lit('": "Neg '), k, F.lit('", "x": "bad"}')).alias("value"))
+    pairs = F.concat(F.lit('"'), k, F.lit('": "'), F.col("s_name"), F.lit('", "-'), (F.col("s_suppkey") + 1).cast("string"), F.lit('": "Neg '), k, F.lit('", "x'), k, F.lit('": "bad"'))
+    groups = s.groupBy(F.concat(F.lit("dict-"), F.floor(F.col("s_suppkey") / 10).cast("string")).alias("source")).agg(
+        F.concat(F.lit("{"), F.array_join(F.collect_list(pairs), ",\n"), F.lit("}")).alias("value"))
+    broken = s.where("s_suppkey % 10 = 3").select(F.concat(F.lit("broken-"), k).alias("source"), F.when(F.col("s_suppkey") % 20 == 3, '{"1": ').otherwise("[1]").alias("value"))
+    folder = work_dir(spark, "icon-names")
+    groups.unionByName(broken).repartition("source").write.partitionBy("source").text(folder)
+    read, bad = favicons.from_json_files(spark, f"{folder}/*")
     lines = s.select(F.explode(F.split(F.concat((F.col("s_suppkey") + 1000).cast("string"), F.lit("   Line of "), F.col("s_name"), F.lit(" \nno hash here\n")), "\n")).alias("line"))
-    return favicons.from_json_text(docs, "value").unionByName(favicons.from_lines(lines, "line"))
+    left = bad.select(F.lit(None).cast("int").alias("hash"), F.concat(F.regexp_extract("source", "/source=([^/]*)/", 1), F.lit(": "), "error").alias("name"))
+    return read.unionByName(favicons.from_lines(lines, "line")).unionByName(left)

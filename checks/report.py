@@ -9,6 +9,7 @@ from checks.match import FINAL_SQL, detected
 from sigweave.operators import reports
 from sigweave.plans import jobs
 from sigweave.sources import sinks
+from sigweave.streaming.runtime import work_dir
 
 FINAL = with_captures(FINAL_SQL)
 
@@ -127,20 +128,28 @@ FROM scans s JOIN captures c USING (capture_id) JOIN totals USING (capture_id) J
 UNION ALL SELECT target, '', '', '', '', '', '', '', '', 'not stored' FROM scans WHERE capture_id IS NULL""")
 def sink_batch_csv(spark, sf):
     scan = _batch(spark, sf)
-    return sinks.batch_table(scan.results, scan.failures)
+    folder = work_dir(spark, "batch-csv")
+    sinks.write_csv(sinks.batch_table(scan.results, scan.failures), folder)
+    return sinks.read_csv(spark, folder, sinks.BATCH_CSV)
 
 
 @query("sink_batch_json", with_captures(BATCH_SQL) + """
-SELECT 'result' AS kind, s.target AS url, total_hits::INTEGER AS total_hits, '' AS error FROM scans s JOIN totals USING (capture_id)
-UNION ALL SELECT 'failure', target, 0, 'not stored' FROM scans WHERE capture_id IS NULL
-UNION ALL SELECT 'counters', '', (SELECT count(*) FROM scans)::INTEGER, ''""")
+SELECT 'result' AS kind, s.target AS url, total_hits::INTEGER AS total_hits, '' AS error,
+  (SELECT string_agg(rule_id || '|' || name || '|' || coalesce(confidence::VARCHAR, 'null') || '|' || version, ';' ORDER BY hit_ord) FROM final f WHERE f.capture_id = s.capture_id) AS hits FROM scans s JOIN totals USING (capture_id)
+UNION ALL SELECT 'failure', target, 0, 'not stored', '' FROM scans WHERE capture_id IS NULL
+UNION ALL SELECT 'counters', '', (SELECT count(*) FROM scans)::INTEGER, '', ''""")
 def sink_batch_json(spark, sf):
     scan = _batch(spark, sf)
+    folder = work_dir(spark, "batch-json")
     lines = sinks.batch_report(scan.counters, scan.results, scan.failures)
+    sinks.write_lines(lines.select(F.to_json(F.struct("kind", "value")).alias("value")), folder)
     get = lambda p: F.get_json_object("value", p)
-    return lines.select("kind", F.coalesce(get("$.requestedUrl"), get("$.url"), F.lit("")).alias("url"),
-                        F.coalesce(get("$.totalHits"), get("$.total"), F.lit("0")).cast("int").alias("total_hits"),
-                        F.coalesce(get("$.error"), F.lit("")).alias("error"))
+    read = spark.read.text(folder).select(F.get_json_object("value", "$.kind").alias("kind"), F.get_json_object("value", "$.value").alias("value"))
+    hits = F.from_json(get("$.detections"), "array<struct<id:string,name:string,confidence:int,version:string>>")
+    told = F.transform(hits, lambda h: F.concat_ws("|", h["id"], h["name"], F.coalesce(h["confidence"].cast("string"), F.lit("null")), h["version"]))
+    return read.select("kind", F.coalesce(get("$.requestedUrl"), get("$.url"), F.lit("")).alias("url"),
+                       F.coalesce(get("$.totalHits"), get("$.total"), F.lit("0")).cast("int").alias("total_hits"),
+                       F.coalesce(get("$.error"), F.lit("")).alias("error"), F.coalesce(F.array_join(told, ";"), F.lit("")).alias("hits"))
 
 
 # History: every page scanned twice, the second time as part of a batch.
@@ -170,27 +179,47 @@ def limit_history(spark, sf):
 
 
 ISO = "strftime(seen_at, '%Y-%m-%dT%H:%M:%S.000Z')"
-
-
-@query("sink_history_csv", with_captures(HISTORY_SQL) + f"""
-SELECT {ISO} AS time, source, l.url, l.title, l.status::VARCHAR AS status, array_to_string(l.favicon_hashes, ' ') AS favicon_hash,
-  f.rule_id AS fingerprint_id, f.name AS fingerprint_name, f.version, coalesce(f.confidence::VARCHAR, '') AS confidence,
-  coalesce(e.type, 'other') AS matcher, coalesce(e.part, '') AS location, coalesce(e.detail, '') AS matched, coalesce(e.pattern, '') AS expression
-FROM latest l JOIN final f USING (capture_id) LEFT JOIN evidence e ON f.level = 0 AND e.capture_id = f.capture_id AND e.rule_ord = f.way[1]""")
+# Evidence of implied names and of the dictionary beside that of rules.
+EVIDENCE_SQL = """,
+shown AS (
+  SELECT f.*, CASE WHEN f.level = 1000000 THEN 'icon_hash' WHEN f.level > 0 THEN 'implies' ELSE e.type END AS matcher, coalesce(e.part, '') AS location, coalesce(e.pattern, '') AS expression,
+    CASE WHEN f.level = 1000000 THEN 'mmh3 ' || replace(f.rule_id, 'icon-', '') || ' (dictionary)' WHEN f.level > 0 THEN 'derived from ' || k.source ELSE e.detail END AS matched,
+    coalesce(e.matcher_ix, 0) * 1000 + coalesce(e.pattern_ix, 0) AS e_ord
+  FROM final f LEFT JOIN evidence e ON f.level = 0 AND e.capture_id = f.capture_id AND e.rule_ord = f.way[1]
+  LEFT JOIN kept k ON f.level BETWEEN 1 AND 999999 AND k.capture_id = f.capture_id AND k.rule_id = f.rule_id AND k.level = f.level)"""
+# A title with everything that has to be quoted, and an empty one.
+ODD_TITLE_SQL = """CASE l.capture_id % 5 WHEN 0 THEN 'a "b", c' || chr(13) || chr(10) || 'd' WHEN 1 THEN '' WHEN 2 THEN '"' WHEN 3 THEN ' ' || l.title || ' ' ELSE l.title END"""
+
+
+def odd_titles(rows):
+    kind = F.col("capture_id") % 5
+    return rows.withColumn("title", F.when(kind == 0, 'a "b", c\r\nd').when(kind == 1, "").when(kind == 2, '"').when(kind == 3, F.concat(F.lit(" "), "title", F.lit(" "))).otherwise(F.col("title")))
+
+
+@query("sink_history_csv", with_captures(HISTORY_SQL + EVIDENCE_SQL) + f"""
+SELECT {ISO} AS time, source, l.url, {ODD_TITLE_SQL} AS title, l.status::VARCHAR AS status, array_to_string(l.favicon_hashes, ' ') AS favicon_hash,
+  f.rule_id AS fingerprint_id, f.name AS fingerprint_name, f.version, coalesce(f.confidence::VARCHAR, '') AS confidence, matcher, location, matched, expression
+FROM latest l JOIN shown f USING (capture_id)""")
 def sink_history_csv(spark, sf):
-    flat = sinks.history_table(reports.latest_per_url(history(spark, sf)))
-    other = F.col("matcher").isin("implies") | F.contains("matched", F.lit("(dictionary)"))
-    return flat.withColumns({"matched": F.when(other, "").otherwise(F.col("matched")), "matcher": F.when(other, "other").otherwise(F.col("matcher"))})
+    """Written and read back: quotes, line ends and empty fields come through."""
+    folder = work_dir(spark, "history-csv")
+    sinks.write_csv(sinks.history_table(odd_titles(reports.latest_per_url(history(spark, sf)))), folder)
+    return sinks.read_csv(spark, folder, sinks.HISTORY_CSV)
 
 
-@query("sink_history_json", with_captures(HISTORY_SQL) + f"""
-SELECT {ISO} AS timestamp, source, url, status, (SELECT count(*) FROM final f WHERE f.capture_id = l.capture_id)::INTEGER AS n_detections FROM latest l""")
+@query("sink_history_json", with_captures(HISTORY_SQL + EVIDENCE_SQL) + f"""
+SELECT {ISO} AS timestamp, source, url, {ODD_TITLE_SQL} AS title, status, array_to_string(favicon_hashes, ' ') AS hashes,
+  (SELECT string_agg(rule_id || '|' || version || '|' || coalesce(confidence::VARCHAR, 'null') || '|' || matcher || '|' || matched, ';' ORDER BY hit_ord, e_ord)
+   FROM shown f WHERE f.capture_id = l.capture_id) AS detections FROM latest l""")
 def sink_history_json(spark, sf):
-    report = sinks.history_report(reports.latest_per_url(history(spark, sf)))
-    text = report.select(F.to_json(F.struct(*report.columns)).alias("j"))
-    return text.select(F.get_json_object("j", "$.timestamp").alias("timestamp"), F.get_json_object("j", "$.source").alias("source"),
-                       F.get_json_object("j", "$.target.url").alias("url"), F.get_json_object("j", "$.target.status").cast("int").alias("status"),
-                       F.json_array_length(F.get_json_object("j", "$.detections")).alias("n_detections"))
+    report = sinks.history_report(odd_titles(reports.latest_per_url(history(spark, sf))))
+    folder = work_dir(spark, "history-json")
+    sinks.write_json(report, folder)
+    read = spark.read.schema(report.schema).json(folder)
+    told = F.flatten(F.transform("detections", lambda h: F.transform(h["evidence"], lambda e: F.concat_ws(
+        "|", h["id"], h["version"], F.coalesce(h["confidence"].cast("string"), F.lit("null")), e["matcher"], e["matched"]))))
+    return read.select("timestamp", "source", "target.url", "target.title", "target.status", F.array_join(F.transform("target.faviconHashes", lambda h: h.cast("string")), " ").alias("hashes"),
+                       F.nullif(F.array_join(told, ";"), F.lit("")).alias("detections"))
 
 
 @query("limit_rules_filter", """

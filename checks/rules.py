@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.base import query, table
 from sigweave.operators import rulesets
+from sigweave.streaming.runtime import work_dir
 
 SETS_SQL = """
 rule_sets AS (
@@ -131,7 +132,12 @@ UNION ALL SELECT 'set-2', 'Set 2', rule_id, replace(rule, 'Brand', 'New') FROM r
 def rules_set_replace(spark, sf):
     sets = rule_sets(spark, sf)
     fresh = sets.where("set_id = 'set-1'").withColumns({"set_id": F.lit("set-2"), "set_name": F.lit("Set 2"), "set_ord": F.lit(2), "rule": F.replace("rule", F.lit("Brand"), F.lit("New"))})
-    return rulesets.replace_set(rulesets.replace_set(sets, "set-2", fresh), "set-4", None).select("set_id", "set_name", "rule_id", "rule")
+    # Stored sets: the one that changes is rewritten, the deleted one goes, the others stay as they are.
+    folder = work_dir(spark, "rule-sets")
+    rulesets.write_sets(sets, folder)
+    rulesets.write_sets(fresh.select(*sets.columns), folder)
+    kept = rulesets.replace_set(rulesets.read_sets(spark, folder), "set-4", None)
+    return kept.select("set_id", "set_name", "rule_id", "rule")
 
 
 @query("rules_set_create", r"""
@@ -210,6 +216,9 @@ def rule_lookup(spark, sf):
 SELECT '{"id":"' || rule_id || '","name":"' || name || '"}' AS value FROM rule_sets WHERE set_id = 'set-1'""")
 def sink_rules(spark, sf):
     from sigweave.sources.rules import to_export
+    from sigweave.sources.sinks import write_lines
 
     chosen = rule_sets(spark, sf).where("set_id = 'set-1'").select(F.struct(F.col("rule_id").alias("id"), "name").alias("rule"))
-    return to_export(chosen)
+    folder = work_dir(spark, "rules-out")
+    write_lines(to_export(chosen), folder)
+    return spark.read.text(folder)

@@ -8,9 +8,7 @@ occurs in very many rows does not land in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -141,7 +139,12 @@ def replace_set(rule_sets: DataFrame, set_id: str, rules: DataFrame | None) -> D
 
 
 def write_sets(rule_sets: DataFrame, path: str) -> None:
-    rule_sets.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("set_id").parquet(path)
+    """Write sets of rules; of stored sets only those among them are rewritten."""
+    rule_sets.repartition("set_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("set_id").parquet(path)
+
+
+def read_sets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def reconcile(rule_sets: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -213,7 +216,3 @@ def lookup(rules: DataFrame, names: DataFrame) -> DataFrame:
     keys = rules.select("rule_id", "name", "rule_ord", F.explode(F.array_distinct(F.array(F.lower("rule_id"), F.lower("name")))).alias("key"))
     asked = names.select("asked", F.lower(F.trim("asked")).alias("key")).where("key <> ''")
     return keys.join(asked, "key").groupBy("asked").agg(F.min(F.struct("rule_ord", "rule_id", "name")).alias("r")).select("asked", "r.rule_id", "r.name")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -18,10 +18,12 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
-def from_json_files(spark: SparkSession, path: str) -> DataFrame:
-    """``{"hash": "name"}`` files to ``(hash, name)``."""
-    text = spark.read.text(path, wholetext=True)
-    return from_json_text(text, "value")
+def from_json_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``{"hash": "name"}`` files to ``(hash, name)``, and ``(source, error)`` of files that
+    hold no such object."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value")
+    bad = F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{")
+    return from_json_text(files.where(~bad), "value"), files.where(bad).select("source", F.lit("no object").alias("error"))
 
 
 def from_json_text(rows: DataFrame, column: str) -> DataFrame:

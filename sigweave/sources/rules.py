@@ -38,15 +38,34 @@ def _load_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for source, content in zip(batch["source"], batch["content"]):
             try:
                 docs = _documents(content or "")
-            except Exception:  # one broken file must not stop the load
+            except Exception as broken:  # one broken file must not stop the load
+                rows.append((source, -1, None, f"unreadable: {type(broken).__name__}"))
                 continue
-            rows += [(source, ix, json.dumps(doc, ensure_ascii=False, default=str)) for ix, doc in enumerate(docs)]
-        yield pd.DataFrame(rows, columns=["source", "doc_ix", "doc"])
+            rows += [(source, ix, json.dumps(doc, ensure_ascii=False, default=str), None) for ix, doc in enumerate(docs)]
+        yield pd.DataFrame(rows, columns=["source", "doc_ix", "doc", "error"])
 
 
 def split_documents(files: DataFrame) -> DataFrame:
-    """YAML (or JSON) files to ``(source, doc_ix, doc)`` with ``doc`` as JSON."""
-    return files.select("source", "content").mapInPandas(_load_batches, "source string, doc_ix int, doc string")
+    """YAML (or JSON) files to ``(source, doc_ix, doc, error)`` with ``doc`` as JSON. A file that
+    cannot be read is one row with its error."""
+    return files.select("source", "content").mapInPandas(_load_batches, "source string, doc_ix int, doc string, error string")
+
+
+def _parsed(docs: DataFrame, doc: str) -> DataFrame:
+    text = F.trim(F.col(doc))
+    wrapped = F.concat(
+        F.lit('{"rules":'), F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), F.lit("}")
+    )
+    kind = T.StructType([T.StructField("rules", T.ArrayType(RULE)), T.StructField("_broken", T.StringType())])
+    return docs.withColumn("_parsed", F.from_json(wrapped, kind, {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}))
+
+
+def quarantine(files: DataFrame) -> DataFrame:
+    """``(source, doc_ix, error)`` of what ``native_rules`` leaves out: files that cannot be read
+    and documents whose fields have wrong types."""
+    docs = _parsed(split_documents(files), "doc")
+    wrong = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("_parsed._broken").isNotNull(), "wrong types")
+    return docs.select("source", "doc_ix", wrong.alias("error")).where("error IS NOT NULL")
 
 
 def typed_rules(docs: DataFrame, doc: str = "doc") -> DataFrame:
@@ -55,14 +74,7 @@ def typed_rules(docs: DataFrame, doc: str = "doc") -> DataFrame:
     A document whose fields have wrong types is dropped as a whole, and so is a
     rule without id or matchers; unknown fields are ignored.
     """
-    text = F.trim(F.col(doc))
-    wrapped = F.concat(
-        F.lit('{"rules":'), F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), F.lit("}")
-    )
-    kind = T.StructType([T.StructField("rules", T.ArrayType(RULE)), T.StructField("_broken", T.StringType())])
-    parsed = docs.withColumn(
-        "_parsed", F.from_json(wrapped, kind, {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"})
-    ).where(F.col("_parsed._broken").isNull())
+    parsed = _parsed(docs, doc).where(F.col("_parsed._broken").isNull())
     rows = parsed.select(
         *[c for c in docs.columns if c != doc], F.posexplode("_parsed.rules").alias("rule_ix", "rule")
     )
@@ -82,7 +94,7 @@ def with_defaults(rule: Column) -> Column:
 
 def native_rules(files: DataFrame) -> DataFrame:
     """Files to ``(source, doc_ix, rule_ix, rule)``."""
-    return typed_rules(split_documents(files))
+    return typed_rules(split_documents(files).where("error IS NULL").drop("error"))
 
 
 def matcher_rows(rules: DataFrame, *keys: str) -> DataFrame:

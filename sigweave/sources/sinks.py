@@ -6,7 +6,7 @@ the format options.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Report columns.
@@ -78,7 +78,14 @@ def batch_report(counters: DataFrame, results: DataFrame, failures: DataFrame) -
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option(
-        "lineSep", "\r\n").option("emptyValue", "").csv(path)
+        "lineSep", "\r\n").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
+    """A written report as text columns; empty fields are empty texts."""
+    rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).schema(
+        ", ".join(f"{c} string" for c in columns)).csv(path)
+    return rows.fillna("")
 
 
 def write_json(rows: DataFrame, path: str) -> None:
