@@ -54,17 +54,44 @@ def subsets(codes: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(11)).astype(np.float64) / float(1 << 53) < np.array(RATES)[None, :]
 
 
-def _hashes(codes: np.ndarray) -> list[str]:
-    held = subsets(codes)
-    return [hashlib.blake2b(codes[held[:, k]].tobytes(), digest_size=4).hexdigest() if held[:, k].any() else "-" for k in range(len(RATES))]
-
-
-def fingerprint(codes: np.ndarray, lexicon: np.ndarray) -> tuple[list[str], int]:
+class Terms:
+    """Codes of terms and the subsets that hold each, remembered by term."""
+
+    def __init__(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.codes, self.held = np.zeros(1 << 12, np.uint64), np.zeros((1 << 12, len(RATES)), bool)
+
+    def read(self, terms: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted codes of the terms, and codes x subsets."""
+        if len(self.slots) > REMEMBERED:
+            self.slots.clear()
+        new = list(terms.difference(self.slots))
+        if new:
+            first, last = len(self.slots), len(self.slots) + len(new)
+            if last > len(self.codes):
+                more = max(last, 2 * len(self.codes)) - len(self.codes)
+                self.codes, self.held = np.pad(self.codes, (0, more)), np.pad(self.held, ((0, more), (0, 0)))
+            self.codes[first:last] = [term_code(t) for t in new]
+            self.held[first:last] = subsets(self.codes[first:last])
+            self.slots.update(zip(new, range(first, last), strict=True))
+        slots = np.fromiter(map(self.slots.__getitem__, terms), np.int64, len(terms))
+        slots = slots[np.argsort(self.codes[slots])]
+        return self.codes[slots], self.held[slots]
+
+
+def _hashes(codes: np.ndarray, held: np.ndarray) -> list[str]:
+    rows = codes[np.nonzero(held.T)[1]].tobytes()  # subset after subset
+    ends = np.cumsum(held.sum(axis=0) * codes.itemsize).tolist()
+    return [hashlib.blake2b(rows[s:e], digest_size=4).hexdigest() if s < e else "-" for s, e in zip([0, *ends], ends)]
+
+
+def fingerprint(codes: np.ndarray, lexicon: np.ndarray, held: np.ndarray | None = None) -> tuple[list[str], int]:
     """One hash per subset of the sorted distinct term codes, "-" where the subset has no
     term: first of those in the lexicon, then of all. With the number of lexicon terms."""
+    held = subsets(codes) if held is None else held
     at = np.minimum(np.searchsorted(lexicon, codes), max(0, len(lexicon) - 1))
-    banded = codes[lexicon[at] == codes] if len(lexicon) and len(codes) else codes[:0]
-    return _hashes(banded) + _hashes(codes), len(banded)
+    banded = lexicon[at] == codes if len(lexicon) and len(codes) else np.zeros(len(codes), bool)
+    return _hashes(codes[banded], held[banded]) + _hashes(codes, held), int(banded.sum())
 
 
 def likeness(a: tuple[list[str], int], b: tuple[list[str], int]) -> float:
@@ -163,11 +190,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     sorted_rows = dealt.repartition(n, "range").sortWithinPartitions("range", "tail", F.desc("o"), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        lex = shared.value
+        terms, lex = Terms(), shared.value
 
         def read(text: str) -> tuple[list[str], int]:
-            return fingerprint(_codes(known, set(text.lower().split())), lex)
+            codes, held = terms.read(set(text.lower().split()))
+            return fingerprint(codes, lex, held)
 
         held = None
         for batch in batches:
