@@ -16,7 +16,7 @@ TECH = json.dumps({"Tech §": {
     "headers": {"Server": "@/([0-9]+)\\;version:\\1\\;confidence:50", "x.Powered": "^on§", "A-Only": ""},
     "cookies": {"sid+§": "", "tok": "a+\\;confidence:50\\;version:\\1"},
     "meta": {"generator": ["¤ ([0-9.]+)\\;version:\\1", "^¤", 7]},
-    "html": ["<div class=\"w-§\">", "x{1,512}y§", "(?=bad)", "a.b\\;confidence:200", "two\\\\words", "\\;confidence:3"],
+    "html": ["<div class=\"w-§\">", "x{2,300}y§", "(?=bad)", "a.b\\;confidence:200", "two\\\\words", "\\;confidence:3"],
     "scriptSrc": "js\\/¤\\;confidence:40", "url": ["^https?://§\\.", "z++"],
     "js": {"App.v": "^(\\d+)$\\;version:\\1", "App.bad": "(\\;confidence:30", "App.on": "", "B.list": ["b{2,40}", "c"]},
     "dom": {"#app-§": {"exists": ""}, "div": {"exists": ""}, "p": {"text": "hello §\\;confidence:60"}, "img": {"attributes": {"src": "logo§\\;version:\\1", "alt": ""}},
@@ -34,7 +34,7 @@ EXPECTED = [
     ("Tech §", 1, "meta", "regex", "0.0.0", Q + "generator:[^\\n]*¤ ([0-9.]+)", None, None, None, "\\1", "0.0.0"),
     ("Tech §", 1, "meta", "regex", "0.0.1", Q + "generator:\\s*¤", None, None, None, "", "0.0.1"),
     ("Tech §", 2, "body", "word", "0.0.0", "<div class=\"w-§\">", None, None, None, "", "0.0.0"),
-    ("Tech §", 2, "body", "regex", "0.0.1", "x{1,}y§", None, None, None, "", "0.0.1"),
+    ("Tech §", 2, "body", "regex", "0.0.1", "x{2,}y§", None, None, None, "", "0.0.1"),
     ("Tech §", 2, "body", "regex", "0.0.3", "a.b", None, None, None, "", "0.0.1"),
     ("Tech §", 2, "body", "word", "0.0.4", "two\\words", None, None, None, "", "0.0.0"),
     ("Tech §", 3, "script", "word", "0.0.0", "js/¤", None, None, 40, "", "0.0.0"),

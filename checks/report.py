@@ -161,10 +161,12 @@ latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY
 
 
 def history(spark, sf):
-    caps, hits = captures(spark, sf), detected(spark, sf)
-    pages = reports.scan_history(caps, hits, F.lit("page"), F.col("at"))
-    later = reports.scan_history(caps.where("capture_id % 2 = 0"), hits, F.lit("batch"), F.col("at") + F.expr("INTERVAL 1 DAY"))
-    return pages.unionByName(later)
+    # Pages are matched once; a page that was scanned twice then gets both its times.
+    once = reports.scan_history(captures(spark, sf), detected(spark, sf), F.lit("page"), F.col("at"))
+    page = F.struct(F.lit("page").alias("source"), F.col("at").alias("at"))
+    batch = F.struct(F.lit("batch").alias("source"), (F.col("at") + F.expr("INTERVAL 1 DAY")).alias("at"))
+    times = F.when(F.col("capture_id") % 2 == 0, F.array(page, batch)).otherwise(F.array(page))
+    return once.withColumn("_t", F.explode(times)).withColumns({"source": F.col("_t.source"), "at": F.col("_t.at")}).drop("_t")
 
 
 @query("win_latest_per_url", with_captures(HISTORY_SQL) + """

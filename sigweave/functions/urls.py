@@ -175,14 +175,32 @@ def is_blocked_ipv4(hostname: Column) -> Column:
     return F.coalesce(F.when(dotted, closed), F.lit(False))
 
 
+#: The same for the longer addresses.
+CLOSED_PREFIXES = ["::/128", "::1/128", "::ffff:0:0/96", "2001:db8::/32", "fc00::/7", "fe80::/10", "ff00::/8"]
+
+
+def _hex_groups(groups: Column) -> Column:
+    return F.array_join(F.transform(F.array_remove(F.split(groups, ":"), ""), lambda g: F.lpad(g, 4, "0")), "")
+
+
+def _digits(address: Column, dotted: Column) -> Column:
+    """An address written in full, as 32 hexadecimal digits; other texts if it is malformed."""
+    octets = F.transform(F.split(dotted, "\\."), lambda o: F.lower(F.lpad(F.hex(o.try_cast("long")), 2, "0")))
+    last = F.when(dotted != "", F.array_join(octets, "")).otherwise("")
+    groups = F.regexp_replace(address, "\\d+\\.\\d+\\.\\d+\\.\\d+\\z", "")
+    left = _hex_groups(F.substring_index(groups, "::", 1))
+    right = F.concat(F.when(groups.contains("::"), _hex_groups(F.substring_index(groups, "::", -1))).otherwise(""), last)
+    gap = F.when(groups.contains("::"), F.repeat(F.lit("0"), F.greatest(F.lit(0), 32 - F.length(left) - F.length(right)))).otherwise("")
+    return F.concat(left, gap, right)
+
+
 def is_blocked_ipv6(hostname: Column) -> Column:
-    tail = F.regexp_extract(hostname, "(\\d+\\.\\d+\\.\\d+\\.\\d+)\\z", 1)
-    return hostname.contains(":") & (
-        hostname.isin("::", "::1")
-        | hostname.rlike("\\A(?:f[cd]|fe[89ab]|ff|2001:db8:)")
-        | hostname.contains("::ffff:")
-        | ((tail != "") & (is_blocked_ipv4(tail) | ~tail.rlike("\\A\\d{1,3}(\\.\\d{1,3}){3}\\z")))
-    )
+    """Address in a loopback, private, reserved or multicast block, or no address at all. An
+    address that ends in a dotted one is as public as that."""
+    dotted = F.regexp_extract(hostname, "(\\d+\\.\\d+\\.\\d+\\.\\d+)\\z", 1)
+    blocks = [ipaddress.ip_network(n) for n in CLOSED_PREFIXES]
+    told = let(_digits(hostname, dotted), lambda d: ~d.rlike("\\A[0-9a-f]{32}\\z") | reduce(or_, [d.between(f"{int(n[0]):032x}", f"{int(n[-1]):032x}") for n in blocks]))
+    return hostname.contains(":") & (told | ((dotted != "") & is_blocked_ipv4(dotted)))
 
 
 def is_public(url: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from sigweave.functions.patterns import compile_pattern
+from sigweave.functions.patterns import compile_pattern, letters_and_digits
 
 # Rows of the ranked lists.
 ANCHOR_ROWS, ISSUE_ROWS = 20, 50
@@ -24,7 +24,7 @@ def classify(pattern: Column) -> Column:
             p = compile_pattern(text, False)
             kind = "invalid" if not p.valid else "prefilterable" if p.anchor else "non_ascii" if p.non_ascii else "broad"
             anchor = p.anchor or ""
-            rows.append((kind, anchor, sum(c.isascii() and c.isalnum() for c in anchor), p.reason))
+            rows.append((kind, anchor, letters_and_digits(anchor), p.reason))
         return pd.DataFrame(rows, columns=["kind", "anchor", "strength", "reason"])
 
     return look(pattern)

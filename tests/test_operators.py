@@ -52,8 +52,8 @@ def test_probe_ids_agree(spark):
 
 
 @pytest.mark.parametrize("template,groups,version", [
-    ("\\1.\\2", ["", "6", "7"], "6.7"), ("\\1?pro:free", ["", ""], "free"), ("\\1?pro:free", ["", "x"], "pro"), ("v\\9", ["", "1"], "v"), ("\\1?\\1:\\2", ["", "", "b"], "b"),
-    (" 1\t2 ", [], "12"), ("a?b", [], "a?b"), ("\\1?yes", ["", "q"], "q?yes"), ("x" * 200, [], "x" * 120),
+    ("r\\2-\\1", ["", "beta", "11"], "r11-beta"), ("\\3?lts:edge", ["", "q", "", ""], "edge"), ("\\3?lts:edge", ["", "q", "", "0"], "lts"), ("build \\4", ["", "z"], "build"),
+    ("\\2?\\1:none", ["", "k", ""], "none"), ("\tq \n8", [], "q 8"), ("why?so", [], "why?so"), ("\\1?maybe", ["", "m"], "m?maybe"), ("yz" * 90, [], "yz" * 60),
 ])
 def test_version_template(spark, template, groups, version):
     rows = spark.createDataFrame([(groups,)], "g array<string>")
@@ -233,3 +233,11 @@ def test_feed_refresh_and_rollback(spark):
     assert sorted(r["rule_id"] for r in back.collect()) == ["x", "y"]
     forth = rulesets.current_version(rulesets.rollback(rulesets.rollback(second.versions)))
     assert sorted(r["rule_id"] for r in forth.collect()) == ["x", "z"]
+
+
+@pytest.mark.parametrize("host,blocked", [
+    ("::", True), ("::1", True), ("0:0:0:0:0:0:0:1", True), ("fd12:3456::9", True), ("fe9f::1", True), ("fec0::1", False), ("ff02::fb", True), ("2001:db8:5::", True), ("2001:db9::1", False),
+    ("::ffff:8.8.4.4", True), ("64:ff9b::10.1.1.1", True), ("64:ff9b::9.9.9.9", False), ("2606:4700::1", False), ("1:2:3:4:5:6:7:8", False), ("1:2:3", True), ("g::1", True), ("example.com", False),
+])
+def test_longer_addresses(spark, host, blocked):
+    assert one(spark.createDataFrame([(host,)], "h string").select(urls.is_blocked_ipv6(F.col("h")))) is blocked

@@ -12,7 +12,7 @@ TEXTS = [
     "aaaa", "[x]", "a&&b", "line one\nline two", "foo_bar-baz", "1.2.3", "é", "<div class='x'>", "AbCdEf", "\\d+", "{}", "no-match",
 ]
 PATTERNS = [
-    "abc", "^abc$", "a{", "a{2}", "a{2,3}?", "[[]x", "[]x]", "[^a-c]+", "(?P<n>foo)\\s(bar)", "server: nginx(?:/([0-9.]+))?", "(?im)^x-powered-by:[^\\n]*php/([0-9]+)$",
+    "abc", "^abc$", "a{", "a{2}", "a{2,3}?", "[[]x", "[]x]", "[^a-c]+", "(?P<n>foo)\\s(bar)", "server:\\s(?:openresty|nginx)\\b/?([0-9]*)", "(?im)^x-powered-by:[^\\n]*php/([0-9]+)$",
     "x.y", "(?s)one.line", "(?m)^line two$", "\\bfoo\\b", "foo\\b", "\\Bar", "[\\w-]+", "\\W+", "\\S+", "[\\s\\d]+", "\\x41", "\\x{4e2d}", "中.", "(?U)a+", "(?-i)abc", "a|b|", "(?i:ABC)",
     "\\Qa{\\E", "[&&x]+", "\\pL+", "\\p{Han}+", "[[:alpha:]]+", "[^[:space:]]+", "()", "(a(b(c)))", "x*", "\\.", "\\141", "\\a?b", "é+", "[é-ü]", "foo$", "\\z", "\\Aabc", "\\{\\}", "(?:a|b)*c",
 ]
@@ -38,7 +38,7 @@ def test_invalid(pattern):
 
 
 def test_repeats_and_depth():
-    assert loosen_repeats("a{1,512}b{3}c{17}d{2,}e{0,16}") == "a{1,}b{3}c{17,}d{2,}e{0,16}"
+    assert loosen_repeats("p{2,300}q{5}r{40}s{3,}t{1,9}") == "p{2,}q{5}r{40,}s{3,}t{1,9}"
     assert nesting_depth("((a)[(](b\\())") == 2
     assert not compile_pattern("(" * 33 + "a" + ")" * 33).valid
     assert compile_pattern("(" * 32 + "a" + ")" * 32).valid
