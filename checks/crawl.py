@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from checks.base import core_pack, query, table
 from sigweave.functions import html, urls
 from sigweave.operators import crawl
-from sigweave.plans import detect
+from sigweave.plans import jobs
 from sigweave.sources.captures import complete
 
 NODE_URL = "'https://www.s' || (page_id % 4) || '.example.com/n/' || (page_id // 4)"
@@ -114,7 +114,6 @@ def crawl_status(spark, sf):
 SELECT v.seed_id, v.url, n.page_id AS capture_id, n.page_id IS NULL AS failed, coalesce(contains(n.html, '<article>'), false) AS has_article FROM visited v LEFT JOIN nodes n ON n.url = v.url""")
 def crawl_scan(spark, sf):
     pages = site_pages(spark, sf)
-    hits = detect.detect(pages, core_pack())
-    scanned = crawl.scan(crawl.frontier(crawl.edges(pages), seeds(pages)), pages, hits)
+    scanned = jobs.crawl_scan(pages, seeds(pages), core_pack())
     found = F.exists(F.coalesce("hits", F.array().cast(scanned.schema["hits"].dataType)), lambda h: h["name"] == "Broken or hit")
     return scanned.select("seed_id", "url", "capture_id", "failed", found.alias("has_article"))

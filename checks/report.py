@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import captures, query, table, with_captures
-from checks.match import FINAL_SQL, detected
+from checks.base import captures, core_pack, query, table, with_captures
+from checks.match import FINAL_SQL, custom_icons, detected, dictionary
 from sigweave.operators import reports
 from sigweave.plans import jobs
 from sigweave.sources import sinks
@@ -42,7 +42,7 @@ def agg_bookmark_groups(spark, sf):
     marks = caps.select((F.col("capture_id") * 10).alias("bookmark_id"), "capture_id", F.when(
         F.col("capture_id") % 9 == 8, F.concat(F.lit("javascript:"), F.col("url"))).otherwise(F.col("url")).alias("url"))
     only = marks.where("bookmark_id % 20 = 0").select("bookmark_id")
-    groups = reports.bookmark_groups(marks, detected(spark, sf), only)
+    groups = jobs.bookmark_scan(marks, caps, core_pack(), only, dictionary(spark, sf), custom_icons(spark, sf))
     return groups.groupBy(F.coalesce("name", F.lit("")).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("bookmark_id").alias("first_id"))
 
 

@@ -86,10 +86,19 @@ def status(reached: DataFrame) -> DataFrame:
     return reached.groupBy("seed_id").agg(F.count_if("visited").alias("visited"), F.count_if(~F.col("visited")).alias("queued"))
 
 
+def _stored_pages(captures: DataFrame) -> DataFrame:
+    """The first capture of each address."""
+    return captures.select("capture_id", urls.normalize(F.col("url")).alias("url"), "title", "status").groupBy("url").agg(
+        F.min(F.struct("capture_id", "title", "status")).alias("c")).select("url", "c.*")
+
+
+def visited_captures(reached: DataFrame, captures: DataFrame) -> DataFrame:
+    """Ids of the captures a crawl has visited."""
+    return _stored_pages(captures).join(reached.where("visited").select("url").distinct(), "url", "left_semi").select("capture_id")
+
+
 def scan(reached: DataFrame, captures: DataFrame, hits: DataFrame) -> DataFrame:
     """Visited pages with their hits; a page that is not stored has failed."""
-    stored = captures.select("capture_id", urls.normalize(F.col("url")).alias("url"), "title", "status").groupBy("url").agg(
-        F.min(F.struct("capture_id", "title", "status")).alias("c")).select("url", "c.*")
-    return reached.where("visited").join(stored, "url", "left").join(hits_per_capture(hits), "capture_id", "left").select(
+    return reached.where("visited").join(_stored_pages(captures), "url", "left").join(hits_per_capture(hits), "capture_id", "left").select(
         "seed_id", "url", "level", "way", "capture_id", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), "status",
         "hits", F.col("capture_id").isNull().alias("failed"))

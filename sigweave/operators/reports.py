@@ -42,12 +42,14 @@ def first_hits(hits: DataFrame) -> DataFrame:
         "capture_id", F.col("h.rule_id").alias("rule_id"), F.col("h.name").alias("name"), F.col("h.version").alias("version"))
 
 
-def bookmark_groups(bookmarks: DataFrame, hits: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """``(bookmark_id, url, name)``: web bookmarks with the name of their first
-    hit. ``only`` limits the bookmarks to the ids it lists."""
+def chosen_bookmarks(bookmarks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Web bookmarks, of those only the ids that ``only`` lists."""
     chosen = bookmarks.where(urls.is_web(F.col("url")))
-    if only is not None:
-        chosen = chosen.join(only, "bookmark_id", "left_semi")
+    return chosen if only is None else chosen.join(only, "bookmark_id", "left_semi")
+
+
+def bookmark_groups(chosen: DataFrame, hits: DataFrame) -> DataFrame:
+    """``(bookmark_id, url, name)``: bookmarks with the name of their first hit."""
     named = first_hits(hits).select(F.col("capture_id"), "name")
     return chosen.join(named, "capture_id", "left").select("bookmark_id", "url", "name")
 

@@ -103,8 +103,12 @@ def locate(hits: DataFrame, captures: DataFrame) -> DataFrame:
     """
     wanted = hits.where(F.col("type").isin("word", "regex") & F.col("part").isin("body", "raw", ""))
     needle = F.lower(trim_space(F.regexp_replace("detail", "…\\z", "")))
-    rows = wanted.join(captures.select("capture_id", "body"), "capture_id").select(
-        "capture_id", "detail", needle.alias("needle"), F.transform(visible_runs(F.col("body")), lambda r: F.lower(r)).alias("runs"))
-    run = F.filter(F.transform("runs", lambda r, i: F.struct(i.alias("ix"), F.instr(r, F.col("needle")).alias("at"))), lambda x: x["at"] > 0)
-    found = rows.where("needle <> ''").withColumn("run", F.try_element_at(run, F.lit(1)))
-    return found.where("run IS NOT NULL").select("capture_id", "detail", F.col("run.ix").alias("run"), F.col("run.at").alias("position"))
+    # The evidence of a capture is a short list; a body meets it once and is stripped once.
+    asked = wanted.select("capture_id", "detail", needle.alias("needle")).where("needle <> ''").groupBy("capture_id").agg(
+        F.collect_list(F.struct("detail", "needle")).alias("asked"))
+    rows = captures.select("capture_id", "body").join(asked, "capture_id").select(
+        "capture_id", "asked", F.transform(visible_runs(F.col("body")), lambda r: F.lower(r)).alias("runs"))
+    first = lambda a: F.try_element_at(F.filter(F.transform(
+        "runs", lambda r, i: F.struct(i.alias("run"), F.instr(r, a["needle"]).alias("position"))), lambda x: x["position"] > 0), F.lit(1))
+    found = F.transform("asked", lambda a: F.struct(a["detail"].alias("detail"), first(a).alias("at")))
+    return rows.select("capture_id", F.inline(found)).where("at IS NOT NULL").select("capture_id", "detail", "at.run", "at.position")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sigweave.operators import crawl, reports, rulesets
 from sigweave.plans.detect import detect
+from sigweave.session import stored
 from sigweave.sources.pack import RulePack
 
 
@@ -37,9 +38,18 @@ def batch_scan(inputs: DataFrame, captures: DataFrame, hits: DataFrame) -> Batch
 
 
 def crawl_scan(captures: DataFrame, seeds: DataFrame, pack: RulePack, max_pages: int = 0, dictionary: DataFrame | None = None) -> DataFrame:
-    """Crawl stored pages from the seeds and detect on every page visited."""
+    """Crawl stored pages from the seeds and detect on every page visited, and on no other."""
     reached = crawl.frontier(crawl.edges(captures), seeds, max_pages)
-    return crawl.scan(reached, captures, detect(captures, pack, dictionary))
+    visited = stored(crawl.visited_captures(reached, captures), "visited")
+    return crawl.scan(reached, captures, detect(captures.join(visited, "capture_id", "left_semi"), pack, dictionary))
+
+
+def bookmark_scan(bookmarks: DataFrame, captures: DataFrame, pack: RulePack, only: DataFrame | None = None,
+                  dictionary: DataFrame | None = None, custom: DataFrame | None = None) -> DataFrame:
+    """Bookmarks with the name of their first hit; only their own pages are matched."""
+    chosen = reports.chosen_bookmarks(bookmarks, only)
+    pages = captures.join(stored(chosen.select("capture_id").distinct(), "bookmarked"), "capture_id", "left_semi")
+    return reports.bookmark_groups(chosen, detect(pages, pack, dictionary, custom))
 
 
 @dataclass(frozen=True)
