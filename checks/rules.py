@@ -79,11 +79,18 @@ def agg_ruleset_overview(spark, sf):
 
 @query("rules_state_valid", SETS + """
 SELECT 'enabled' AS kind, '' AS rule_id, set_id FROM enabled WHERE set_id IN (SELECT set_id FROM rule_sets)
-UNION ALL SELECT 'override', rule_id, set_id FROM overrides o WHERE EXISTS (SELECT 1 FROM rule_sets r WHERE r.rule_id = o.rule_id AND r.set_id = o.set_id)""")
+UNION ALL SELECT 'override', rule_id, set_id FROM overrides o WHERE EXISTS (SELECT 1 FROM rule_sets r WHERE r.rule_id = o.rule_id AND r.set_id = o.set_id)
+UNION ALL SELECT 'active', '', 'set-3' FROM (SELECT 1 FROM rule_sets WHERE set_id = 'set-3' LIMIT 1)
+UNION ALL SELECT 'active, chosen one gone', '', arg_min(set_id, set_ord) FROM rule_sets
+UNION ALL SELECT 'enabled, none chosen', '', 'set-1' FROM (SELECT 1 FROM rule_sets WHERE set_id = 'set-1' LIMIT 1)
+UNION ALL SELECT 'active, no sets', '', 'default'""")
 def rules_state_valid(spark, sf):
-    on, overrides = rulesets.valid_state(*_state(spark, sf))
-    return on.select(F.lit("enabled").alias("kind"), F.lit("").alias("rule_id"), "set_id").unionByName(
-        overrides.select(F.lit("override").alias("kind"), "rule_id", "set_id"))
+    sets, *_ = state = _state(spark, sf)
+    on, overrides = rulesets.valid_state(*state)
+    told = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.lit("").alias("rule_id"), "set_id")
+    return told("enabled", on).unionByName(overrides.select(F.lit("override").alias("kind"), "rule_id", "set_id")).unionByName(
+        told("active", rulesets.active_set(sets, "set-3"))).unionByName(told("active, chosen one gone", rulesets.active_set(sets, "gone"))).unionByName(
+        told("enabled, none chosen", rulesets.enabled_or_active(sets, None, "set-1"))).unionByName(told("active, no sets", rulesets.active_set(sets.where("set_id IS NULL"), "set-3")))
 
 
 # An import: set-0 and set-1 are installed, set-1 and set-2 come in, some rules
@@ -152,16 +159,25 @@ def rules_set_create(spark, sf):
 
 
 @query("rules_reconcile", SETS + """,
-mapped AS (SELECT *, CASE WHEN set_id IN ('set-1', 'set-3') OR set_name = 'Set 4' THEN 'set-1' ELSE set_id END AS target FROM rule_sets)
-SELECT target AS set_id, CASE WHEN target = 'set-1' THEN 'Source' ELSE set_name END AS set_name, rule_id, rule FROM (
-  SELECT *, row_number() OVER (PARTITION BY target, rule_id ORDER BY set_id = target DESC, set_ord DESC, rule_ord DESC) AS rn FROM mapped) WHERE rn = 1""")
+mapped AS (SELECT *, CASE WHEN set_id IN ('set-1', 'set-3') OR set_name = 'Set 4' THEN 'set-1' ELSE set_id END AS target FROM rule_sets),
+merged AS (SELECT target AS set_id, CASE WHEN target = 'set-1' THEN 'Source' ELSE set_name END AS set_name, rule_id, rule FROM (
+  SELECT *, row_number() OVER (PARTITION BY target, rule_id ORDER BY set_id = target DESC, set_ord DESC, rule_ord DESC) AS rn FROM mapped) WHERE rn = 1)
+SELECT 'rule' AS kind, set_id, set_name, rule_id, rule FROM merged
+UNION ALL SELECT 'enabled', set_id, '', '', '' FROM (SELECT set_id FROM enabled WHERE set_id NOT IN ('set-1', 'set-3') UNION SELECT 'set-1') WHERE set_id IN (SELECT set_id FROM merged)
+UNION ALL SELECT 'override', m.set_id, '', o.rule_id, '' FROM overrides o JOIN merged m ON m.rule_id = o.rule_id AND m.set_id = CASE WHEN o.set_id IN ('set-1', 'set-3') THEN 'set-1' ELSE o.set_id END
+UNION ALL SELECT 'active', 'set-1', '', '', ''""")
 def rules_reconcile(spark, sf):
     sets = rule_sets(spark, sf)
     names = sets.select("set_id", "set_name").distinct()
     aliases = names.where("set_id IN ('set-1', 'set-3')").select(F.col("set_id").alias("alias"), F.lit(False).alias("by_name")).unionByName(
         names.where("set_name = 'Set 4'").select(F.col("set_name").alias("alias"), F.lit(True).alias("by_name"))).withColumns(
         {"canonical_id": F.lit("set-1"), "canonical_name": F.lit("Source")})
-    return rulesets.reconcile(sets, aliases).select("set_id", "set_name", "rule_id", "rule")
+    _, enabled, overrides = _state(spark, sf)
+    on, moved, active = rulesets.reconcile_state(sets, aliases, enabled, overrides, "set-4")
+    none = F.lit("")
+    told = lambda kind, df, rule_id=none: df.select(F.lit(kind).alias("kind"), "set_id", none.alias("set_name"), rule_id.alias("rule_id"), none.alias("rule"))
+    return rulesets.reconcile(sets, aliases).select(F.lit("rule").alias("kind"), "set_id", "set_name", "rule_id", "rule").unionByName(
+        told("enabled", on)).unionByName(told("override", moved, F.col("rule_id"))).unionByName(told("active", active))
 
 
 @query("feed_merge_converted", SETS + """,

@@ -91,6 +91,9 @@ def overview(rule_sets: DataFrame, enabled: DataFrame) -> DataFrame:
         "set_id", "set_name", "n_rules", F.coalesce("on", F.lit(False)).alias("enabled"))
 
 
+DEFAULT_SET = "default"
+
+
 def valid_state(rule_sets: DataFrame, enabled: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Enabled ids and overrides that point at something."""
     sets = rule_sets.select("set_id").distinct()
@@ -99,6 +102,43 @@ def valid_state(rule_sets: DataFrame, enabled: DataFrame, overrides: DataFrame)
             overrides.join(held, ["rule_id", "set_id"], "left_semi"))
 
 
+def active_set(rule_sets: DataFrame, active: str | None) -> DataFrame:
+    """``(set_id)`` of the set that is edited: the chosen one if it is there, else the first,
+    else the default set, which then is the only one and has no rules."""
+    chosen = F.struct((F.col("set_id") != F.lit(active)).alias("other"), "set_ord", "set_id") if active else F.struct(F.lit(True).alias("other"), "set_ord", "set_id")
+    return rule_sets.agg(F.coalesce(F.min(chosen)["set_id"], F.lit(DEFAULT_SET)).alias("set_id"))
+
+
+def enabled_or_active(rule_sets: DataFrame, enabled: DataFrame | None, active: str | None) -> DataFrame:
+    """Where no sets were ever chosen, the active one alone is enabled."""
+    return active_set(rule_sets, active) if enabled is None else enabled
+
+
+def reconcile_state(rule_sets: DataFrame, aliases: DataFrame, enabled: DataFrame, overrides: DataFrame, active: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Enabled ids, overrides and active set after ``reconcile``.
+
+    Ids of aliases give way to their stable id, which is enabled if one of the sets that
+    became it was, or if it was there itself. Overrides follow the id they name. What then
+    points at nothing is dropped.
+    """
+    merged = reconcile(rule_sets, aliases)
+    ids = aliases.where("NOT by_name").select(F.col("alias").alias("set_id"), "canonical_id")
+    own = aliases.select(F.col("canonical_id").alias("set_id"), "canonical_id")
+    ids = ids.unionByName(own).distinct()
+    names = aliases.where("by_name").select(F.col("alias").alias("set_name"), "canonical_id")
+    sets = rule_sets.select("set_id", "set_name").distinct()
+    became = sets.join(ids, "set_id").select("set_id", "canonical_id").unionByName(sets.join(names, "set_name").select("set_id", "canonical_id")).distinct()
+    chosen = became.join(enabled.select("set_id").distinct().withColumn("_on", F.lit(True)), "set_id", "left").where(
+        F.col("_on") | (F.col("set_id") == F.col("canonical_id"))).select(F.col("canonical_id").alias("set_id"))
+    on = enabled.select("set_id").join(ids, "set_id", "left_anti").unionByName(chosen).distinct()
+    moved = overrides.join(ids, "set_id", "left").select("rule_id", F.coalesce("canonical_id", "set_id").alias("set_id"))
+    on, moved = valid_state(merged, on, moved)
+    place = became.where(F.col("set_id") == active).agg(F.coalesce(F.min("canonical_id"), F.lit(active)).alias("wanted"))
+    first = merged.groupBy("set_id").agg(F.min("set_ord").alias("set_ord")).join(F.broadcast(place), F.col("set_id") == F.col("wanted"), "left")
+    now = first.agg(F.coalesce(F.min(F.struct(F.col("wanted").isNull().alias("other"), "set_ord", "set_id"))["set_id"], F.lit(DEFAULT_SET)).alias("set_id"))
+    return on, moved, now
+
+
 def set_slug(name: Column) -> Column:
     dashed = F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9_-]+", "-")
     return F.coalesce(F.nullif(F.regexp_replace(dashed, "\\A-+|-+\\z", ""), F.lit("")), F.lit("ruleset"))
