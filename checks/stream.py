@@ -126,7 +126,7 @@ def st_icon_sessions(spark, sf):
         F.col("tab_id").cast("long").alias("tab_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("capture_id") * 3607).alias("ts"), "capture_id", F.col("favicon_hashes").alias("hashes"))
     icons = table(spark, sf, "events").select(
         (F.col("user_id") % 20).alias("tab_id"), F.col("ts").cast("timestamp").alias("ts"), F.lit(None).cast("long").alias("capture_id"), F.array(F.expr(ICON_HASH).cast("int")).alias("hashes"))
-    settled = quiet.settled_icons(as_stream(pages.unionByName(icons), "ts"), gap="2 hours", idle="60 days")
+    settled = quiet.settled_icons(as_stream(pages.unionByName(icons), "ts", slices=3), gap="2 hours", idle="60 days")
     found = streams.rematch_table(work_dir(spark, "st-icons"))
     streams.rematch_stream(settled, caps, core_pack(), found, work_dir(spark, "state"), dictionary(spark, sf), custom_icons(spark, sf))
     return found.read(spark).select(
