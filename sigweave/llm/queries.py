@@ -36,11 +36,11 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_exact_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigweave.llm.sharding import shard
 
-    docs = read_table(spark, sf_dir, "documents")
-    text = F.coalesce(docs["text"], F.lit(""))
-    digest = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = shard(digest, shards=40)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    # Whole documents are placed; size and checksum are those of the placed texts.
+    placed = shard(read_table(spark, sf_dir, "documents"), shards=40)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = (F.octet_length(text) + 16).cast("long").alias("size")
+    return placed.select("doc_id", size, F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query

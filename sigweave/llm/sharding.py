@@ -1,40 +1,49 @@
 """Uniform shuffle into shards of exact sizes.
 
-The counts of rows that each block of the input sends to each shard are drawn first,
-as a matrix with fixed margins (multivariate hypergeometric, block by block). Each
-block is then permuted, cut by its row of the matrix and sent, and each shard is
-permuted again. All row work is DataFrame operations; only the matrix, one number per
-block and shard, is drawn on the driver.
+Each partition of the input is permuted where it lies. The counts of rows that each
+sends to each shard are a matrix with fixed margins (multivariate hypergeometric,
+partition by partition): a permuted partition is cut by its row of the matrix and sent,
+and each shard is permuted again. Whole rows are exchanged once. All row work is
+DataFrame operations; only the matrix is drawn on the driver, a stretch of partitions
+at a time.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sigweave.llm.common import store
+from sigweave.llm.common import shared_folder, store
 
-#: Blocks of the communication matrix at most, and the rows a block or cell should have.
-MAX_BLOCKS, BLOCK_ROWS = 2048, 20_000
+#: Partitions whose rows of the matrix are held at once, and the rows a cell of a shard should have.
+STRETCH, CELL_ROWS = 2048, 20_000
+#: A generated row number holds the partition above this many bits, the place in it below.
+PLACE_BITS = 33
 
 
-def draw_matrix(sizes: list[int], shards: int, seed: int) -> list[list[int]]:
-    """Rows sent from each block to each shard: rows sum to ``sizes``, columns differ by one at most."""
+def draw_rows(sizes: list[int], shards: int, seed: int) -> Iterator[list[int]]:
+    """Rows sent from each partition to each shard: rows of the matrix sum to ``sizes``,
+    columns differ by one at most."""
     rng = np.random.default_rng(seed)
     total = sum(sizes)
     left = np.full(shards, total // shards, np.int64)
     left[rng.permutation(shards)[: total % shards]] += 1
-    matrix = []
     for size in sizes:
         drawn = _draw(rng, left, size)
         left -= drawn
-        matrix.append([int(x) for x in drawn])
-    return matrix
+        yield [int(x) for x in drawn]
+
+
+def draw_matrix(sizes: list[int], shards: int, seed: int) -> list[list[int]]:
+    """The whole matrix at once."""
+    return list(draw_rows(sizes, shards, seed))
 
 
 def _draw(rng: np.random.Generator, left: np.ndarray, size: int) -> np.ndarray:
@@ -69,41 +78,52 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, size: int) ->
     return int(x[0]) + int(np.searchsorted(mass, rng.random() * mass[-1], side="right"))
 
 
+def _bounds(spark: SparkSession, sizes: dict[int, int], shards: int, seed: int) -> DataFrame:
+    """(_part, _ends): for each partition the places in it where shards end."""
+    path = f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex}"
+    numbers = sorted(sizes)
+    matrix = draw_rows([sizes[n] for n in numbers], shards, seed)
+    for i in range(0, max(1, len(numbers)), STRETCH):
+        stretch = [{"_part": n, "_ends": np.cumsum(next(matrix)).tolist()} for n in numbers[i : i + STRETCH]]
+        rows = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(stretch)), "array<struct<_part: long, _ends: array<long>>>")))
+        rows.write.mode("append").parquet(path)
+    return spark.read.schema("_part long, _ends array<long>").parquet(path)
+
+
 def shard(rows: DataFrame, shards: int = 40, seed: int = 11) -> DataFrame:
     """The columns of ``rows`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in
     its shard). Shard sizes differ by one at most, and the order is a seeded uniform
-    shuffle. Equal rows, null ids and null texts are rows like any other: the shuffle
-    follows the row's place in the stored input, not its values, so no value is hot.
+    shuffle. Equal rows, null ids, null and very long texts are rows like any other: the
+    shuffle follows the row's place in the input, not its values, so no value is hot.
     Columns of ``rows`` named ``shard`` or ``slot`` are replaced. An empty table gives
     no rows; with fewer rows than shards some shards stay empty.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
-    spark = rows.sparkSession
-    kept = [c for c in rows.columns if c.lower() not in ("shard", "slot", "_row")]
-    table = store(rows.select(*kept).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    total = table.count()
-    blocks = max(1, min(MAX_BLOCKS, total // BLOCK_ROWS))
-    blocked = table.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(blocks)).cast("int"))
-    counted = {r["_block"]: r["count"] for r in blocked.groupBy("_block").count().collect()}
-    matrix = draw_matrix([counted.get(b, 0) for b in range(blocks)], shards, seed)
-    ends = json.dumps([[int(x) for x in np.cumsum(m)] for m in matrix])
-    # One row per block: MAX_BLOCKS x shards numbers at most.
-    bounds = spark.range(1).select(F.posexplode(F.from_json(F.lit(ends), "array<array<long>>")).alias("_block", "_ends"))
-
-    local = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed + 1), "_row"), "_row")
-    sent = (
-        blocked.withColumn("_rank", F.row_number().over(local))
-        .join(F.broadcast(bounds), "_block")
-        .withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_rank"))).cast("int"))
-        .withColumn("_key", F.xxhash64(F.lit(seed + 2), "_row"))
-    )
-    cells = max(1, total // shards // BLOCK_ROWS)
-    # Cells are equal ranges of the hash, so all of a shard is shuffled cell by cell.
-    sent = sent.withColumn("_cell", F.shiftright(F.shiftrightunsigned("_key", 32) * F.lit(cells), 32))
-    sent = store(sent.select(*kept, "_row", "shard", "_cell", "_key"), "sent")
+    kept = [c for c in rows.columns if c.lower() not in ("shard", "slot", "_row", "_at")]
+    numbered = rows.select(*kept, F.monotonically_increasing_id().alias("_row"))
+    permuted = numbered.sortWithinPartitions(F.xxhash64(F.lit(seed), "_row"), "_row")
+    permuted = store(permuted.withColumn("_at", F.monotonically_increasing_id()), "permuted")
+    part = F.shiftright("_at", PLACE_BITS).alias("_part")
+    # One number per partition of the input, as the scheduler itself keeps.
+    sizes = {r["_part"]: r["count"] for r in permuted.groupBy(part).count().collect()}
+    bounds = _bounds(rows.sparkSession, sizes, shards, seed)
+    cells = max(1, sum(sizes.values()) // shards // CELL_ROWS)
+
+    def sent(*columns: str) -> DataFrame:
+        """Rows with their shard; cells are equal ranges of the hash, so that all of a shard
+        is shuffled cell by cell."""
+        place = F.col("_at").bitwiseAND((1 << PLACE_BITS) - 1)
+        return (
+            permuted.select(*columns, "_row", part, place.alias("_place"), F.xxhash64(F.lit(seed + 2), "_row").alias("_key"))
+            .join(bounds, "_part")
+            .withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_place"))).cast("int"))
+            .withColumn("_cell", F.shiftright(F.shiftrightunsigned("_key", 32) * F.lit(cells), 32))
+            .drop("_part", "_place", "_ends")
+        )
+
     before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sent.groupBy("shard", "_cell").count().select("shard", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    starts = sent().groupBy("shard", "_cell").count().select("shard", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("shard", "_cell").orderBy("_key", "_row")
-    placed = sent.withColumn("_in", F.row_number().over(within)).join(starts, ["shard", "_cell"])
+    placed = sent(*kept).withColumn("_in", F.row_number().over(within)).join(starts, ["shard", "_cell"])
     return placed.select(*kept, "shard", (F.col("_start") + F.col("_in") - 1).cast("long").alias("slot"))
