@@ -91,9 +91,10 @@ def remove_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.sequence(F.lit(0), size),
         lambda i: F.xxhash64(F.when(i < size, size - 1).otherwise(size), F.slice(F.col("_w"), F.lit(1), i), F.slice(F.col("_w"), i + 2, F.greatest(F.lit(0), size - i - 1))))).alias("_i", "_v"),
     ).select("_v", "_h", F.when(F.col("_i") < F.col("_n"), F.col("_i")).otherwise(-1).cast("int").alias("_place"))
+    variants = store(variants, "variants")
     met = variants.groupBy("_v").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b")).where("_a < _b").select("_v")
     hits = variants.join(met, "_v").join(hopeful_words.select(F.col("_h1").alias("_h"), "_h1", "_h2", "_first"), "_h")
-    hits = store(hits.select("_v", "_place", "_h1", "_h2", "_first"), "variants")
+    hits = store(hits.select("_v", "_place", "_h1", "_h2", "_first"), "met-variants")
     member = F.struct("_first", "_h1", "_h2")
     groups = hits.groupBy("_v", "_place").agg(F.min(member).alias("_min"))
     # Lines with the same variant at the same place differ in one word: each looks at the earliest.
