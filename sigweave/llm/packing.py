@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,42 +92,59 @@ class WordEncoder:
         for c in map(chr, range(LATIN_END)):
             written = "".join(part for part, _ in show(c))
             self.shown.update(zip(c.encode(), written, strict=True))
+        self.plain = all(self.shown[c] == chr(c) for c in range(0x21, 0x7F))
+        self.space = self.shown[ord(" ")]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in out]
 
-    def _piece(self, piece: str) -> bytes:
-        known = self.pieces.get(piece)
-        if known is None:
+    def _ids(self, piece: str) -> bytes:
+        if self.plain and piece.isascii() and piece.isprintable():
+            written = piece.replace(" ", self.space)
+        else:
             written = piece.encode().decode("latin-1").translate(self.shown)
-            known = self.pieces[piece] = array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
-        return known
+        return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
 
-    def _learn(self, new: list[str], special: bool) -> None:
+    def _learn(self, new: Iterable[str], special: bool) -> None:
         """Remember the ids of words, each with the space before it."""
-        latin = [w for w in new if max(w) < LATIN and w.replace("\n", "").isprintable() and not (special and any(t in w for t in self.special))]
-        split, piece, words = self.split, self._piece, self.words
-        for w in latin:
-            words[w] = b"".join([piece(p) for p in split(" " + w)])
-        if len(latin) < len(new):
-            odd = [w for w in new if w not in words]
+        split, words, pieces, ids = self.split, self.words, self.pieces, self._ids
+        odd = []
+        for w in new:
+            if not (w.isascii() or max(w) < LATIN) or (special and any(t in w for t in self.special)):
+                odd.append(w)
+            elif w.isalpha():  # the pattern takes letters, and one space before them, as one piece
+                words[w] = ids(" " + w)
+            elif w.isprintable() or w.replace("\n", "").isprintable():
+                found = []
+                for piece in split(" " + w):
+                    known = pieces.get(piece)
+                    if known is None:
+                        known = pieces[piece] = ids(piece)
+                    found.append(known)
+                words[w] = b"".join(found)
+            else:
+                odd.append(w)
+        if odd:
             words.update(zip(odd, self._whole([" " + w for w in odd]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of the type ``kind``."""
         parts = [self.CUT.split(t) if self.ODD.search(t) else t.split(" ") for t in texts]
-        for kept in (self.words, self.pieces):
+        for kept in (self.words, self.heads, self.pieces):
             if len(kept) > REMEMBERED:
                 kept.clear()
         words = self.words
         new: set[str] = set().union(*(p[1:] for p in parts)).difference(words)
-        self._learn(list(new), any(t in x for x in texts for t in self.special))
-        heads = self._whole([p[0] for p in parts])
-        return [h + b"".join([words[w] for w in p[1:]]) for h, p in zip(heads, parts, strict=True)]
+        self._learn(new, any(t in x for x in texts for t in self.special))
+        heads = self.heads
+        first = list({p[0] for p in parts}.difference(heads))
+        heads.update(zip(first, self._whole(first), strict=True))
+        return [heads[p[0]] + b"".join(map(words.__getitem__, p[1:])) for p in parts]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -152,11 +169,12 @@ def tokenized(docs: DataFrame, tokenizer: str, seed: int) -> DataFrame:
         enc = encoder(tokenizer)
         width = np.dtype(enc.kind).itemsize
         bucket, axes = _projection(50_021, seed)
+        bucket = bucket[np.arange(enc.tokenizer.get_vocab_size(with_added_tokens=True)) % len(bucket)]
         for batch in batches:
             ids = enc.encode(batch.column("text").to_pylist())
             vectors = np.zeros((len(ids), BUCKETS), np.float32)
             for row, raw in enumerate(ids):
-                vectors[row] = np.bincount(bucket[np.frombuffer(raw, enc.kind) % len(bucket)], minlength=BUCKETS)
+                vectors[row] = np.bincount(bucket[np.frombuffer(raw, enc.kind)], minlength=BUCKETS)
             vectors = np.sqrt(vectors)
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
             spot = (vectors @ axes).astype(np.float64)
