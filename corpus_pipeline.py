@@ -53,11 +53,12 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_curve(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in full sequences of tokens."""
+    """Pieces of the remaining documents in full sequences: their tokens (unsigned 32-bit,
+    little-endian) and the checksum of these."""
     from sigweave.llm.packing import pack
 
     pieces = pack(docs, tokenizer_path("byte_bpe_50k.json"))
-    return pieces.withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids")
+    return pieces.withColumn("ids_crc32", F.crc32("token_ids"))
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
