@@ -95,7 +95,9 @@ def shard(rows: DataFrame, shards: int = 40, seed: int = 11) -> DataFrame:
     its shard). Shard sizes differ by one at most, and the order is a seeded uniform
     shuffle. Equal rows, null ids, null and very long texts are rows like any other: the
     shuffle follows the row's place in the input, not its values, so no value is hot.
-    Columns of ``rows`` named ``shard`` or ``slot`` are replaced. An empty table gives
+    Columns of ``rows`` named ``shard`` or ``slot`` are replaced, those named ``_row`` or
+    ``_at`` left out; other names of one leading underscore are best avoided, as
+    ``_part, _place, _ends, _key, _cell, _in, _start`` are used inside. An empty table gives
     no rows; with fewer rows than shards some shards stay empty.
     """
     if shards < 1:
