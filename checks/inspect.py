@@ -281,11 +281,11 @@ SELECT capture_id, array_to_string(list_sort(list(DISTINCT (CASE WHEN u >= 21474
 
 @query("favicon_hash_job", MURMUR_SQL)
 def favicon_hash_job(spark, sf):
-    """Icon bytes stand in from page text: three per page from a table, one from a file."""
+    """Icon bytes stand in from page text: three per page from a table, one from files."""
     pages = table(spark, sf, "pages")
     icons = pages.select(F.col("page_id").alias("capture_id"), F.explode(F.array(
         F.encode("html", "UTF-8"), F.encode(F.substring("url", 1, 58), "UTF-8"), F.encode("html", "UTF-8"))).alias("content"))
     folder = work_dir(spark, "icons")
-    pages.select(F.col("page_id").alias("capture_id"), F.col("url").alias("value")).write.partitionBy("capture_id").text(folder)
-    both = icons.unionByName(favicons.icon_files(spark, folder))
+    favicons.write_icon_lines(pages.select(F.col("page_id").alias("capture_id"), F.encode(F.concat("url", F.lit("\n")), "UTF-8").alias("content")), folder)
+    both = icons.unionByName(favicons.icon_lines(spark, folder))
     return favicons.hash_icons(both).select("capture_id", F.array_join(F.transform("favicon_hashes", lambda h: h.cast("string")), ",").alias("hashes"))

@@ -104,3 +104,17 @@ def test_icon_files(spark, tmp_path):
         (tmp_path / f"capture_id={capture}" / "favicon.ico").write_bytes(content)
     (tmp_path / "stray.ico").write_bytes(b"no capture")
     assert {r.capture_id: bytes(r.content) for r in favicons.icon_files(spark, str(tmp_path)).collect()} == {3: bytes(range(256)), 70: b"\0"}
+
+
+def test_icon_lines(spark, tmp_path):
+    """Icons from lines, without a file each, hash as the same bytes from a table do."""
+    contents = {n: bytes(range(256)) * (n % 5) + bytes([n % 256]) for n in range(400)}
+    icons = spark.createDataFrame([*contents.items(), (900, b""), (901, None)], "capture_id long, content binary")
+    folder = tmp_path / "lines"
+    favicons.write_icon_lines(icons.repartition(4), str(folder))
+    assert len(list(folder.glob("part-*"))) <= 4
+    (folder / "odd.txt").write_text("x YQ==\n5\n\n6 %%\n")
+    read = favicons.icon_lines(spark, str(folder))
+    assert {r.capture_id: bytes(r.content) for r in read.collect()} == contents
+    hashes = lambda rows: {r.capture_id: r.favicon_hashes for r in favicons.hash_icons(rows).collect()}
+    assert hashes(read) == hashes(icons.where("capture_id < 900"))
