@@ -20,7 +20,8 @@ SIMPLE = re.compile(r"\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P
 def plan(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(path)`` and ``(probe_id, sel, text, attrs)`` that the rules ask for.
 
-    ``rules`` has a ``rule`` struct column; a rule table of any size works.
+    ``rules`` has a ``rule`` struct column; a rule table of any size works. Probes are told
+    apart by what they ask, not by their ids: of 32 bits, some of a large table clash.
     """
     matchers = rules.select(F.explode("rule.matchers").alias("m"))
     paths = matchers.where("m.type = 'js'").select(F.explode("m.js.path").alias("path")).where("path <> ''").distinct()
@@ -28,8 +29,9 @@ def plan(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     bare = dom.select(F.explode("m.words").alias("sel")).select(
         "sel", F.lit("").alias("text"), F.lit(None).cast("map<string,string>").alias("attrs"))
     full = dom.select(F.inline("m.dom")).select("sel", F.coalesce("text", F.lit("")).alias("text"), "attrs")
-    probes = bare.unionByName(full).withColumn("probe_id", probe_id(F.col("sel"), F.col("text"), F.col("attrs")))
-    return paths, probes.dropDuplicates(["probe_id"])
+    asked = bare.unionByName(full).withColumn("_pairs", F.coalesce(F.array_sort(F.map_entries("attrs")), F.expr("array()")))
+    probes = asked.dropDuplicates(["sel", "text", "_pairs"]).drop("_pairs")
+    return paths, probes.withColumn("probe_id", probe_id(F.col("sel"), F.col("text"), F.col("attrs")))
 
 
 def hit_selectors(captures: DataFrame, probes: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Implied names against a walk in breadth, and packs of unusual shape."""
 
+import json
 import random
 from collections import deque
 
@@ -7,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigweave.functions import hashing
-from sigweave.operators import closure, favicons, reports
-from sigweave.sources.pack import RulePack
+from sigweave.operators import closure, favicons, probes, reports
+from sigweave.sources.pack import RulePack, probe_key
+from sigweave.sources.rules import typed_rules
 
 HITS = "capture_id long, rule_ord int, rule_id string, name string, confidence int, evidence array<struct<matcher_ix:int,pattern_ix:int,type:string,part:string,detail:string,pattern:string,version:string>>, version string"
 
@@ -118,3 +120,12 @@ def test_icon_lines(spark, tmp_path):
     assert {r.capture_id: bytes(r.content) for r in read.collect()} == contents
     hashes = lambda rows: {r.capture_id: r.favicon_hashes for r in favicons.hash_icons(rows).collect()}
     assert hashes(read) == hashes(icons.where("capture_id < 900"))
+
+
+def test_probes_with_equal_ids_are_all_planned(spark):
+    """These two selectors share an id of 32 bits; attributes left out and empty ones are the same probe."""
+    dom = [{"sel": "img", "attrs": {"src": "x", "alt": "y73745"}}, {"sel": "b"}, {"sel": "b", "attrs": {}}]
+    rule = {"id": "r", "matchers": [{"type": "dom", "words": ["#a106755", "b", "b"], "dom": dom}]}
+    assert probe_key("#a106755") == probe_key("img", "", dom[0]["attrs"])
+    _, planned = probes.plan(typed_rules(spark.createDataFrame([(json.dumps(rule),)], "doc string")))
+    assert sorted((r.sel, len(r.attrs or {})) for r in planned.collect()) == [("#a106755", 0), ("b", 0), ("img", 2)]
