@@ -2,6 +2,7 @@
 
 import random
 import string
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -241,3 +242,16 @@ def test_feed_refresh_and_rollback(spark):
 ])
 def test_longer_addresses(spark, host, blocked):
     assert one(spark.createDataFrame([(host,)], "h string").select(urls.is_blocked_ipv6(F.col("h")))) is blocked
+
+
+def test_grams_of_a_batch_take_little_memory():
+    """What a batch of texts needs on top of itself follows the slice, not the batch."""
+    texts = pa.array([f"<p>{n} wp-content {'x' * 2_000}</p>" for n in range(8_000)])
+    codes = np.array(sorted(candidates.rarest_gram(t) for t in ("wp-content", "</p>")), np.uint32)
+    seen = candidates._marked(codes)
+    tracemalloc.start()
+    rows, _ = candidates.page_grams(texts, codes, seen)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == 16_000
+    assert peak < 48 << 20
