@@ -165,7 +165,7 @@ def st_rule_change_rescan(spark, sf):
         return captures(spark, sf)
 
     streams.rescan_stream(settled, stored_captures, rules, out, work_dir(spark, "state"))
-    return spark.read.parquet(out).select(F.col("version_of_rules").cast("int").alias("version_of_rules"), "capture_id", "rule_id", "name", "version")
+    return streams.read_rescans(spark, out)
 
 
 @query("st_history_upsert", with_captures(CLOSED) + """,

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigweave.operators.reports import HISTORY_MAX, hits_per_capture, newest
 from sigweave.plans.detect import detect
 from sigweave.sources.pack import RulePack
 from sigweave.streaming.runtime import each_batch
-from sigweave.streaming.tables import KeyedTable, RuleVersions
+from sigweave.streaming.tables import KeyedTable, RuleVersions, read_table
 
 # Fixed value: quiet time after which rule changes count.
 RULE_GAP = "500 milliseconds"
@@ -101,7 +101,8 @@ def rescan_stream(settled: DataFrame, captures: Callable[[], DataFrame], rules:
     The changes that come to rest in one micro-batch share one match, with the rules of
     the newest version among them, read from the rule table at that time. Hits are kept
     by version of the rules; a match with a version that was matched before replaces its
-    hits, so captures that came in between are there too.
+    hits, so captures that came in between are there too. Nothing is written while no
+    change comes to rest; ``read_rescans`` reads that too.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -114,3 +115,12 @@ def rescan_stream(settled: DataFrame, captures: Callable[[], DataFrame], rules:
 
     each_batch(settled, write, state)
 
+
+def read_rescans(spark: SparkSession, out: str) -> DataFrame:
+    """``(version_of_rules, capture_id, rule_id, name, version)`` of the matches written so
+    far; no rows where no change has come to rest yet."""
+    kind = "capture_id long, rule_id string, name string, version string"
+    found = read_table(spark, out, kind + ", version_of_rules int")
+    if found is None:
+        found = spark.createDataFrame([], kind + ", version_of_rules int")
+    return found.select("version_of_rules", "capture_id", "rule_id", "name", "version")

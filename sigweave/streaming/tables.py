@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 
 
-def _read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """The table at ``path``; None where nothing was written yet."""
     try:
         found = spark.read.parquet(path)
@@ -44,7 +44,7 @@ class KeyedTable:
         self.path, self.keys, self.order, self.buckets, self.keep = path.rstrip("/"), keys, order, buckets, keep
 
     def read(self, spark: SparkSession) -> DataFrame:
-        found = _read(spark, self.path)
+        found = read_table(spark, self.path)
         if found is None:
             raise ValueError(f"nothing was written to {self.path} yet")
         return found.drop("bucket")
@@ -63,14 +63,14 @@ class KeyedTable:
         staged last is not merged again but put in place again."""
         spark = batch.sparkSession
         staged, done = f"{self.path}.staged", f"{self.path}.mark"
-        last = _read(spark, done)
+        last = read_table(spark, done)
         if last is None or last.first()["mark"] != mark:
             new = batch.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")).persist()
             touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
             if not touched:
                 return
             rows = new
-            current = _read(spark, self.path)
+            current = read_table(spark, self.path)
             if current is not None:
                 rows = rows.unionByName(current.where(F.col("bucket").isin(touched)))
             self._merged(rows).write.mode("overwrite").parquet(staged)

@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sigweave.streaming import quiet
+from sigweave.streaming import captures, quiet
+from sigweave.streaming.runtime import read_stream
 from sigweave.streaming.tables import KeyedTable, RuleVersions
 
 START = datetime(2024, 1, 1)
@@ -163,3 +164,13 @@ def test_late_events_are_put_in_order(spark, tmp_path):
     quiet.settled_routes(stream, gap="3 seconds").writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
     got = spark.read.parquet(out).select("tab_id", F.timestamp_micros("at_us").alias("at"), "url").orderBy("at").collect()
     assert [tuple(r) for r in got] == [(1, at(0), "a"), (1, at(4), "b"), (1, at(8), "c"), (2, at(9), "x"), (2, at(100), "y")]
+
+
+def test_changes_that_never_rest_leave_nothing_to_read(spark, tmp_path):
+    """Changes a second apart with a quiet time of five minutes: no match, and no error."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.createDataFrame([(START + timedelta(seconds=n), "rules", 1) for n in range(900)], "ts timestamp, scope string, version int")
+    rows.coalesce(1).write.parquet(path)
+    settled = captures.settled_changes(read_stream(spark, path, rows.schema), gap="5 minutes")
+    captures.rescan_stream(settled, None, RuleVersions(str(tmp_path / "rules")), out, str(tmp_path / "state"))
+    assert captures.read_rescans(spark, out).collect() == []
