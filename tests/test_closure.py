@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sigweave.functions import hashing
 from sigweave.operators import closure, favicons, probes, reports
+from sigweave.sources import favicons as dictionaries
 from sigweave.sources.pack import RulePack, probe_key
 from sigweave.sources.rules import typed_rules
 
@@ -129,3 +130,17 @@ def test_probes_with_equal_ids_are_all_planned(spark):
     assert probe_key("#a106755") == probe_key("img", "", dom[0]["attrs"])
     _, planned = probes.plan(typed_rules(spark.createDataFrame([(json.dumps(rule),)], "doc string")))
     assert sorted((r.sel, len(r.attrs or {})) for r in planned.collect()) == [("#a106755", 0), ("b", 0), ("img", 2)]
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for n in range(120):
+        (tmp_path / f"source={n}").mkdir()
+        (tmp_path / f"source={n}" / "names.json").write_text(json.dumps({str(n): f"name {n}"}))
+    spark.sparkContext.setJobGroup("listing", "folders of dictionaries")
+    read, bad = dictionaries.from_json_files(spark, f"{tmp_path}/*")
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(n) for n in tracker.getJobIdsForGroup("listing")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(n) for job in jobs for n in job.stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism < 120
+    assert {(r.hash, r.name) for r in read.collect()} == {(n, f"name {n}") for n in range(120)} and bad.isEmpty()
