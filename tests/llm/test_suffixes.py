@@ -50,3 +50,33 @@ def test_no_task_holds_a_gram_of_many_surroundings(spark, monkeypatch):
     texts = _spread_passages()
     got = suffixes.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).select("doc_id", "kept").collect()
     assert {r["doc_id"]: bytes(r["kept"]) for r in got} == _expected(texts)
+
+
+def test_rows_follow_surroundings_not_their_windows(spark, monkeypatch):
+    """Groups too large for a task are dealt in a few parts a member, in rounds (16 members here)."""
+    rows, stored = {}, suffixes.store
+
+    def counted(df, name):
+        out = stored(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(suffixes, "store", counted)
+    texts = _spread_passages()
+    got = suffixes.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), many=16).select("doc_id", "kept").collect()
+    assert {r["doc_id"]: bytes(r["kept"]) for r in got} == _expected(texts)
+    assert max(rows.values()) <= 4 * rows["surroundings"]
+
+
+def test_parts_find_the_windows_of_the_whole(spark):
+    """Overlapping copies of a text with edits: every range down to single windows gives what brute force gives."""
+    rng = random.Random(9)
+    base = "".join(rng.choices("abcdef", k=700))
+    texts = []
+    for i in range(60):
+        chars = list(base[rng.randrange(0, 200) : rng.randrange(450, 700)])
+        for _ in range(rng.randrange(0, 3)):
+            chars[rng.randrange(len(chars))] = rng.choice("xyz")
+        texts.append((i, "".join(chars)))
+    got = suffixes.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), many=1).select("doc_id", "kept").collect()
+    assert {r["doc_id"]: bytes(r["kept"]) for r in got} == _expected(texts)
