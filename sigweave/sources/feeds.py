@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from sigweave.functions.patterns import compile_pattern, loosen_repeats
+from sigweave.functions.patterns import is_valid, loosen_repeats
 from sigweave.functions.text import let, slug
 
 # Sections of a technology in the order its matchers are listed.
@@ -91,9 +91,10 @@ def guard(pattern: Column) -> Column:
 
     @pandas_udf("pattern string, valid boolean")
     def check(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"pattern": texts.map(loosen_repeats), "valid": texts.map(lambda p: compile_pattern(p, False).valid)})
+        return pd.DataFrame({"pattern": texts.map(loosen_repeats), "valid": texts.map(is_valid)})
 
-    return check(pattern)
+    # Else a filter on the outcome is pushed below the check and checks every pattern again.
+    return check.asNondeterministic()(pattern)
 
 
 def plain_literal(pattern: Column) -> Column:
@@ -112,11 +113,14 @@ def informative(selector: Column) -> Column:
 
 def strings(value: Column) -> Column:
     """A variant that holds a text or a list as a list of non-empty texts."""
-    kind = F.schema_of_variant(value)
-    listed = F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
-    out = F.when(kind == "STRING", F.array(F.try_variant_get(value, "$", "string"))).when(
-        kind.startswith("ARRAY"), F.transform(listed, lambda v: F.try_variant_get(v, "$", "string")))
-    return F.filter(F.coalesce(out, F.array()), lambda s: s != "")
+
+    def listed(held: Column) -> Column:
+        kind = F.schema_of_variant(held)
+        texts = F.filter(F.try_variant_get(held, "$", "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
+        return F.when(kind == "STRING", F.array(F.try_variant_get(held, "$", "string"))).when(
+            kind.startswith("ARRAY"), F.transform(texts, lambda v: F.try_variant_get(v, "$", "string")))
+
+    return F.filter(F.coalesce(let(value, listed), F.array()), lambda s: s != "")
 
 
 def _object(doc: Column, name: str) -> Column:
@@ -137,84 +141,102 @@ def technologies(feed: DataFrame, column: str = "value") -> DataFrame:
 
 # Tech maps
 
+def _raw(section: int, f: int, key_ix, value_ix, key, raw, attrs=None) -> Column:
+    """One pattern as it stands in the document, with its place there."""
+    return F.struct(
+        F.lit(section).alias("section"), F.lit(f).alias("f"), key_ix.alias("key_ix"), value_ix.alias("value_ix"), key.alias("key"), raw.alias("raw"),
+        (F.lit(None).cast("map<string,string>") if attrs is None else attrs).alias("attrs"))
+
+
+def _first(value: Column) -> Column:
+    return F.coalesce(F.try_element_at(strings(value), F.lit(1)), F.lit(""))
+
+
 def _field_patterns(field: str, section: int) -> Column:
     """Raw patterns of one field as structs, in order."""
-    row = lambda key, key_ix, raw, value_ix: F.struct(
-        F.lit(section).alias("section"), F.lit(int(field == "cookies")).alias("f"), key_ix.alias("key_ix"), value_ix.alias("value_ix"),
-        key.alias("key"), raw.alias("raw"))
+    f = int(field == "cookies")
     if section in (HTML, SCRIPT, URL):
         values = strings(F.try_variant_get("doc", f"$.{field}", "variant"))
-        return F.transform(values, lambda raw, j: row(F.lit(""), F.lit(0), raw, j))
+        return F.transform(values, lambda raw, j: _raw(section, f, F.lit(0), j, F.lit(""), raw))
     # A cookie without a value pattern still counts.
-    listed = lambda v: let(strings(v), lambda held: F.when(F.size(held) == 0, F.array(F.lit(""))).otherwise(held)) if field == "cookies" else strings(v)
-    return F.flatten(F.transform(_entries(F.col(f"m_{field}")), lambda e, i: F.transform(listed(e["value"]), lambda raw, j: row(e["key"], i, raw, j))))
+    listed = lambda v: let(strings(v), lambda held: F.when(F.size(held) == 0, F.array(F.lit(""))).otherwise(held)) if f else strings(v)
+    return F.flatten(F.transform(_entries(F.col(f"m_{field}")), lambda e, i: F.transform(listed(e["value"]), lambda raw, j: _raw(section, f, i, j, e["key"], raw))))
+
+
+def _js_patterns() -> Column:
+    return F.transform(_entries(F.col("m_js")), lambda e, i: _raw(JS, 0, i, F.lit(0), e["key"], _first(e["value"])))
+
+
+def _bare_selectors() -> Column:
+    return F.transform(strings(F.try_variant_get("doc", "$.dom", "variant")), lambda raw, j: _raw(DOM, 0, F.lit(0), j, F.lit(""), raw))
+
+
+def _selectors() -> Column:
+    """The object form: text and attribute conditions; NULL where page properties are asked for."""
+
+    def one(sel: Column, i: Column, cond: Column) -> Column:
+        given = F.try_variant_get(F.try_element_at(cond, F.lit("attributes")), "$", "map<string,variant>")
+        attrs = F.map_filter(F.transform_values(given, lambda _k, v: _first(v)), lambda _k, v: v != "")
+        row = _raw(DOM, 1, i, F.lit(0), sel, _first(F.try_element_at(cond, F.lit("text"))), attrs)
+        return F.when(cond.isNull() | ~F.map_contains_key(cond, "properties"), row)
+
+    return F.transform(_entries(F.col("m_dom")), lambda e, i: let(F.try_variant_get(e["value"], "$", "map<string,variant>"), lambda cond: one(e["key"], i, cond)))
 
 
 FIELDS = (("headers", HEADER), ("cookies", HEADER), ("meta", META), ("html", HTML), ("scriptSrc", SCRIPT), ("url", URL))
 
 
+def _matchers(techs: DataFrame, sections: tuple[int, ...]) -> DataFrame:
+    """Matcher rows of some sections; every document is read once for all of them."""
+    made = [_field_patterns(f, s) for f, s in FIELDS if s in sections]
+    maps = [f for f, s in FIELDS if s in sections and s in (HEADER, META)]
+    if JS in sections:
+        made, maps = [*made, _js_patterns()], [*maps, "js"]
+    if DOM in sections:
+        made, maps = [*made, _bare_selectors(), _selectors()], [*maps, "dom"]
+    keyed = techs.select("tech", "doc", *[_object(F.col("doc"), f).alias(f"m_{f}") for f in maps])
+    raw = keyed.select("tech", F.inline(F.filter(F.concat(*made), lambda r: r.isNotNull())))
+
+    section, text, attrs = F.col("section"), F.col("text"), F.col("attrs")
+    loose, is_js, is_dom, bare = section.isin(HTML, SCRIPT, URL), section == JS, section == DOM, F.col("f") == 0
+    selector = F.when(bare, text).otherwise(F.col("key"))
+    filled = informative(selector) | (~bare & ((text != "") | (F.coalesce(F.size("attrs"), F.lit(0)) > 0)))
+    cut = raw.select("*", clean(F.col("raw")).alias("text")).where((~loose | (text != "")) & (~is_dom | filled))
+    shaped = F.when(is_dom, "").when(loose | is_js, text).when(F.col("f") == 1, cookie_pattern(F.col("key"), text)).otherwise(header_pattern(F.col("key"), text))
+    # Text conditions and attributes in order of their names: the first suffix counts.
+    texts = F.concat(F.array("raw"), F.transform(F.array_sort(F.map_keys("attrs")), lambda k: F.try_element_at("attrs", k)))
+    confidences = F.filter(F.transform(texts, suffix_confidence), lambda c: c.isNotNull())
+    versions = F.filter(F.transform(texts, suffix_version), lambda v: v != "")
+    rows = cut.select(
+        "tech", "section", F.struct("f", "key_ix", "value_ix").alias("ix"), "f", "key", "text", shaped.alias("pattern"), "attrs",
+        F.when(attrs.isNull(), suffix_confidence(F.col("raw"))).otherwise(F.try_element_at(confidences, F.lit(1))).alias("confidence"),
+        F.when(attrs.isNull(), suffix_version(F.col("raw"))).otherwise(F.coalesce(F.try_element_at(versions, F.lit(1)), F.lit(""))).alias("version"))
+    # A runtime path stays without a pattern that does not compile, other patterns go.
+    checked = rows.withColumn("g", guard(F.col("pattern"))).where(F.col("g.valid") | is_js).withColumn("literal", F.when(loose, plain_literal(F.col("g.pattern"))))
+    part = F.coalesce(F.element_at(F.create_map(*[x for k, v in PART.items() for x in (F.lit(k), F.lit(v))]), section), F.lit(""))
+    return checked.select(
+        "tech", "section", part.alias("part"),
+        F.when(is_js, "js").when(is_dom, "dom").when(F.col("literal").isNotNull(), "word").otherwise("regex").alias("type"), "ix",
+        F.when(is_dom, selector).when(is_js & ~F.col("g.valid"), "").otherwise(F.coalesce("literal", "g.pattern")).alias("pattern"),
+        F.when(is_js, F.col("key")).when(is_dom, F.when(bare, "").otherwise(text)).alias("path"),
+        F.transform_values("attrs", lambda _k, v: clean(v)).alias("attrs"), valid_confidence(F.col("confidence")).alias("confidence"), "version")
+
+
 def text_matchers(techs: DataFrame) -> DataFrame:
     """Header, cookie, meta, html, script and url patterns of a tech map."""
-    keyed = techs.select("tech", "doc", *[_object(F.col("doc"), f).alias(f"m_{f}") for f in ("headers", "cookies", "meta")])
-    raw = keyed.select("tech", F.inline_outer(F.concat(*[_field_patterns(f, s) for f, s in FIELDS]))).where("section IS NOT NULL")
-    text, loose_field = F.col("text"), F.col("section").isin(HTML, SCRIPT, URL)
-    cut = raw.select("*", clean(F.col("raw")).alias("text")).where(~loose_field | (text != ""))
-    shaped = F.when(loose_field, text).when(F.col("f") == 1, cookie_pattern(F.col("key"), text)).otherwise(header_pattern(F.col("key"), text))
-    rows = cut.select("tech", "section", F.struct("f", "key_ix", "value_ix").alias("ix"), shaped.alias("pattern"),
-                      suffix_confidence(F.col("raw")).alias("confidence"), suffix_version(F.col("raw")).alias("version"))
-    checked = rows.withColumn("g", guard(F.col("pattern"))).where("g.valid")
-    loose = F.col("section").isin(HTML, SCRIPT, URL)
-    literal = F.when(loose, plain_literal(F.col("g.pattern")))
-    part = F.element_at(F.create_map(*[x for k, v in PART.items() for x in (F.lit(k), F.lit(v))]), F.col("section"))
-    return checked.select(
-        "tech", "section", part.alias("part"), F.when(literal.isNotNull(), "word").otherwise("regex").alias("type"), "ix",
-        F.coalesce(literal, "g.pattern").alias("pattern"), F.lit(None).cast("string").alias("path"),
-        F.lit(None).cast("map<string,string>").alias("attrs"), valid_confidence(F.col("confidence")).alias("confidence"), "version")
+    return _matchers(techs, (HEADER, META, HTML, SCRIPT, URL))
 
 
 def js_matchers(techs: DataFrame) -> DataFrame:
     """Runtime paths with their first value pattern; one that does not compile
     is dropped and the path alone remains."""
-    held = techs.select("tech", _object(F.col("doc"), "js").alias("m"))
-    keys = held.select("tech", F.posexplode(_entries(F.col("m"))).alias("key_ix", "e"))
-    first = F.coalesce(F.try_element_at(strings(F.col("e.value")), F.lit(1)), F.lit(""))
-    rows = keys.select("tech", F.col("e.key").alias("path"), "key_ix", first.alias("raw")).withColumn("g", guard(clean(F.col("raw"))))
-    return rows.select(
-        "tech", F.lit(JS).alias("section"), F.lit("").alias("part"), F.lit("js").alias("type"),
-        F.struct(F.lit(0).alias("f"), "key_ix", F.lit(0).alias("value_ix")).alias("ix"),
-        F.when(F.col("g.valid"), F.col("g.pattern")).otherwise("").alias("pattern"), "path",
-        F.lit(None).cast("map<string,string>").alias("attrs"), valid_confidence(suffix_confidence(F.col("raw"))).alias("confidence"),
-        suffix_version(F.col("raw")).alias("version"))
+    return _matchers(techs, (JS,))
 
 
 def dom_matchers(techs: DataFrame) -> DataFrame:
     """DOM selectors. Bare ones must be informative; of the object form text and
     attribute conditions stay, and what needs page properties is left out."""
-    listed = techs.select("tech", F.posexplode(strings(F.try_variant_get("doc", "$.dom", "variant"))).alias("value_ix", "raw"))
-    bare = listed.where(informative(clean(F.col("raw")))).select(
-        "tech", F.struct(F.lit(0).alias("f"), F.lit(0).alias("key_ix"), "value_ix").alias("ix"), clean(F.col("raw")).alias("pattern"),
-        F.lit("").alias("text"), F.lit(None).cast("map<string,string>").alias("attrs"),
-        suffix_confidence(F.col("raw")).alias("confidence"), suffix_version(F.col("raw")).alias("version"))
-    held = techs.select("tech", _object(F.col("doc"), "dom").alias("m"))
-    keys = held.select("tech", F.posexplode(_entries(F.col("m"))).alias("key_ix", "e")).select("tech", "key_ix", F.col("e.key").alias("sel"), F.col("e.value").alias("value"))
-    cond = keys.withColumn("cond", F.try_variant_get("value", "$", "map<string,variant>")).where(
-        F.col("cond").isNull() | ~F.map_contains_key("cond", "properties"))
-    first = lambda v: F.coalesce(F.try_element_at(strings(v), F.lit(1)), F.lit(""))
-    given = F.try_variant_get(F.try_element_at("cond", F.lit("attributes")), "$", "map<string,variant>")
-    raw_attrs = F.map_filter(F.transform_values(given, lambda _k, v: first(v)), lambda _k, v: v != "")
-    facts = cond.select("tech", "key_ix", "sel", first(F.try_element_at("cond", F.lit("text"))).alias("raw_text"), raw_attrs.alias("raw_attrs"))
-    ordered = F.transform(F.array_sort(F.map_keys(F.coalesce("raw_attrs", F.create_map().cast("map<string,string>")))), lambda k: F.try_element_at("raw_attrs", k))
-    texts = F.concat(F.array("raw_text"), ordered)
-    confidences = F.filter(F.transform(texts, suffix_confidence), lambda c: c.isNotNull())
-    versions = F.filter(F.transform(texts, suffix_version), lambda v: v != "")
-    objects = facts.select(
-        "tech", F.struct(F.lit(1).alias("f"), "key_ix", F.lit(0).alias("value_ix")).alias("ix"), F.col("sel").alias("pattern"),
-        clean(F.col("raw_text")).alias("text"), F.transform_values("raw_attrs", lambda _k, v: clean(v)).alias("attrs"),
-        F.try_element_at(confidences, F.lit(1)).alias("confidence"), F.coalesce(F.try_element_at(versions, F.lit(1)), F.lit("")).alias("version"),
-    ).where((F.col("text") != "") | (F.coalesce(F.size("attrs"), F.lit(0)) > 0) | informative(F.col("pattern")))
-    return bare.unionByName(objects).select(
-        "tech", F.lit(DOM).alias("section"), F.lit("").alias("part"), F.lit("dom").alias("type"), "ix", "pattern",
-        F.col("text").alias("path"), "attrs", valid_confidence(F.col("confidence")).alias("confidence"), "version")
+    return _matchers(techs, (DOM,))
 
 
 def valid_confidence(value: Column) -> Column:
@@ -231,15 +253,16 @@ def group_by_meta(rows: DataFrame) -> DataFrame:
 
 def techmap_rows(techs: DataFrame) -> DataFrame:
     """All matchers of a tech map as flat rows."""
-    return group_by_meta(text_matchers(techs).unionByName(js_matchers(techs)).unionByName(dom_matchers(techs)))
+    return group_by_meta(_matchers(techs, (HEADER, META, HTML, SCRIPT, URL, JS, DOM)))
 
 
 def relations(techs: DataFrame) -> DataFrame:
     """``(tech, kind, ix, name)`` edges: implies and excludes, suffixes cut."""
-    rows = [
-        techs.select("tech", F.lit(kind).alias("kind"), F.posexplode(strings(F.try_variant_get("doc", f"$.{kind}", "variant"))).alias("ix", "raw"))
-        for kind in ("implies", "excludes")]
-    return rows[0].unionByName(rows[1]).select("tech", "kind", "ix", clean(F.col("raw")).alias("name")).where("name <> ''")
+    def listed(kind: str) -> Column:
+        names = strings(F.try_variant_get("doc", f"$.{kind}", "variant"))
+        return F.transform(names, lambda raw, i: F.struct(F.lit(kind).alias("kind"), i.alias("ix"), raw.alias("raw")))
+
+    return techs.select("tech", F.inline(F.concat(listed("implies"), listed("excludes")))).select("tech", "kind", "ix", clean(F.col("raw")).alias("name")).where("name <> ''")
 
 
 def to_rules(rows: DataFrame, edges: DataFrame) -> DataFrame:
