@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigweave.functions.text import let
+
 VERSION_CHARS = 500
 
 
@@ -28,15 +30,21 @@ def _get(v: Column, name: str) -> Column:
 
 def _items(v: Column) -> Column:
     """A list as it is, anything else as a list of one, null as an empty list."""
-    kind = _kind(v)
-    return F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).when(
-        kind == "VOID", F.array().cast("array<variant>")).otherwise(F.array(v))
+
+    def listed(held: Column) -> Column:
+        return let(_kind(held), lambda kind: F.when(kind.startswith("ARRAY"), F.try_variant_get(held, "$", "array<variant>")).when(
+            kind == "VOID", F.array().cast("array<variant>")).otherwise(F.array(held)))
+
+    return let(v, listed)
 
 
 def _truthy(v: Column) -> Column:
-    kind, text = _kind(v), _text(v)
-    return F.when(kind == "VOID", False).when(kind == "STRING", text != "").when(kind == "BOOLEAN", text == "true").when(
-        kind.startswith("ARRAY") | kind.startswith("OBJECT"), True).otherwise(F.coalesce(text.try_cast("double") != 0, F.lit(True)))
+    def judged(held: Column) -> Column:
+        text = _text(held)
+        return let(_kind(held), lambda kind: F.when(kind == "VOID", False).when(kind == "STRING", text != "").when(kind == "BOOLEAN", text == "true").when(
+            kind.startswith("ARRAY") | kind.startswith("OBJECT"), True).otherwise(F.coalesce(text.try_cast("double") != 0, F.lit(True))))
+
+    return let(v, judged)
 
 
 def text_list(v: Column) -> Column:
@@ -57,13 +65,15 @@ def percent(v: Column) -> Column:
 
 
 def _objects(v: Column) -> Column:
-    kind = _kind(v)
-    return F.filter(F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), _items(v)).otherwise(F.array().cast("array<variant>")),
-                    lambda x: _kind(x).startswith("OBJECT"))
+    def listed(held: Column) -> Column:
+        kind = _kind(held)
+        return F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), _items(held)).otherwise(F.array().cast("array<variant>"))
+
+    return F.filter(let(v, listed), lambda x: _kind(x).startswith("OBJECT"))
 
 
 def _filled(v: Column) -> Column:
-    return F.when(_truthy(v), _text(v))
+    return let(v, lambda held: F.when(_truthy(held), _text(held)))
 
 
 def js_probes(v: Column) -> Column:
@@ -79,7 +89,10 @@ def dom_probes(v: Column) -> Column:
 
 
 def repair_matcher(m: Column) -> Column:
-    kind = F.trim(F.coalesce(_text(_get(m, "type")), F.lit("")))
+    return let(F.trim(F.coalesce(_text(_get(m, "type")), F.lit(""))), lambda kind: _matcher_of(m, kind))
+
+
+def _matcher_of(m: Column, kind: Column) -> Column:
     when = lambda name, value: F.when(kind == name, value)
     return F.struct(
         kind.alias("type"), _filled(_get(m, "part")).alias("part"), _filled(_get(m, "condition")).alias("condition"),
@@ -101,19 +114,22 @@ def repair(docs: DataFrame, doc: str = "doc") -> DataFrame:
     keep = [c for c in docs.columns if c != doc]
     v = F.col(doc)
     rid = F.trim(F.coalesce(_text(_get(v, "id")), F.lit("")))
-    raw = _get(v, "matchers")
-    listed = F.when(_kind(raw).startswith("ARRAY"), F.try_variant_get(raw, "$", "array<variant>")).when(
-        _kind(raw).startswith("OBJECT"), F.array(raw)).otherwise(F.array().cast("array<variant>"))
+
+    def single_or_list(raw: Column) -> Column:
+        return let(_kind(raw), lambda kind: F.when(kind.startswith("ARRAY"), F.try_variant_get(raw, "$", "array<variant>")).when(
+            kind.startswith("OBJECT"), F.array(raw)).otherwise(F.array().cast("array<variant>")))
+
+    listed = let(_get(v, "matchers"), single_or_list)
     condition = F.coalesce(_filled(_get(v, "matchers-condition")), _filled(_get(v, "matchersCondition")))
-    fields = docs.where(_kind(v).startswith("OBJECT")).select(
-        *keep, rid.alias("_id"), F.trim(F.coalesce(_filled(_get(v, "name")), rid)).alias("_name"), condition.alias("_condition"),
-        F.transform(F.filter(listed, lambda m: _kind(m).startswith("OBJECT")), repair_matcher).alias("_m"),
-        F.when(_truthy(_get(v, "implies")), text_list(_get(v, "implies"))).alias("_implies"),
-        F.when(_truthy(_get(v, "excludes")), text_list(_get(v, "excludes"))).alias("_excludes"), percent(_get(v, "confidence")).alias("_confidence"))
-    kept = fields.withColumn("_m", F.filter("_m", _has_payload)).where((F.col("_id") != "") & (F.size("_m") > 0))
-    return kept.select(*keep, F.struct(
-        F.col("_id").alias("id"), F.col("_name").alias("name"), F.col("_condition").alias("matchers-condition"), F.col("_m").alias("matchers"),
-        F.col("_implies").alias("implies"), F.col("_excludes").alias("excludes"), F.col("_confidence").alias("confidence")).alias("rule"))
+    matchers = F.filter(F.transform(F.filter(listed, lambda m: _kind(m).startswith("OBJECT")), repair_matcher), _has_payload)
+    rule = F.struct(
+        rid.alias("id"), F.trim(F.coalesce(_filled(_get(v, "name")), rid)).alias("name"), condition.alias("matchers-condition"), matchers.alias("matchers"),
+        F.when(_truthy(_get(v, "implies")), text_list(_get(v, "implies"))).alias("implies"),
+        F.when(_truthy(_get(v, "excludes")), text_list(_get(v, "excludes"))).alias("excludes"), percent(_get(v, "confidence")).alias("confidence"))
+    # Filters on the document or the repaired rule would be pushed below parsing and repair and
+    # repeat them; what is no object has no id.
+    kept = F.filter(F.array(rule), lambda r: (r["id"] != "") & (F.size(r["matchers"]) > 0))
+    return docs.select(*keep, F.explode(kept).alias("rule"))
 
 
 def flatten_lists(docs: DataFrame, doc: str = "doc") -> DataFrame:
