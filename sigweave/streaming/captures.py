@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sigweave.operators.reports import HISTORY_MAX, hits_per_capture, newest
 from sigweave.plans.detect import detect
+from sigweave.session import spread
 from sigweave.sources.pack import RulePack
 from sigweave.streaming.runtime import each_batch
 from sigweave.streaming.tables import KeyedTable, RuleVersions, read_table
@@ -22,7 +23,7 @@ def match_stream(captures: DataFrame, pack: RulePack, out: str, state: str, dict
     so a batch that is repeated after a failure replaces its own rows."""
 
     def write(batch: DataFrame, number: int) -> None:
-        detect(batch, pack, dictionary, custom).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        detect(spread(batch), pack, dictionary, custom).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     each_batch(captures, write, state)
 
