@@ -1,6 +1,6 @@
 """Toxicity by subword bags: a word is the mean vector of its hashed character n-grams,
 a text the mean of its words, and a softmax over two classes reads that mean. Vectors
-and softmax are trained together in NumPy. A misspelling shares most of its n-grams
+and softmax are trained together in NumPy, in one task. A misspelling shares most of its n-grams
 with the word it comes from, so it scores like it without having been seen.
 """
 
@@ -117,17 +117,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int
     chosen = ranked.where("toxic = 0").orderBy("_o", "doc_id").limit(sample).unionByName(ranked.where("toxic = 1").orderBy("_o", "doc_id").limit(sample))
     # Two ids per sampled row: at most 2 x sample rows.
     texts = id_and_text(docs).join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
-    rows = arrow_map(texts, _bags, "doc_id long, toxic int, buckets binary, shares binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["buckets"], r["shares"]))
-    rows = [r for i, r in enumerate(rows) if not i or rows[i - 1]["doc_id"] != r["doc_id"]]
-    y = np.array([r["toxic"] for r in rows], np.int64)
-    if len(set(y.tolist())) < 2:
+    bags = arrow_map(texts, _bags, "doc_id long, toxic int, buckets binary, shares binary")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        rows.sort(key=lambda r: (r["doc_id"], r["buckets"], r["shares"]))
+        rows = [r for i, r in enumerate(rows) if not i or rows[i - 1]["doc_id"] != r["doc_id"]]
+        y = np.array([r["toxic"] for r in rows], np.int64)
+        if len(set(y.tolist())) < 2:
+            return
+        weight = np.array([sizes[k] / max(1, int((y == k).sum())) for k in (0, 1)])[y]
+        bags = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows]
+        odds, bias = train(bags, y, weight / weight.mean(), min(LEAST_TEXTS, max(1, len(bags) // 50)))
+        yield pa.RecordBatch.from_arrays([pa.array([odds.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["odds", "bias"])
+
+    # The sample is bounded, so one task holds it; the driver gets BUCKETS numbers.
+    model = bags.repartition(1).mapInArrow(learn, "odds binary, bias double").first()
+    if model is None:
         # One class or none: the prior is all there is to learn.
         total, ones = sum(sizes.values()), sizes.get(1, 0)
         return np.zeros(BUCKETS), math.log((ones + 0.5) / (total - ones + 0.5))
-    weight = np.array([sizes[k] / max(1, int((y == k).sum())) for k in (0, 1)])[y]
-    bags = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows]
-    return train(bags, y, weight / weight.mean(), min(LEAST_TEXTS, max(1, len(bags) // 50)))
+    return np.frombuffer(model["odds"]), model["bias"]
 
 
 _WORDS: dict[str, dict[str, float]] = {}
