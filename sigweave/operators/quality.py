@@ -6,15 +6,14 @@ over a rule table of any size. Documents come as JSON text.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.functions import pandas_udf
 
 from sigweave.functions.expressions import is_readable
-from sigweave.functions.patterns import compile_pattern
-from sigweave.functions.text import trim_space
+from sigweave.functions.patterns import is_valid
+from sigweave.functions.text import UNICODE_SPACE
 from sigweave.schema import MATCHER_TYPES, PARTS, PAYLOAD_FIELD, RULE
 
 # Limits of the check; lists are bounded for candidates only.
@@ -38,7 +37,7 @@ def _none() -> Column:
 
 
 def _filled(text: Column, most: int) -> Column:
-    return (trim_space(text) != "") & (F.octet_length(text) <= most)
+    return text.rlike(f"[^{UNICODE_SPACE}]") & (F.octet_length(text) <= most)
 
 
 def _join(*parts) -> Column:
@@ -62,17 +61,26 @@ def _each(values: Column, bad, path, code: str) -> Column:
 
 
 def _bad_texts(lists: Column, is_bad) -> Column:
-    """For a list of text lists the same shape of flags, computed in batches."""
+    """For a list of text lists the same shape of flags. An Arrow batch is judged at once,
+    each of its texts a single time."""
 
-    @pandas_udf("array<array<boolean>>")
-    def judge(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda outer: None if outer is None else [None if inner is None else [is_bad(t) for t in inner] for inner in outer])
+    @F.arrow_udf("array<array<boolean>>")
+    def judge(rows: pa.Array) -> pa.Array:
+        inner = rows.values
+        texts = inner.values.dictionary_encode(null_encoding="encode")
+        flags = pa.array([is_bad(t) for t in texts.dictionary.to_pylist()], pa.bool_()).take(texts.indices)
+        return _listed(rows, _listed(inner, flags))
 
     return judge(lists)
 
 
+def _listed(like: pa.ListArray, values: pa.Array) -> pa.ListArray:
+    """``values`` in lists that are cut, and null, as those of ``like``."""
+    return pa.ListArray.from_arrays(pa.array(like.offsets.to_numpy()), values, mask=like.is_null())
+
+
 def _bad_pattern(text: str | None) -> bool:
-    return bool(text) and not compile_pattern(text, False).valid
+    return bool(text) and not is_valid(text)
 
 
 def _bad_expression(text: str | None) -> bool:
@@ -146,8 +154,7 @@ def check(rules: DataFrame, candidate: bool = True, doc: str = "doc") -> DataFra
     decoded = T.StructType([*RULE.fields, T.StructField("_broken", T.StringType())])
     typed = rules.select(
         *keep, F.from_json(doc, decoded, {"columnNameOfCorruptRecord": "_broken"}).alias("r"),
-        F.from_json(doc, "map<string,string>").alias("root"),
-        F.from_json(F.get_json_object(doc, "$.matchers"), "array<map<string,string>>").alias("raw"))
+        F.from_json(doc, "map<string,string>").alias("root")).withColumn("raw", F.from_json(F.try_element_at("root", F.lit("matchers")), "array<map<string,string>>"))
     r = F.col("r")
     unknown = F.exists(F.map_keys("root"), lambda k: ~k.isin(*RULE_FIELDS)) | F.exists(
         F.coalesce("raw", F.array().cast("array<map<string,string>>")), lambda m: F.exists(F.map_keys(m), lambda k: ~k.isin(*MATCHER_FIELDS)))
